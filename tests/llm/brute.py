@@ -116,3 +116,46 @@ def mix(docs, limit=3):
                     break
                 acc += n
     return [(d, len(words(t)), total[s], target[s], len(words(t)) * (whole[s] + (doc_hash(d) < below[s]))) for d, s, t in docs]
+
+
+def warc(pages):
+    """pages: (page_id, html)."""
+    import base64
+
+    best = {}
+    for p, h in pages:
+        best[h or ""] = max(best.get(h or "", p), p)
+    out = []
+    for p, h in pages:
+        raw = (h or "").encode()
+        own = best[h or ""] == p
+        out.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if own else "revisit", None if own else best[h or ""]))
+    return out
+
+
+def top_k(vectors, every=100, k=10):
+    """vectors: (vec_id, list or None)."""
+    import math
+
+    import numpy as np
+
+    good = [(i, [math.floor(float(x) * 1024) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ids, m = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    out = []
+    for i, v in good:
+        if i % every == 0:
+            s = m @ np.array(v)
+            order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
+            out += [(i, r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(order)]
+    return out
+
+
+def lpt(docs, shards=24):
+    """docs: (doc_id, text). Loads of the shards when whole groups go one by one to the least-loaded shard."""
+    size = Counter()
+    for _, t in docs:
+        size[t or ""] += len((t or "").encode()) + 8
+    load = [0] * shards
+    for n in sorted(size.values(), reverse=True):
+        load[load.index(min(load))] += n
+    return sorted(load)
