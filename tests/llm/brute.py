@@ -159,3 +159,55 @@ def lpt(docs, shards=24):
     for n in sorted(size.values(), reverse=True):
         load[load.index(min(load))] += n
     return sorted(load)
+
+
+def repeats(docs, min_words=20, similarity=0.8):
+    """docs: (doc_id, text). (doc_id, lines, repeats, removed, component) by comparing all paragraphs."""
+    paras = []
+    for d, t in docs:
+        for i, line in enumerate((t or "").split("\n")):
+            w = ascii_lower(line).encode().split()
+            if len(w) >= min_words:
+                paras.append((d, i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)), b" ".join(w)))
+    by = defaultdict(list)
+    for k, p in enumerate(paras):
+        by[p[3]].append(k)
+    root = list(range(len(paras)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    index = defaultdict(set)
+    for key, places in by.items():
+        for k in places[1:]:
+            root[find(k)] = find(places[0])
+        for s in paras[places[0]][2]:
+            index[s].add(places[0])
+    for key, places in by.items():
+        k = places[0]
+        for j in {j for s in paras[k][2] for j in index[s]}:
+            both = len(paras[k][2] & paras[j][2])
+            if j != k and both >= similarity * (len(paras[k][2]) + len(paras[j][2]) - both):
+                root[find(j)] = find(k)
+    groups = defaultdict(list)
+    for k in range(len(paras)):
+        groups[find(k)].append(k)
+    n, removed, up = Counter(), defaultdict(list), {d: d for d, _ in docs}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for members in groups.values():
+        if len(members) > 1:
+            members.sort(key=lambda k: paras[k][:2])
+            for k in members:
+                n[paras[k][0]] += 1
+            for k in members[1:]:
+                removed[paras[k][0]].append((paras[k][1], paras[members[0]][0]))
+                a, b = top(paras[k][0]), top(paras[members[0]][0])
+                up[max(a, b)] = min(a, b)
+    return [(d, len((t or "").split("\n")), n[d], len(removed[d]), sorted(removed[d]), top(d)) for d, t in docs]
