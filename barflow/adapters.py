@@ -25,7 +25,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("instrument"), millis(F.col("ts")).alias("ts_ms"), "event_id", "user_id", mid.alias("mid"), (mid * (1 - k / 20000)).alias("bid"), (mid * (1 + k / 20000)).alias("ask"))
 
 
-TICKS = """ticks AS (SELECT event_type AS instrument, epoch_ms(ts) AS ts_ms, event_id, user_id, mid, mid * (1 - k / 20000) AS bid, mid * (1 + k / 20000) AS ask
+TICKS = """ticks AS (SELECT event_type AS instrument, epoch_us(ts) // 1000 AS ts_ms, event_id, user_id, mid, mid * (1 - k / 20000) AS bid, mid * (1 + k / 20000) AS ask
 FROM (SELECT *, 100 + value / 100 AS mid, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events))"""
 
 
@@ -50,7 +50,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("entry_px", F.lit(100.0)).withColumn("exit_px", 100 * (1 + F.col("side") * F.col("realized_r"))).withColumn("qty", F.lit(1.0)).withColumn("fee", F.lit(0.01)).withColumn("slip", F.lit(0.005))
 
 
-LEDGER = """ledger AS (SELECT o_orderkey AS trade_id, o_orderpriority AS instrument, epoch_ms(o_orderdate) AS ts_out_ms, o_orderstatus AS exit_reason, CASE WHEN o_totalprice >= 250000 THEN 1 ELSE -1 END AS side,
+LEDGER = """ledger AS (SELECT o_orderkey AS trade_id, o_orderpriority AS instrument, epoch_us(o_orderdate) // 1000 AS ts_out_ms, o_orderstatus AS exit_reason, CASE WHEN o_totalprice >= 250000 THEN 1 ELSE -1 END AS side,
 o_custkey AS model_id, r AS realized_r, 100.0 AS entry_px, 100 * (1 + CASE WHEN o_totalprice >= 250000 THEN 1 ELSE -1 END * r) AS exit_px, 1.0 AS qty, 0.01 AS fee, 0.005 AS slip
 FROM orders JOIN (SELECT l_orderkey, round(avg(l_discount - l_tax), 9) AS r FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
@@ -112,5 +112,5 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instrument"), millis(F.col("ts")).alias("ts_ms"), "event_id", action.alias("action"), kind.alias("reason"), (100 + F.col("value") / 100).alias("price"))
 
 
-DECISIONS = """decisions AS (SELECT CAST(user_id AS VARCHAR) AS instrument, epoch_ms(ts) AS ts_ms, event_id, CASE event_type WHEN 'signup' THEN 'open_long' WHEN 'error' THEN 'open_short' WHEN 'purchase' THEN 'close' ELSE 'skip' END AS action,
+DECISIONS = """decisions AS (SELECT CAST(user_id AS VARCHAR) AS instrument, epoch_us(ts) // 1000 AS ts_ms, event_id, CASE event_type WHEN 'signup' THEN 'open_long' WHEN 'error' THEN 'open_short' WHEN 'purchase' THEN 'close' ELSE 'skip' END AS action,
 event_type AS reason, 100 + value / 100 AS price FROM events)"""

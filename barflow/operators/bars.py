@@ -28,7 +28,7 @@ def on_grid(last: DataFrame, step_ms: int, values: list[str]) -> DataFrame:
     """`last` (instrument, ts_ms on a grid, values) on every step between each instrument's first and last, filled forward."""
     gap = Window.partitionBy("instrument").orderBy("ts_ms")
     upto = F.coalesce(F.lead("ts_ms").over(gap) - step_ms, F.col("ts_ms"))
-    return last.withColumn("ts_ms", F.explode(F.sequence("ts_ms", upto, F.lit(step_ms)))).select("instrument", "ts_ms", *values)
+    return last.withColumn("_upto", upto).withColumn("ts_ms", F.explode(F.sequence("ts_ms", "_upto", F.lit(step_ms)))).select("instrument", "ts_ms", *values)
 
 
 def resample_last(ticks: DataFrame, step_ms: int = 3000, tie: str = "event_id") -> DataFrame:
@@ -58,5 +58,5 @@ def retention_split(df: DataFrame, cap: int, by: list[str], ts: str = "ts_ms") -
     """Adds kept: whether a row is as new as the cap-th newest of its key; ties at the border stay."""
     counts = df.groupBy(*by, ts).agg(F.count("*").alias("_n"))
     newer = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, -1))
-    border = counts.where(True).withColumn("_newer", F.coalesce(newer, F.lit(0))).where(F.col("_newer") < cap).groupBy(*by).agg(F.min(ts).alias("_cut"))
+    border = counts.withColumn("_newer", F.coalesce(newer, F.lit(0))).where(F.col("_newer") < cap).groupBy(*by).agg(F.min(ts).alias("_cut"))
     return df.join(border, by).withColumn("kept", F.col(ts) >= F.col("_cut")).drop("_cut")

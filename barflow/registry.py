@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import market, trades
+
+MODULES = (market, trades)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Bars with their windows, from ticks."""
+    return market.w1_w17_price_windows(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: f for m in MODULES for n, f in m.P.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: s for m in MODULES for n, s in m.P.sql.items()}
