@@ -68,4 +68,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_line_dedup, op4_sharding, op5_bpe, op6_substring_dedup, op7_simhash, op8_mixing, op9_top_k, op10_secret_scan)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::INTEGER >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN g USING (h)""",
+    "op3_line_dedup": """WITH l AS (SELECT doc_id, i, a[i] AS line, translate(trim(a[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
+f AS (SELECT k, min(doc_id) AS owner FROM l GROUP BY k), j AS (SELECT l.*, length(k) >= 10 AND owner < doc_id AS gone FROM l JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+    "op8_mixing": """WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY source)),
+o AS (SELECT *, coalesce(sum(3 * ss) OVER (ORDER BY 3 * ss / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(w) OVER (ORDER BY 3 * ss / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_, sum(ss) OVER () AS total FROM s),
+k AS (SELECT first(total - capped ORDER BY 3 * ss / w, source) AS rest, first(open_ ORDER BY 3 * ss / w, source) AS open_ FROM o WHERE (total - capped) * w / open_ <= 3 * ss),
+t AS (SELECT source, ss, CASE WHEN rest * w / open_ > 3 * ss THEN CAST(3 * ss AS DOUBLE) ELSE CAST(rest * w AS DOUBLE) / open_ END AS target FROM s, k),
+u AS (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE floor(target / ss) END AS whole FROM t),
+c AS (SELECT source, h, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
+b AS (SELECT c.source, h, upto <= target - whole * ss OR (upto - n < target - whole * ss AND upto - (target - whole * ss) < target - whole * ss - (upto - n)) AS more FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, ss AS source_size, target, CAST(size * (whole + CASE WHEN more AND target > whole * ss THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN b ON b.source IS NOT DISTINCT FROM d.source AND b.h = d.h""",
+    "op9_top_k": """WITH g AS (SELECT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, i, CAST(floor(1024 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM g)),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10""",
+}
