@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .. import adapters as A
 from ..functions import stats
 from ..operators import ledger as L
-from .base import Plans, r6, s6
+from .base import Plans, r6
 
 P = Plans()
 ROLL = "count(*) AS n_trades, count(*) FILTER (realized_r > 0) AS wins, count(*) FILTER (realized_r < 0) AS losses, count(*) FILTER (realized_r = 0) AS scratched, round(sum(realized_r), 6) + 0.0 AS cum_r, round(coalesce(avg(realized_r) FILTER (realized_r > 0), 0), 6) AS avg_win, round(coalesce(avg(realized_r) FILTER (realized_r < 0), 0), 6) AS avg_loss, round(avg(realized_r), 6) + 0.0 AS expectancy, max(ts_out_ms) AS last_ts"
@@ -161,9 +161,9 @@ def t17_winner_per_run(spark: SparkSession, d: str) -> DataFrame:
     return best.select("w.model_id", "w.kind", "run_id")
 
 
-@P.add(f"SELECT trial_id, {s6('score')} FROM (SELECT trial_id, sortino - 0.5 * max_dd_bp / 1000 - 0.25 * turnover AS score FROM trials)", A.TRIALS)
+@P.add("SELECT trial_id, round(score, 9) + 0.0 AS score FROM (SELECT trial_id, sortino - 0.5 * max_dd_bp / 1000 - 0.25 * turnover AS score FROM trials)", A.TRIALS)
 def a32_trial_score(spark: SparkSession, d: str) -> DataFrame:
-    return A.trials(spark, d).select("trial_id", r6(F.col("sortino") - 0.5 * F.col("max_dd_bp") / 1000 - 0.25 * F.col("turnover"), "score"))
+    return A.trials(spark, d).select("trial_id", r6(F.col("sortino") - 0.5 * F.col("max_dd_bp") / 1000 - 0.25 * F.col("turnover"), "score", 9))
 
 
 @P.add("SELECT trial_id, pareto_rank FROM trials ORDER BY CASE WHEN pareto_rank > 0 THEN pareto_rank END NULLS LAST, sortino DESC, trial_id LIMIT 20", A.TRIALS)
