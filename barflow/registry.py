@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import market, trades
+from .plans import market, research, trades
 
-MODULES = (market, trades)
+MODULES = (market, trades, research)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
