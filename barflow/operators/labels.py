@@ -92,6 +92,7 @@ def select_labels(labels: DataFrame, cost: float = 0.0, min_hold_ms: int = 10_00
         pdf = pdf.sort_values(["ts_ms", "t1_ms"]).reset_index(drop=True)
         return pdf.iloc[best_schedule(pdf["ts_ms"].tolist(), pdf["t1_ms"].tolist(), (pdf["realized_r"].abs() - cost).tolist())]
 
+    able = able.withColumn("cluster", F.floor(F.col("cluster") / 256))  # neighbouring clusters share a call; the best of all is the best of each
     return able.groupBy("instrument", "cluster").applyInPandas(run, able.schema).drop("cluster")
 
 
