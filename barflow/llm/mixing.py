@@ -109,10 +109,10 @@ def plan_mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken, with all their columns."""
+    """The documents that the mix takes words from, each as often as it is taken, with all their columns; ones without words go."""
     names = [fresh(docs, n) for n in ("doc_key", "copies_taken")]
     plan = plan_mix(docs.select("doc_id", "source", F.xxhash64("text").alias("row_key"), n_words_of(F.col("text")).alias("size")), weights, limit)
-    taken = plan.where("copies > 0").select("doc_id", "row_key", "source", "copies").distinct()
+    taken = plan.where("taken > 0").select("doc_id", "row_key", "source", "copies").distinct()
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.xxhash64("d.text") == F.col("p.row_key")) & F.col("d.source").eqNullSafe(F.col("p.source"))
     both = docs.alias("d").join(taken.select("doc_id", "row_key", "source", F.col("copies").alias(names[1])).alias("p"), same).select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col(f"p.{names[1]}"))
     return both.withColumn(names[0], F.explode(F.sequence(F.lit(1), F.col(names[1])))).select(*(F.col(f"`{c}`") for c in docs.columns))
