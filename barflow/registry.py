@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import market, research, trades
+from .plans import market, research, ticks, trades
 
-MODULES = (market, trades, research)
+MODULES = (market, ticks, trades, research)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
