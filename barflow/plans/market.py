@@ -25,9 +25,9 @@ GRID = """last AS (SELECT instrument, ts_ms - ts_ms % 600000 AS step, last(bid O
 last(mid ORDER BY ts_ms, event_id) AS close FROM ticks GROUP BY 1, 2), grid AS (SELECT instrument, unnest(range(min(step), max(step) + 600000, 600000)) AS ts_ms FROM last GROUP BY 1)"""
 
 
-@P.add(f"SELECT g.instrument, g.ts_ms, {s6('bid', 'ask')} FROM grid g ASOF JOIN last l ON g.instrument = l.instrument AND g.ts_ms >= l.step", A.TICKS, GRID)
+@P.add(f"SELECT g.instrument, g.ts_ms, round(bid, 9) AS bid, round(ask, 9) AS ask FROM grid g ASOF JOIN last l ON g.instrument = l.instrument AND g.ts_ms >= l.step", A.TICKS, GRID)
 def a2_resample_last(spark: SparkSession, d: str) -> DataFrame:
-    return bars.resample_last(A.ticks(spark, d), 600_000).select("instrument", "ts_ms", r6("bid"), r6("ask"))
+    return bars.resample_last(A.ticks(spark, d), 600_000).select("instrument", "ts_ms", r6("bid", digits=9), r6("ask", digits=9))
 
 
 @P.add(f"SELECT g.instrument, g.ts_ms, {s6('open', 'high', 'low', 'close')} FROM grid g ASOF JOIN last l ON g.instrument = l.instrument AND g.ts_ms >= l.step", A.TICKS, GRID)
