@@ -26,10 +26,10 @@ def t21_positions(spark: SparkSession, d: str) -> DataFrame:
     return X.positions(_fills(spark, d), ["event_id"]).select("event_id", "net_units", r6(F.col("avg_price") / F.col("price") - 1, "avg_price", 9), r6(F.col("realized") / F.col("price"), "realized", 9))
 
 
-@P.add("SELECT b.instrument, b.ts_ms, round(coalesce(net * (b.close - av), 0) / b.close, 9) + 0.0 AS unrealized FROM bars b ASOF LEFT JOIN (SELECT instrument, ts_ms, last(net ORDER BY rn) AS net, last(av ORDER BY rn) AS av FROM held GROUP BY 1, 2) h ON b.instrument = h.instrument AND b.ts_ms >= h.ts_ms", FILLS, A.BARS.removeprefix(A.TICKS + ", "), HELD)
+@P.add("SELECT b.instrument, b.ts_ms, round(coalesce(net * (b.close - av), 0) / b.close, 7) + 0.0 AS unrealized FROM bars b ASOF LEFT JOIN (SELECT instrument, ts_ms, last(net ORDER BY rn) AS net, last(av ORDER BY rn) AS av FROM held GROUP BY 1, 2) h ON b.instrument = h.instrument AND b.ts_ms >= h.ts_ms", FILLS, A.BARS.removeprefix(A.TICKS + ", "), HELD)
 def t22_a35_mark_to_market(spark: SparkSession, d: str) -> DataFrame:
     marks = A.bars(spark, d).select("instrument", "ts_ms", F.col("close").alias("mid"))
-    return X.mark_to_market(marks, X.positions(_fills(spark, d), ["event_id"]), ["event_id"]).select("instrument", "ts_ms", r6(F.col("unrealized") / F.col("mid"), "unrealized", 9))
+    return X.mark_to_market(marks, X.positions(_fills(spark, d), ["event_id"]), ["event_id"]).select("instrument", "ts_ms", r6(F.col("unrealized") / F.col("mid"), "unrealized", 7))
 
 
 SIGNALS = """signals AS (SELECT instrument, ts_ms, event_id, CASE user_id % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' ELSE 'flat' END AS direction, (event_id * 37 % 100) / 100 AS confidence, event_id % 7 - 3 AS net FROM ticks),

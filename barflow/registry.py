@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import market, positions, research, ticks, trades
+from .plans import market, models, positions, research, scalars, ticks, trades
 
-MODULES = (market, ticks, trades, positions, research)
+MODULES = (market, ticks, trades, positions, scalars, models, research)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
