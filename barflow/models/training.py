@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector, VectorAssembler
@@ -12,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SEED = 42
 
@@ -116,10 +119,6 @@ def walk_forward(rows: DataFrame, features: list[str], y: str, by: list[str], fi
 
     Rows are summed once for each block of `every`; a fit adds the blocks of its buffer, so rows are neither copied nor read again.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.window import Window
-
     f = len(features)
     size = f + 1
     rows = rows.withColumn("_block", F.expr(f"(rn - 1) div {every}"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,6 +51,25 @@ def bootstrap(df: DataFrame, value: str, stat: Callable[[str], Column], resample
     return each.agg(F.percentile("stat", alpha / 2).alias("low"), F.avg("stat").alias("mean"), F.percentile("stat", 1 - alpha / 2).alias("high"))
 
 
+#: side, entry price, bars held, bars left of the cooldown
+FLAT = (0, 0.0, 0, 0)
+
+
+def trade_step(p: Mapping, state: tuple[int, float, int, int], close: float, p_long: float, p_short: float, sigma: float) -> tuple[tuple, tuple]:
+    """One bar of the trader's state machine with parameters p: the next state, and (action, reason, realized_r)."""
+    side, entry, held, wait = state
+    if side:
+        held, gain = held + 1, side * (close / entry - 1)
+        reason = "stop" if gain <= -p["stop"] * sigma else "target" if gain >= p["target"] * sigma else "max_hold" if held >= p["max_hold"] else "reverse" if side * (p_short - p_long) > p["margin"] else None
+        return ((0, 0.0, 0, int(p["cooldown"])), ("close", reason, gain)) if reason else ((side, entry, held, 0), ("skip", "hold", None))
+    if wait:
+        return (0, 0.0, 0, wait - 1), ("skip", "cooldown", None)
+    if max(p_long, p_short) >= p["take"] and abs(p_long - p_short) >= p["margin"]:
+        side = 1 if p_long > p_short else -1
+        return (side, close, 0, 0), ("open_long" if side > 0 else "open_short", "signal", None)
+    return FLAT, ("skip", "flat", None)
+
+
 def trade_decisions(bars: DataFrame, params: DataFrame) -> DataFrame:
     """
     bars: instrument, ts_ms, close, p_long, p_short, sigma. params: params_id, take, margin, stop, target, max_hold, cooldown (few
@@ -62,25 +81,10 @@ def trade_decisions(bars: DataFrame, params: DataFrame) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_ms")
-        p = pdf.iloc[0]
-        side, entry, held, wait, out = 0, 0.0, 0, 0, []
-        for t, c, lo, sh, s in zip(*(pdf[n].tolist() for n in ("ts_ms", "close", "p_long", "p_short", "sigma")), strict=True):
-            action, reason, r = "skip", "flat", None
-            if side:
-                held += 1
-                gain = side * (c / entry - 1)
-                against = (sh if side > 0 else lo) - (lo if side > 0 else sh)
-                reason = "stop" if gain <= -p["stop"] * s else "target" if gain >= p["target"] * s else "max_hold" if held >= p["max_hold"] else "reverse" if against > p["margin"] else ""
-                action, r = ("close", gain) if reason else ("skip", None)
-                reason = reason or "hold"
-                if action == "close":
-                    side, held, wait = 0, 0, int(p["cooldown"])
-            elif wait:
-                wait, reason = wait - 1, "cooldown"
-            elif max(lo, sh) >= p["take"] and abs(lo - sh) >= p["margin"]:
-                side, entry = (1, c) if lo > sh else (-1, c)
-                action, reason = ("open_long" if side > 0 else "open_short"), "signal"
-            out.append((key[0], key[1], t, action, reason, r))
+        p, state, out = pdf.iloc[0], FLAT, []
+        for t, *row in zip(*(pdf[n].tolist() for n in ("ts_ms", "close", "p_long", "p_short", "sigma")), strict=True):
+            state, done = trade_step(p, state, *row)
+            out.append((key[0], key[1], t, *done))
         return pd.DataFrame(out, columns=["instrument", "params_id", "ts_ms", "action", "reason", "realized_r"])
 
     return bars.crossJoin(F.broadcast(params)).groupBy("instrument", "params_id").applyInPandas(run, "instrument string, params_id int, ts_ms long, action string, reason string, realized_r double")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAIR = "array<struct<p:double,s:double>>"
-FEED = f"array<struct<T:string,S:string,t:string,bp:double,bs:double,ap:double,`as`:double,p:double,s:double,b:{PAIR},a:{PAIR}>>"
 ACCOUNT = "NAV string, balance string, unrealizedPL string, pl string, marginUsed string, marginAvailable string, marginRate string, openPositionCount long, openTradeCount long, pendingOrderCount long, currency string"
 TRANSACTION = "id string, type string, time string, instrument string, units string, price string, pl string, reason string"
 #: The tables that an archive may be read from.
@@ -17,24 +16,27 @@ ARCHIVED = ("price_ticks", "bars", "feature_vectors", "signals", "optimizer_tria
 
 def feed_items(frames: DataFrame, value: str = "value") -> DataFrame:
     """The items of frames that are arrays; text that isn't JSON, or no array, gives none. Control items are dropped."""
-    items = frames.select(F.explode(F.from_json(value, FEED)).alias("f")).select("f.*").where(F.col("T").isin("q", "t", "o"))
-    return items.withColumn("ts_ms", F.unix_millis(F.try_to_timestamp("t"))).where("S IS NOT NULL AND ts_ms IS NOT NULL").withColumnRenamed("S", "instrument")
+    f = F.col("f")  # a map, since T and t are different fields
+    items = frames.select(F.explode(F.from_json(value, "array<map<string,string>>")).alias("f")).where(f["T"].isin("q", "t", "o"))
+    numbers = [f[c].try_cast("double").alias(c) for c in ("bp", "ap", "p", "s")]
+    items = items.select(f["T"].alias("kind"), f["S"].alias("instrument"), F.unix_millis(F.try_to_timestamp(f["t"])).alias("ts_ms"), *numbers, *(F.from_json(f[c], PAIR).alias(c) for c in "ab"))
+    return items.where("instrument IS NOT NULL AND ts_ms IS NOT NULL")
 
 
 def parse_quote_frames(frames: DataFrame, value: str = "value") -> DataFrame:
     """Quotes with both sides above 0; the spread is 0 at least."""
-    q = feed_items(frames, value).where("T = 'q' AND bp > 0 AND ap > 0")
+    q = feed_items(frames, value).where("kind = 'q' AND bp > 0 AND ap > 0")
     return q.select("instrument", "ts_ms", F.col("bp").alias("bid"), F.col("ap").alias("ask"), ((F.col("bp") + F.col("ap")) / 2).alias("mid"), F.greatest(F.col("ap") - F.col("bp"), F.lit(0.0)).alias("spread"), F.lit("tradeable").alias("status"))
 
 
 def parse_trade_frames(frames: DataFrame, value: str = "value") -> DataFrame:
-    t = feed_items(frames, value).where("T = 't' AND p IS NOT NULL")
+    t = feed_items(frames, value).where("kind = 't' AND p IS NOT NULL")
     return t.select("instrument", "ts_ms", F.col("p").alias("price"), F.coalesce("s", F.lit(0.0)).alias("size"))
 
 
 def parse_book_deltas(frames: DataFrame, value: str = "value") -> DataFrame:
     """instrument, ts_ms, side, price, size: one row for each changed level, as fold_book() takes them."""
-    o = feed_items(frames, value).where("T = 'o'")
+    o = feed_items(frames, value).where("kind = 'o'")
     side = lambda c, name: F.transform(F.coalesce(c, F.array().cast(PAIR)), lambda x: F.struct(F.lit(name).alias("side"), x["p"].alias("price"), x["s"].alias("size")))
     return o.select("instrument", "ts_ms", F.explode(F.concat(side(F.col("b"), "bid"), side(F.col("a"), "ask"))).alias("x")).select("instrument", "ts_ms", "x.*").where("price IS NOT NULL AND size IS NOT NULL")
 
