@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, durable, let, skew_join, words_of
+from .common import SPACE, durable, let, skew_join, stored, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -55,13 +55,15 @@ def repeated_words(words: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the measures of each text; row_key tells rows of one doc_id apart."""
+def measure(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, lang, source and the measures of each text; if `whole`, also the row itself, as a struct of that name."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("doc_id", "lang", "source", F.xxhash64("text", "lang", "source").alias("row_key"), text.alias("t"), words_of(F.col("text")).alias("w"), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("l"))
+    kept = ["doc_id", "lang", "source", *(["whole"] if whole else [])]
+    rows = docs.select("doc_id", "lang", "source", "text", *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")] if whole else []))
+    cut = rows.select(*kept, text.alias("t"), words_of(F.col("text")).alias("w"), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("l"))
     n = lambda c: c.cast("long")
     return cut.select(
-        "doc_id", "lang", "source", "row_key",
+        *kept,
         n(F.size("w")).alias("n_words"), n(F.char_length(F.array_join("w", ""))).alias("word_chars"), n(F.regexp_count("t", F.lit(SYMBOLS))).alias("n_symbols"),
         n(F.size("l")).alias("n_lines"), n(F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"), repeated_words(F.col("w")).alias("n_repeat_words"),
     )
@@ -111,6 +113,25 @@ def thresholds(measured: DataFrame, limits: Limits) -> DataFrame:
     return cells.groupBy("grp").agg(F.max("members").alias("members"), *(F.max(F.when(F.col("name") == m, f)).alias(f"{end}_{m}") for m in limits.slack for end, f in (("low", F.col("q1") - F.col("reach")), ("high", F.col("q3") + F.col("reach")))))
 
 
+def rated(docs: DataFrame, limits: Limits, whole: bool = False) -> DataFrame:
+    """The measures with base_failed, in thousandths what the limits hold for, and the keys of group and language."""
+    n = F.col("n_words")
+    per = lambda a, b: F.expr(f"coalesce({a} * 1000 div {b}, 0)")
+    measured = measure(docs, whole).withColumn("base_failed", (n < limits.min_words_base) | (F.col("n_repeat_words") * 100 > n * limits.repeat_percent))
+    return measured.withColumns({"symbols": per("n_symbols", "nullif(n_words, 0)"), "length": per("word_chars", "nullif(n_words, 0)"), "lines": per("n_dup_lines", "nullif(n_lines, 0)"), "repeats": per("n_repeat_words", "nullif(n_words, 0)"), "grp": _key("lang", "source"), "lang_key": _key("lang")})
+
+
+def judged(measured: DataFrame, limits: Limits) -> DataFrame:
+    """`measured`, which is read several times, with kept: whether a row passes the base rules and its group's limits."""
+    met = skew_join(measured, durable(thresholds(measured, limits)), ["grp"], "members")
+    ok = [F.col(m) <= F.col(f"high_{m}") for m in limits.slack if m != "length"]
+    ok.append((F.col("n_words") < limits.min_words) | F.col("length").between(F.col("low_length"), F.col("high_length")))
+    fine = ok[0]
+    for x in ok[1:]:
+        fine = fine & x
+    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True)))
+
+
 def judge(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """
     One row for each document: the measures, base_failed, and kept: whether it passes the base rules and its group's limits.
@@ -118,22 +139,16 @@ def judge(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     The measures are taken once and kept in the shared folder; the text is never shuffled.
     """
     limits = limits or Limits()
-    n = F.col("n_words")
-    per = lambda a, b: F.expr(f"coalesce({a} * 1000 div {b}, 0)")
-    measured = measure(docs).withColumn("base_failed", (n < limits.min_words_base) | (F.col("n_repeat_words") * 100 > n * limits.repeat_percent))
-    measured = measured.withColumns({"symbols": per("n_symbols", "nullif(n_words, 0)"), "length": per("word_chars", "nullif(n_words, 0)"), "lines": per("n_dup_lines", "nullif(n_lines, 0)"), "repeats": per("n_repeat_words", "nullif(n_words, 0)"), "grp": _key("lang", "source"), "lang_key": _key("lang")})
-    measured = durable(measured)
-    judged = skew_join(measured, durable(thresholds(measured, limits)), ["grp"], "members")
-    ok = [F.col(m) <= F.col(f"high_{m}") for m in limits.slack if m != "length"]
-    ok.append((n < limits.min_words) | F.col("length").between(F.col("low_length"), F.col("high_length")))
-    fine = ok[0]
-    for x in ok[1:]:
-        fine = fine & x
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True)))
+    return judged(durable(rated(docs, limits)), limits)
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """The documents that judge() keeps, with all their columns. Rows are told apart by doc_id and a hash of what is judged."""
-    good = judge(docs, limits).where("kept").select("doc_id", "row_key")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text", "d.lang", "d.source") == F.col("k.row_key"))
-    return docs.alias("d").join(good.alias("k"), same, "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    """
+    The documents that judge() keeps, with all their columns.
+
+    Rows are stored beside their measures, which thresholds() reads alone, so verdicts need no join back to the texts: rows of large
+    groups stay where they are, and only the texts of groups with less than a thousandth of all rows are shuffled.
+    """
+    limits = limits or Limits()
+    good = judged(stored(rated(docs, limits, whole=True), "measured"), limits).where("kept")
+    return good.select(*(F.col("whole").getField(c).alias(c) for c in docs.columns))
