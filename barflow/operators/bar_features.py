@@ -14,7 +14,7 @@ FLOOR = 1e-12
 
 def price_windows(bars: DataFrame) -> DataFrame:
     """Log returns, rolling deviations, spread z-score, moving averages, bands, true range, range, drawdown, volume terms."""
-    rows = with_lookback(number_rows(bars, BY), 301)
+    rows = with_lookback(number_rows(bars, BY), 301, by=BY)
     s, c = Series(BY), F.col("close")
     log = F.log(F.greatest(c, F.lit(FLOOR)))
     rows = rows.withColumn("r1", F.coalesce(log - s.lag(log), F.lit(0.0))).withColumn("prev", F.coalesce(s.lag(c), c))

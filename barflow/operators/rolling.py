@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK = 1 << 16
+#: A block has this many rows at least, and so many times the rows it looks back on: the copies stay a 16th of all rows at most.
+BLOCK, TIMES = 1 << 12, 16
 
 
 def number_rows(df: DataFrame, by: list[str], ts: str = "ts_ms", tie: list[str] | None = None, slice_ms: int = 86_400_000, name: str = "rn") -> DataFrame:
@@ -24,14 +25,19 @@ def number_rows(df: DataFrame, by: list[str], ts: str = "ts_ms", tie: list[str]
     return sliced.join(before, [*by, "_slice"]).withColumn(name, (F.col("_before") + inside).cast("long")).drop("_slice", "_before")
 
 
-def with_lookback(numbered: DataFrame, rows: int, block: int = BLOCK, rn: str = "rn") -> DataFrame:
-    """Adds _block, and _halo for the copies of a block's last `rows` rows that the next block looks back on."""
+def with_lookback(numbered: DataFrame, rows: int, block: int | None = None, rn: str = "rn", by: list[str] | None = None) -> DataFrame:
+    """
+    Adds _block, and _halo for the copies of a block's last `rows` rows that the next block looks back on. With `by`, the series' key,
+    blocks are dealt out at once, to as many tasks as shuffles have: long windows cost far more than their bytes would tell.
+    """
+    block = block or max(BLOCK, TIMES * rows)
     own = F.floor((F.col(rn) - 1) / block)
     tail = (F.col(rn) - 1) % block >= block - rows
     if rows >= block:
         raise ValueError("a block is longer than what its windows look back on")
     copies = F.when(tail, F.array(F.struct(own.alias("b"), F.lit(False).alias("h")), F.struct((own + 1).alias("b"), F.lit(True).alias("h")))).otherwise(F.array(F.struct(own.alias("b"), F.lit(False).alias("h"))))
-    return numbered.withColumn("_c", F.explode(copies)).withColumn("_block", F.col("_c.b")).withColumn("_halo", F.col("_c.h")).drop("_c")
+    out = numbered.withColumn("_c", F.explode(copies)).withColumn("_block", F.col("_c.b")).withColumn("_halo", F.col("_c.h")).drop("_c")
+    return out.repartition(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_block") if by else out
 
 
 def without_lookback(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 def _run(a: np.ndarray, b: np.ndarray, y: float) -> np.ndarray:

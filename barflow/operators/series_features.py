@@ -43,20 +43,21 @@ def grid_windows(grid: DataFrame, frames: dict[str, int] | None = None) -> DataF
     frames = frames or {"1m": 20, "5m": 100, "15m": 300}
     s, mid = Series(BY), F.col("mid")
     rows = grid.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).withColumn("spread", F.col("ask") - F.col("bid")).withColumn("spread_bp", F.col("spread") / F.col("mid") * 1e4)
-    rows = with_lookback(number_rows(rows, BY), 2 * max(frames.values()) + 1)
+    rows = with_lookback(number_rows(rows, BY), 2 * max(frames.values()) + 1, by=BY)
     diff = mid - s.lag(mid)
     rows = rows.withColumns({"log_return": F.log(mid / s.lag(mid)), "gain": F.greatest(diff, F.lit(0.0)), "loss": F.greatest(-diff, F.lit(0.0)), "force": diff * F.col("spread")})
     rows = rows.withColumns({"gain": F.when(diff.isNotNull(), F.col("gain")), "loss": F.when(diff.isNotNull(), F.col("loss"))})
     rows = rows.withColumns({f"tr_{k}": s.most(F.col("ask"), n) - s.least(F.col("bid"), n) for k, n in frames.items()})
+    taken = {f"{m}_{k}": v for k, n in frames.items() for m, v in (("_mean", s.mean(mid, n)), ("_sd", s.sd(mid, n)), ("_up", s.mean(F.col("gain"), n)), ("_down", s.mean(F.col("loss"), n)), ("volatility", s.sd(F.col("log_return"), n)), ("atr", s.mean(F.col(f"tr_{k}"), n)))}
+    rows = without_lookback(rows.withColumns(taken))  # each window is taken once; what follows is arithmetic
     out: dict[str, Column] = {}
-    for k, n in frames.items():
-        mean, sd, atr = s.mean(mid, n), s.sd(mid, n), s.mean(F.col(f"tr_{k}"), n)
-        down = s.mean(F.col("loss"), n)
+    for k in frames:
+        mean, sd, up, down = (F.col(f"{m}_{k}") for m in ("_mean", "_sd", "_up", "_down"))
         out |= {
-            f"volatility_{k}": s.sd(F.col("log_return"), n), f"rsi_{k}": 100 - 100 / (1 + s.mean(F.col("gain"), n) / F.when(down != 0, down)), f"sma_{k}": mean,
-            f"bb_upper_{k}": mean + 2 * sd, f"bb_lower_{k}": mean - 2 * sd, f"bb_width_{k}": 4 * sd / F.nullif(mean, F.lit(0.0)), f"atr_{k}": atr, f"natr_{k}": atr / F.nullif(mid, F.lit(0.0)),
+            f"rsi_{k}": 100 - 100 / (1 + up / F.when(down != 0, down)), f"sma_{k}": mean, f"bb_upper_{k}": mean + 2 * sd, f"bb_lower_{k}": mean - 2 * sd,
+            f"bb_width_{k}": 4 * sd / F.nullif(mean, F.lit(0.0)), f"natr_{k}": F.col(f"atr_{k}") / F.nullif(mid, F.lit(0.0)),
         }
-    return without_lookback(rows.withColumns(out)).drop("gain", "loss", *(f"tr_{k}" for k in frames))
+    return rows.withColumns(out).drop("gain", "loss", *(f"{m}_{k}" for k in frames for m in ("tr", "_mean", "_sd", "_up", "_down")))
 
 
 def grid_features(grid: DataFrame, frames: dict[str, int] | None = None, macd: tuple[int, int, int] = (240, 520, 180), force: int = 260, books: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -87,7 +88,7 @@ def tick_windows(ticks: DataFrame, tie: list[str], exact: bool = False) -> DataF
     ticks are those over 60 scaled up and the spread's score is 0; exact=True takes both over 300 ticks.
     """
     s, mid = Series(BY), F.col("mid")
-    rows = with_lookback(number_rows(ticks, BY, tie=tie), 362)
+    rows = with_lookback(number_rows(ticks, BY, tie=tie), 362, by=BY)
     ret = lambda k: F.when((F.col("rn") > k) & (mid > 0) & (s.lag(mid, k) > 0), F.log(mid / s.lag(mid, k))).otherwise(0.0)
     rows = rows.withColumns({"log_ret_1": ret(1), "log_ret_10": ret(10), "log_ret_60": ret(60), "spread": F.col("ask") - F.col("bid")})
     safe = F.when(mid == 0, F.lit(2.220446049250313e-16)).otherwise(mid)
@@ -161,7 +162,7 @@ def depth_features(book: DataFrame, mid: Column | None = None) -> DataFrame:
 def momentum_features(ticks: DataFrame, tie: list[str], long: int = 60, short: int = 20, momentum: int = 10) -> DataFrame:
     """Log change over `momentum` and `long` ticks, deviation of one-tick changes, short less long mean in deviations, relative spread; from the `long`-th tick on."""
     s, mid = Series(BY), F.col("mid")
-    rows = with_lookback(number_rows(ticks, BY, tie=tie), long + 1)
+    rows = with_lookback(number_rows(ticks, BY, tie=tie), long + 1, by=BY)
     log = F.log(mid)
     rows = rows.withColumn("_step", log - s.lag(log))
     sd = F.stddev_pop("mid").over(s.frame(long))
