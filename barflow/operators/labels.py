@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .asof import forward_range
+from .rolling import Series, number_rows, running, with_lookback, without_lookback
 
 
 def triple_barrier(bars: DataFrame, events: DataFrame, pt: float, sl: float, horizon: int, min_edge: float = 0.0) -> DataFrame:
@@ -58,9 +59,20 @@ def cusum_events(bars: DataFrame, h: float) -> DataFrame:
 
 def overlap_clusters(labels: DataFrame, by: list[str]) -> DataFrame:
     """Adds cluster: labels whose intervals [ts_ms, t1_ms] overlap in a chain. Clusters are independent, so choices in them are too."""
-    w = Window.partitionBy(*by).orderBy("ts_ms", "t1_ms")
-    upto = F.max("t1_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return labels.withColumn("_new", F.when(upto.isNull() | (F.col("ts_ms") >= upto), 1).otherwise(0)).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
+    seen = running(labels, by, "ts_ms", ["t1_ms"], F.col("t1_ms"), "max", "_upto", own=False)
+    new = F.when(F.col("_upto").isNull() | (F.col("ts_ms") >= F.col("_upto")), 1).otherwise(0)
+    return running(seen, by, "ts_ms", ["t1_ms"], new, "sum", "cluster").drop("_upto")
+
+
+def forward_change(bars: DataFrame, rows: int, by: list[str]) -> DataFrame:
+    """
+    The bars that have one `rows` rows later, with that one's close as `later` (W25, A31). Each row finds its earlier one by
+    looking back, so blocks need no rows after them.
+    """
+    found, s = with_lookback(number_rows(bars, by), rows), Series(by)
+    back = found.withColumn("_then", s.lag(F.struct("ts_ms", *(c for c in bars.columns if c not in (*by, "ts_ms"))), rows))
+    done = without_lookback(back).where(F.col("rn") > rows)
+    return done.select(*by, F.col("_then.ts_ms").alias("ts_ms"), *(F.col(f"_then.{c}").alias(c) for c in bars.columns if c not in (*by, "ts_ms")), F.col("close").alias("later"))
 
 
 def best_schedule(t0: list[int], t1: list[int], score: list[float]) -> list[int]:

@@ -25,6 +25,21 @@ def number_rows(df: DataFrame, by: list[str], ts: str = "ts_ms", tie: list[str]
     return sliced.join(before, [*by, "_slice"]).withColumn(name, (F.col("_before") + inside).cast("long")).drop("_slice", "_before")
 
 
+def running(df: DataFrame, by: list[str], ts: str, tie: list[str], value: Column, how: str, name: str, own: bool = True, slice_ms: int = 86_400_000) -> DataFrame:
+    """
+    Adds `name`: the sum or max (`how`) of `value` over all rows up to this one in the order of (ts, tie), or, unless `own`, over those
+    before it. Taken inside time slices, with one row for each slice chained; with `own`, rows that tie have the same value.
+    """
+    f = {"sum": F.sum, "max": F.max}[how]
+    sliced = df.withColumn("_slice", F.floor(F.col(ts) / slice_ms)).withColumn("_v", value)
+    totals = sliced.groupBy(*by, "_slice").agg(f("_v").alias("_t"))
+    before = totals.select(*by, "_slice", f("_t").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    w = Window.partitionBy(*by, "_slice").orderBy(ts, *tie)
+    inside = f("_v").over(w if own else w.rowsBetween(Window.unboundedPreceding, -1))
+    both = F.greatest(inside, F.col("_before")) if how == "max" else F.coalesce(inside, F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return sliced.join(before, [*by, "_slice"]).withColumn(name, both).drop("_slice", "_v", "_before")
+
+
 def with_lookback(numbered: DataFrame, rows: int, block: int | None = None, rn: str = "rn", by: list[str] | None = None) -> DataFrame:
     """
     Adds _block, and _halo for the copies of a block's last `rows` rows that the next block looks back on. With `by`, the series' key,

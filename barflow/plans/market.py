@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import adapters as A
-from ..operators import asof, bar_features, bars, labels, splits
+from ..operators import asof, bar_features, bars, labels, series_features, splits
 from ..operators.rolling import Series, number_rows, with_lookback, without_lookback
+from ..sinks import tables
 from .base import Plans, r6, s6
 
 P = Plans()
@@ -267,12 +267,24 @@ def t12_sliding_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @P.add("SELECT instrument, round(corr(x, y), 6) AS corr FROM (SELECT instrument, close - open AS x, lead(close) OVER (PARTITION BY instrument ORDER BY ts_ms) - close AS y FROM bars) WHERE y IS NOT NULL GROUP BY 1", B)
 def a31_next_change_correlation(spark: SparkSession, d: str) -> DataFrame:
-    nxt = F.lead("close").over(Window.partitionBy("instrument").orderBy("ts_ms"))
-    rows = A.bars(spark, d).select("instrument", (F.col("close") - F.col("open")).alias("x"), (nxt - F.col("close")).alias("y")).where("y IS NOT NULL")
+    rows = labels.forward_change(A.bars(spark, d), 1, ["instrument"]).select("instrument", (F.col("close") - F.col("open")).alias("x"), (F.col("later") - F.col("close")).alias("y"))
     return rows.groupBy("instrument").agg(r6(F.corr("x", "y"), "corr"))
 
 
 @P.add("SELECT instrument, ts_ms, round(r, 6) + 0.0 AS r, CASE WHEN r >= 0 THEN 1 ELSE 0 END AS y FROM (SELECT instrument, ts_ms, ln(lead(close, 5) OVER (PARTITION BY instrument ORDER BY ts_ms)) - ln(close) AS r FROM bars) WHERE r IS NOT NULL", B)
 def w25_forward_return(spark: SparkSession, d: str) -> DataFrame:
-    r = F.log(F.lead("close", 5).over(Window.partitionBy("instrument").orderBy("ts_ms"))) - F.log("close")
-    return A.bars(spark, d).select("instrument", "ts_ms", r.alias("r")).where("r IS NOT NULL").select("instrument", "ts_ms", r6("r"), F.when(F.col("r") >= 0, 1).otherwise(0).alias("y"))
+    rows = labels.forward_change(A.bars(spark, d), 5, ["instrument"]).withColumn("r", F.log("later") - F.log("close"))
+    return rows.select("instrument", "ts_ms", r6("r"), F.when(F.col("r") >= 0, 1).otherwise(0).alias("y"))
+
+
+@P.add("SELECT g.ts_ms, round(ask, 9) AS purchase_ask, round(bid, 9) AS purchase_bid FROM grid g ASOF JOIN last l ON g.instrument = l.instrument AND g.ts_ms >= l.step WHERE g.instrument = 'purchase'", A.TICKS, GRID)
+def p8_prefixed_columns(spark: SparkSession, d: str) -> DataFrame:
+    quotes = bars.resample_last(A.ticks(spark, d), 600_000).select("instrument", "ts_ms", r6("bid", digits=9), r6("ask", digits=9))
+    return series_features.prefixed(quotes, "purchase")
+
+
+@P.add("SELECT o_orderkey AS trade_id, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS instrument, o_custkey AS model_id, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS exit_reason FROM orders")
+def p10_added_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Trades written before two columns were added, and after."""
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("trade_id"), F.col("o_custkey").alias("model_id"), F.col("o_orderpriority").alias("instrument"), F.col("o_orderstatus").alias("exit_reason"))
+    return tables.evolved(o.where("trade_id % 2 = 0").select("trade_id", "model_id"), o.where("trade_id % 2 = 1"))

@@ -59,6 +59,11 @@ def kept_first(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*new.columns)
 
 
+def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of both; columns that only one has are null in the other (P10). Files of both kinds are read with Spark's mergeSchema."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether the folder holds a finished table; asked of Spark's own reader, so that any file system will do."""
     try:

@@ -1,5 +1,6 @@
 """Hand cases and invariants."""
 
+import random
 from itertools import combinations
 
 import pytest
@@ -74,3 +75,18 @@ def test_splits_leak_nothing(spark):
         for r in rows:
             if r.split == s and r.role == "train":
                 assert all(r.t1 < a or r.t0 > b for a, b in test)
+
+
+def test_running_values_over_slices(spark):
+    rng = random.Random(5)
+    rows = [(k, t := rng.randrange(400), t + rng.randrange(30)) for k in "ab" for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, ts_ms long, t1_ms long")
+    got = rolling.running(df, ["k"], "ts_ms", ["t1_ms"], F.col("t1_ms"), "max", "top", slice_ms=50).collect()
+    assert all(r.top == max(b for k, a, b in rows if k == r.k and (a, b) <= (r.ts_ms, r.t1_ms)) for r in got) and len(got) == len(rows)
+    number, upto, want = {"a": 0, "b": 0}, {}, set()
+    for k, a, b in sorted(rows):
+        number[k] += k not in upto or a >= upto[k]
+        upto[k] = max(upto.get(k, b), b)
+        want.add((k, a, b, number[k]))
+    found = {tuple(r) for r in labels.overlap_clusters(df, ["k"]).select("k", "ts_ms", "t1_ms", "cluster").collect()}
+    assert {x for x in found if x[1] < x[2]} == {x for x in want if x[1] < x[2]}
