@@ -69,6 +69,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_line_dedup, op4_sharding, op5_bpe, op6_substring_dedup, op7_simhash, op8_mixing, op9_top_k, op10_secret_scan)}
 
 ORACLES = {
+    "op1_quality_rules": r"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS five FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM p), range(5) x(k) WHERE c >= 2 GROUP BY doc_id),
+m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+v AS (SELECT doc_id, lang, source, n_words, unnest(['symbols', 'length', 'lines', 'repeats']) AS name, unnest([100, 1500, 400, 150]) AS slack, unnest([n_symbols * 1000 // n_words, word_chars * 1000 // n_words, n_dup_lines * 1000 // n_lines, n_repeat_words * 1000 // n_words]) AS v FROM f WHERE NOT base_failed),
+b AS (SELECT lang, source, name, slack, v // CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) * CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS bucket, count(*) AS n FROM v GROUP BY ALL),
+o AS (SELECT lang, source, name, slack, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= docs * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, name ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY lang, source, name) AS docs FROM b) GROUP BY ALL),
+g AS (SELECT lang, name, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= docs * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY lang, name ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY lang, name) AS docs FROM b) GROUP BY ALL),
+a AS (SELECT name, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= docs * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY name ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY name) AS docs FROM b) GROUP BY ALL),
+c AS (SELECT o.lang, o.source, o.name, o.slack, CASE WHEN o.docs >= 200 THEN o.q1 WHEN g.docs >= 200 THEN g.q1 ELSE a.q1 END AS q1, CASE WHEN o.docs >= 200 THEN o.q3 WHEN g.docs >= 200 THEN g.q3 ELSE a.q3 END AS q3 FROM o JOIN g ON g.name = o.name AND g.lang IS NOT DISTINCT FROM o.lang JOIN a ON a.name = o.name),
+bad AS (SELECT DISTINCT v.doc_id FROM v JOIN c ON c.name = v.name AND c.lang IS NOT DISTINCT FROM v.lang AND c.source IS NOT DISTINCT FROM v.source WHERE (v.name <> 'length' AND v > q3 + greatest(4 * (q3 - q1), c.slack)) OR (v.name = 'length' AND n_words >= 50 AND v NOT BETWEEN q1 - greatest(4 * (q3 - q1), c.slack) AND q3 + greatest(4 * (q3 - q1), c.slack)))
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM f LEFT JOIN bad ON bad.doc_id = f.doc_id""",
     "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::INTEGER >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
 CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN g USING (h)""",
