@@ -205,6 +205,16 @@ def test_secret_forest_on_held_out_labels(spark):
     assert n > 50 and right > 0.95
 
 
+def test_quality_keeps_whole_rows(spark):
+    """Nulls, repeated rows, a long text, and columns whose names the operator uses itself."""
+    fine = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, "en", "a", fine, 7, "x", 1.5), (1, "en", "a", fine, 7, "x", 1.5), (None, None, None, fine, None, None, None), (2, "en", "a", None, 0, "y", 0.0), (3, "en", "a", " \n", 0, "y", 0.0), (4, "en", None, "same five words come again " * 50_000, 0, "z", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, n_words int, whole string, `odd.grp` double")
+    got = quality.keep_good(df)
+    assert got.columns == df.columns and got.schema.simpleString() == df.schema.simpleString()
+    assert sort(map(tuple, got.collect())) == sort(rows[:3])
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     for f in (quality.keep_good, linededup.drop_repeated_lines, simhash.keep_one, mixing.mixed_documents, shards.shard, substring.classified, substring.drop_repeats, secrets.scan):
