@@ -5,7 +5,7 @@ A paragraph is a line of `min_words` words or more, compared without regard to t
 five-word shingles where its text is read; `bands` bands of `rows` values each are tuned for recall (12 of 3: at a similarity of 0.8
 two paragraphs miss each other with a chance of 0.0002). Equal paragraphs are one node. Nodes that share a band are verified by the
 exact Jaccard similarity of their shingle sets, and verified links are joined to components. Of a component the first paragraph, by
-doc_id and place, stays; the others are removed.
+doc_id and place, stays; the others are removed. Passages of over 50 words that don't keep to lines are found by passages.py.
 
 Bands with the same members are verified once. Inside a band a node is only compared with nodes it isn't yet connected to, so a
 group of n variants needs about n comparisons and gives fewer than n links; bands with very many nodes are cut into tiles, and each
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from .common import durable, fresh, skew_join, stored
 from .components import connected_components
-from .linededup import without
+from .passages import passages, without_passages
 
 SHINGLE, MIN_WORDS, SIMILARITY, BANDS, ROWS = 5, 20, 0.8, 12, 3
 #: Nodes of a band that one task compares with each other, and words whose signatures are taken at once.
@@ -198,23 +198,32 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
 def classified(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """
     One row for each document: doc_id, n_paragraphs (lines), n_repeats, n_removed, removed, component_id: the smallest doc_id of the
-    documents that removals connect it with, itself included.
+    documents that removals of paragraphs connect it with, itself included; passages (see passages.py), and passage_component_id: the
+    same of removals of paragraphs or passages.
     """
-    found = durable(repeats(docs, min_words, similarity))
+    found, runs = durable(repeats(docs, min_words, similarity)), durable(passages(docs))
     edges = found.select(F.col("doc_id").alias("a"), F.explode("removed.kept_in").alias("b")).distinct()
     roots = durable(connected_components(edges)).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
+    more = edges.unionByName(runs.select(F.col("doc_id").alias("a"), F.explode("passages.kept_in").alias("b"))).distinct()
+    wider = durable(connected_components(more)).withColumnsRenamed({"node": "doc_id", "root": "passage_component_id"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_paragraphs"))
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.row_key") == F.col("f.row_key"))
     none = F.array().cast(found.schema["removed"].dataType)
-    both = rows.alias("d").join(found.alias("f"), same, "left").select("d.doc_id", "n_paragraphs", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), F.coalesce("removed", none).alias("removed"))
-    both = both.join(roots, "doc_id", "left")
-    return both.select("doc_id", "n_paragraphs", "n_repeats", F.size("removed").cast("long").alias("n_removed"), "removed", F.coalesce("component_id", "doc_id").alias("component_id"))
+    both = rows.alias("d").join(found.alias("f"), same, "left").select("d.doc_id", "d.row_key", "n_paragraphs", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), F.coalesce("removed", none).alias("removed"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.row_key") == F.col("p.row_key"))
+    ranges = F.coalesce("p.passages", F.array().cast(runs.schema["passages"].dataType)).alias("passages")
+    both = both.alias("d").join(runs.alias("p"), same, "left").select("d.doc_id", "n_paragraphs", "n_repeats", "removed", ranges).join(roots, "doc_id", "left").join(wider, "doc_id", "left")
+    own = [F.coalesce(c, "doc_id").alias(c) for c in ("component_id", "passage_component_id")]
+    return both.select("doc_id", "n_paragraphs", "n_repeats", F.size("removed").cast("long").alias("n_removed"), "removed", own[0], "passages", own[1])
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` without the removed paragraphs; what repeats() says takes effect on the texts."""
-    found, places = repeats(docs, min_words, similarity), fresh(docs, "places")
+    """`docs` without the removed paragraphs and passages; what repeats() and passages() say takes effect on the texts."""
+    lines = repeats(docs, min_words, similarity).where(F.size("removed") > 0).select("doc_id", "row_key", "removed.para", F.lit(None).alias("passages"))
+    runs = passages(docs)
+    found = lines.unionByName(runs.select("doc_id", "row_key", F.lit(None).alias("para"), "passages")).groupBy("doc_id", "row_key").agg(F.max("para").alias("para"), F.max("passages").alias("passages"))
+    cut, places = F.udf(without_passages, "string", useArrow=False), fresh(docs, "places")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.row_key"))
-    both = docs.alias("d").join(found.where(F.size("removed") > 0).alias("f"), same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("f.removed.para").alias(places))
-    kept = F.when(F.col(places).isNull(), F.col("text")).otherwise(without(F.split("text", "\n"), F.col(places)))
+    both = docs.alias("d").join(found.alias("f"), same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.struct("f.para", "f.passages").alias(places))
+    kept = cut(F.col("text"), F.col(places)["para"], F.col(places)["passages"])
     return both.select(*(kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))

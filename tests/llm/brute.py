@@ -211,3 +211,35 @@ def repeats(docs, min_words=20, similarity=0.8):
                 a, b = top(paras[k][0]), top(paras[members[0]][0])
                 up[max(a, b)] = min(a, b)
     return [(d, len((t or "").split("\n")), n[d], len(removed[d]), sorted(removed[d]), top(d)) for d, t in docs]
+
+
+def joined(*parts):
+    """The least id of each component of several partitions together; each is a dict of id to representative."""
+    up = {d: d for p in parts for d in p}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for p in parts:
+        for d, r in p.items():
+            a, b = top(d), top(r)
+            up[max(a, b)] = min(a, b)
+    return {d: top(d) for d in up}
+
+
+def passages(docs, size=51):
+    """docs: (doc_id, text). The component of each document by shared runs of `size` words, and the words that an earlier one has."""
+    at, gone, links = defaultdict(list), {d: set() for d, _ in docs}, []
+    for d, t in docs:
+        w = ascii_lower(t or "").encode().split()
+        for i in range(len(w) - size + 1):
+            at[tuple(w[i : i + size])].append((d, i))
+    for places in at.values():
+        first = min(places)[0]
+        for d, i in places:
+            if d != first:
+                gone[d].update(range(i, i + size))
+                links.append({d: first})
+    return joined({d: d for d, _ in docs}, *links), gone

@@ -240,3 +240,22 @@ def test_pipeline(spark, table):
     tok = Tokenizer.from_file(tokenizer_path())
     want = [(d, len(i := tok.encode(t, add_special_tokens=False).ids), brute.sha(",".join(map(str, i))), brute.sha(tok.decode(i, skip_special_tokens=False))) for d, t in mixed]
     assert sort(corpus_pipeline.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == sort(want)
+
+
+def test_passages_irrespective_of_lines(spark, table):
+    """Runs of over 50 words across short lines and inside long ones, against all windows of 51 words; 50 words are too few."""
+    w = [f"planted{i}" for i in range(60)]
+    fill = lambda name, n: [f"{name}{i}" for i in range(n)]
+    wrap = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    rows = [(1, wrap(fill("a", 40) + w + fill("b", 40), 7)), (2, " ".join(fill("c", 300) + w[:51] + fill("d", 300))), (3, wrap(fill("e", 30) + w[5:55] + fill("f", 30), 16)), (4, wrap(fill("g", 160), 16)), (5, wrap(fill("G", 160), 16)), (6, "same five words come again " * 40), (7, "one of it\n" + "same five words come again\n" * 40), (8, None)]
+    got = substring.classified(spark.createDataFrame(rows, "doc_id long, text string"))
+    for docs, result in ((rows, got), ([(d, t) for d, _, t in table], QUERIES["op6_substring_dedup"](spark, DATA))):
+        component, gone = brute.passages(docs)
+        found = {r.doc_id: r for r in result.collect()}
+        lines = {d: r.component_id for d, r in found.items()}
+        assert {d: {i for s, e, _ in r.passages for i in range(s, e)} for d, r in found.items()} == gone
+        assert {d: r.passage_component_id for d, r in found.items()} == brute.joined(component, lines)
+    assert {r.doc_id: r.passage_component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8}
+    left = {r.doc_id: r.text for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == rows[0][1] and left[3] == rows[2][1] and left[5] == "" and left[8] is None
+    assert left[2] == " ".join(fill("c", 300) + fill("d", 300)) and left[7] == "one of it\n"
