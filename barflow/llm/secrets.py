@@ -1,7 +1,8 @@
 """
 Secret scans: patterns find candidates, a random forest removes the false ones.
 
-Candidates are values assigned to names like password or token, and long runs of token characters. Their features are length,
+Candidates are values assigned to names like password or token, those of bearer and authorization headers and of URLs with a password,
+and long runs of token characters. Their features are length,
 transitions between character classes, entropy, how much of them words of the corpus's own dictionary cover, the path (source) and the
 words beside them. The forest is trained here, from labelled findings: a table given by the caller, or the verdicts of review(), rules
 that are sure of themselves and leave the rest to the forest. Training takes `most_labels` findings at most (a documented bound, chosen
@@ -30,8 +31,13 @@ from .common import durable
 #: Names to which secrets are assigned, and words that speak against one.
 NAMES = "password passwd pwd secret token apikey api_key access_key auth credential private_key bearer"
 AGAINST = "example sample test dummy placeholder fake checksum sha1 sha256 md5 commit uuid hash digest"
-ASSIGNED = re.compile(r"(?i)\b[\w.-]{0,30}?(?:" + "|".join(NAMES.split()) + r")[\w-]{0,30}[\"']?\s{0,3}(?::|=|:=|=>)\s{0,3}[\"']?(?P<value>[^\s\"',;<>]{8,})")
+TELLING = re.compile("|".join(NAMES.split()) + r"|(?:^|[_.-])(?:key|pass)$")
+#: A name and an operator (the value is read apart, so that a value may be a name too), and forms without one: headers and URLs.
+ASSIGNED = re.compile(r"(?<![\w.-])(?P<name>[\w.-]++)[\"']?\s*+(?::=|=>|:|=|>)\s*+[\"']?")
+VALUE = re.compile(r"[^\s\"',;<>]{8,}")
+BARE = [re.compile(x) for x in (r"(?i)\bbearer[ \t]+(?P<value>[\w.~+/=-]{8,})", r"(?i)\bauthorization[\"']?\s*+[:=]\s*+[\"']?\w+[ \t]+(?P<value>[\w.~+/=-]{8,})", r"://[^\s/:@\"'<>]*+:(?P<value>[^\s/@\"'<>]+)@")]
 RUN = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
+NAMED = re.compile(r"[A-Za-z_][\w-]*+=+(?=[^=])")
 PARTS = re.compile(r"[^\W\d_]{3,}")
 NEAR = 40
 CLASSES = "adUo"
@@ -61,14 +67,28 @@ def found_in(text: str) -> Iterator[tuple[int, str, bool]]:
     """Start, value and whether it is assigned to a telling name; overlapping candidates count once, assigned ones first."""
     spans: dict[int, tuple[int, str, bool]] = {}
     for m in ASSIGNED.finditer(text):
-        spans[m.start("value")] = (m.start("value"), m["value"], True)
-    taken = sorted((s, s + len(v)) for s, v, _ in spans.values())
+        if TELLING.search(m["name"].lower()) and (v := VALUE.match(text, m.end())):
+            spans[v.start()] = (v.start(), v[0], True)
+    for pattern in BARE:
+        for m in pattern.finditer(text):
+            spans[m.start("value")] = (m.start("value"), m["value"], True)
+    taken, reached = [], 0
+    for s, v, _ in sorted(spans.values()):
+        if s < reached:
+            del spans[s]
+        else:
+            reached = s + len(v)
+            taken.append((s, reached))
     k = 0
     for m in RUN.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k == len(taken) or taken[k][0] >= m.end():
-            spans.setdefault(m.start(), (m.start(), m[0], False))
+        named = NAMED.match(m[0])
+        parts = [(m.start(), named[0].rstrip("=")), (m.start() + named.end(), m[0][named.end() :])] if named else [(m.start(), m[0])]
+        for start, value in parts:
+            while k < len(taken) and taken[k][1] <= start:
+                k += 1
+            free = k == len(taken) or taken[k][0] >= start + len(value)
+            if free and len(value) >= (8 if named and start > m.start() else 20):
+                spans.setdefault(start, (start, value, False))
     return iter(sorted(spans.values()))
 
 
@@ -119,7 +139,8 @@ def review(found: DataFrame) -> DataFrame:
     mixed = (f["digits"] > 0.1) & (f["entropy"] > 2.5)
     sure = mixed & ((f["assigned"] == 1) | (f["named"] == 1)) & (f["covered"] == 0) & (f["against"] == 0) & (f["path_against"] == 0)
     never = (f["digits"] == 0) | (f["covered"] > 0.5) | ((f["against"] == 1) & (f["assigned"] == 0)) | (f["entropy"] < 2)
-    return found.withColumn("label", F.when(sure, 1.0).when(never, 0.0))
+    open_ = (f["digits"] == 0) & (f["assigned"] == 1)  # a passphrase, perhaps
+    return found.withColumn("label", F.when(sure, 1.0).when(never & ~open_, 0.0))
 
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, most_labels: int = 20_000, trees: int = 30, depth: int = 6, seed: int = 7) -> DataFrame:

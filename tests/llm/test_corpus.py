@@ -259,3 +259,12 @@ def test_passages_irrespective_of_lines(spark, table):
     left = {r.doc_id: r.text for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left[1] == rows[0][1] and left[3] == rows[2][1] and left[5] == "" and left[8] is None
     assert left[2] == " ".join(fill("c", 300) + fill("d", 300)) and left[7] == "one of it\n"
+
+
+def test_secret_candidates_of_other_forms(spark):
+    value = "S3cretpw9x"
+    for text in ("password        = S3cretpw9x", "postgres://bob:S3cretpw9x@db.host/x", 'key = "S3cretpw9x"', "Authorization: Bearer S3cretpw9x", "PRODUCTION_BILLING_SERVICE_DATABASE_PASSWORD=S3cretpw9x", "PRODUCTION_BILLING_SERVICE_DATABASE_NAME=S3cretpw9x", "note: password=S3cretpw9x"):
+        assert (text.index(value), value) in [x[:2] for x in secrets.found_in(text)]
+    assert [x[2] for x in secrets.found_in("PRODUCTION_BILLING_SERVICE_DATABASE_PASSWORD=S3cretpw9x") if x[1] == value] == [True]
+    docs = spark.createDataFrame([(1, "password = correcthorsebattery", "a")], "doc_id long, text string, source string")
+    assert secrets.review(secrets.candidates(docs, frozenset())).first().label is None
