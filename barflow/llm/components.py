@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import durable, skew_join
 
+#: Links that one partition holds at least, so that few links aren't kept in very many files.
+LINKS = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _hang(edges: DataFrame, least: DataFrame) -> DataFrame:
-    return skew_join(edges, durable(least), ["u"], "degree", how="inner")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges: a, b (long). Returns node, root for every node that has an edge; root is the least node of its component.
@@ -27,12 +26,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = durable(edges.where("a <> b").select(u, v).distinct())
     state = _state(stars)
     while state[0]:
-        both = durable(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-        large = durable(_hang(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        down = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
-        small = _hang(large, down).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = durable(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        few = lambda df, n=8 + state[0] // LINKS: durable(df.coalesce(n))
+        hang = lambda df, least, n=state[0]: skew_join(df, least, ["u"], "degree", how="inner", total=2 * n)
+        stars = stars.coalesce(8 + state[0] // LINKS)
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree")))
+        large = few(hang(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down = few(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
+        small = hang(large, down).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = few(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(stars)
         if before == state:
             break

@@ -1,46 +1,76 @@
 """
-Passages of over 50 words that stand in several documents, wherever lines begin and end.
+What op6 cuts a text's stream of words into, in numpy, many texts at once.
 
-A document is its stream of words, compared without regard to the case of A-Z or to white space. Every run of 51 words is a window,
-and a window's anchor is the least hash of the 16-word runs in it, so equal windows have equal anchors. Anchors are few, about one in
-18 words; those of one stream only are dropped, and of the others' windows each is compared whole, by its hash. So every run of over
-50 words that two documents share is found, and no shorter one. Documents with one stream are one node. Of a window the first
-document, by doc_id, keeps it. Only exact runs count; changed copies are left to lines.
+A text is its words, compared without regard to the case of A-Z or to white space. Two kinds of pieces are taken from it, both chosen
+by what the words are and not by where lines begin, so that equal stretches of different texts are cut alike:
 
-Nulls: a null text has no words. A null doc_id sorts first. Rows that repeat doc_id and text count as one document.
+* Paragraphs: a cut is a five-word shingle whose hash is the least within 51 words on both sides, so whole paragraphs have over 50
+  words, 103 in the mean. Pieces at a text's ends are paragraphs if they have over 50 words, and so is the text as a whole, since a
+  changed word can move a cut. Each has its MinHash bands.
+* Segments: runs of 30 words whose least eight-word hash stands first or last among their 23 (closed syncmers). Any 51 words in
+  succession hold one whole segment at least, whatever stands beside them; there is about one in 11 words.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import durable, skew_join, stored
-
-PASSAGE, GRAM = 51, 16
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
-HELD = 1 << 16
+SHINGLE, PASSAGE, SEGMENT, INNER = 5, 51, 30, 8
+FACTOR = 0x9E3779B97F4A7C15
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-class Words:
-    """Hashes of words, remembered."""
 
-    def __init__(self) -> None:
+def runs(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words; runs of a power of two are put together from halves."""
+    if len(w) < n:
+        return np.zeros(0, np.uint64)
+    whole, done, part, size = None, 0, w, 1
+    while True:
+        if n & size:
+            if whole is None:
+                whole = part
+            else:
+                m = len(w) - done - size + 1
+                whole = whole[:m] * np.uint64(pow(FACTOR, size, 1 << 64)) + part[done : done + m]
+            done += size
+        if done == n:
+            return mixed(whole[: len(w) - n + 1])
+        part = part[: len(part) - size] * np.uint64(pow(FACTOR, size, 1 << 64)) + part[size:]
+        size *= 2
+
+
+def least(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n values."""
+    part, size = h, 1
+    while size * 2 <= n:
+        part = np.minimum(part[:-size], part[size:])
+        size *= 2
+    return np.minimum(part[: len(h) - n + 1], part[n - size : len(h) - size + 1])
+
+
+class Cutter:
+    """Segments, paragraphs and MinHash bands of texts."""
+
+    def __init__(self, bands: int, rows: int):
+        self.bands, self.rows = bands, rows
+        draw = np.random.default_rng(20_250)
+        self.times = draw.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plus = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
         self.known: dict[bytes, int] = {}
 
-    def hashes(self, text: str | None) -> np.ndarray:
+    def words(self, text: str | None) -> np.ndarray:
+        """A hash of each word."""
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-        if len(words) < PASSAGE:
-            return np.zeros(0, np.uint64)
         if len(self.known) > 1_000_000:
             self.known.clear()
         known = self.known
@@ -48,108 +78,79 @@ class Words:
             known[w] = xxhash.xxh64_intdigest(w, 11)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-
-def runs(w: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n words."""
-    with np.errstate(over="ignore"):
-        h = w[: len(w) - n + 1].copy()
-        for k in range(1, n):
-            h = h * FACTOR + w[k : len(w) - n + 1 + k]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
-
-
-def anchored(w: np.ndarray) -> np.ndarray:
-    """The anchor of each window; w has PASSAGE words at least."""
-    return np.lib.stride_tricks.sliding_window_view(runs(w, GRAM), PASSAGE - GRAM + 1).min(axis=1).view(np.int64)
-
-
-def streams(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, stream (a hash of all words), n_words and the anchors of each text of PASSAGE words or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            out = []
-            for doc, key, text in zip(*batch.columns, strict=True):
-                w = words.hashes(text.as_py())
-                if len(w):
-                    out.append((doc.as_py(), key.as_py(), xxhash.xxh3_64_intdigest(w.tobytes()) - (1 << 63), len(w), np.unique(anchored(w))))
-            if out:
-                doc, key, stream, n, anchors = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(stream, pa.int64()), pa.array(n, pa.int32()), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "row_key", "stream", "n_words", "anchors"])
-
-    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.col("text"))
-    return named.mapInArrow(run, "doc_id long, row_key long, stream long, n_words int, anchors array<bigint>")
-
-
-def windows(texts: DataFrame) -> DataFrame:
-    """texts: doc_id, stream, text, wanted (anchors). Returns doc_id, stream, at (the first word's number), win: the windows with these anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        held: list[tuple] = []
-        count = 0
-
-        def out() -> pa.RecordBatch:
-            doc, stream, at, win = zip(*held, strict=True)
-            sizes = [len(x) for x in at]
-            docs = pa.array([d for d, n in zip(doc, sizes, strict=True) for _ in range(n)], pa.int64())
-            return pa.RecordBatch.from_arrays([docs, pa.array(np.repeat(np.array(stream, np.int64), sizes)), pa.array(np.concatenate(at)), pa.array(np.concatenate(win))], ["doc_id", "stream", "at", "win"])
-
-        for batch in batches:
-            for doc, stream, text, wanted in zip(*batch.columns, strict=True):
-                w = words.hashes(text.as_py())
-                at = np.flatnonzero(np.isin(anchored(w), wanted.values.to_numpy(zero_copy_only=False)))
-                held.append((doc.as_py(), stream.as_py(), at.astype(np.int32), runs(w, PASSAGE)[at].view(np.int64)))
-                count += len(at)
-                if count > HELD:
-                    yield out()
-                    held, count = [], 0
-        if held:
-            yield out()
-
-    return texts.select("doc_id", "stream", "text", "wanted").mapInArrow(run, "doc_id long, stream long, at int, win long")
-
-
-def passages(docs: DataFrame) -> DataFrame:
-    """
-    For each document with a passage that an earlier one has: doc_id, row_key and passages, its ranges of words (start, end: from 0, end
-    not included) with kept_in, the doc_id that keeps them. Ranges with different keepers may overlap.
-    """
-    found = stored(streams(docs), "streams")
-    nodes = durable(found.groupBy("stream").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("copies"), F.max("anchors").alias("anchors")))
-    placed = nodes.select("stream", F.explode("anchors").alias("anchor"))
-    shared = durable(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    wanted = skew_join(placed, shared, ["anchor"], "n", how="inner").groupBy("stream").agg(F.collect_list("anchor").alias("wanted"))
-    wanted = durable(wanted.join(nodes.select("stream", "first.*"), "stream"))
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("w.doc_id")) & (F.xxhash64("d.text") == F.col("w.row_key"))
-    places = stored(windows(docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), same).select("w.doc_id", "w.stream", "d.text", "w.wanted")), "windows")
-    keepers = places.groupBy("win").agg(F.min(F.struct("doc_id", "stream")).alias("keep"), F.count("*").alias("n"), F.min("stream").alias("low"), F.max("stream").alias("high"))
-    keepers = durable(keepers.where("low <> high").select("win", "keep", "n"))
-    gone = skew_join(places.select("stream", "at", "win"), keepers, ["win"], "n", how="inner").where("stream <> keep.stream").select("stream", "at", F.col("keep.doc_id").alias("kept_in")).distinct()
-    run = F.col("at") - F.row_number().over(Window.partitionBy("stream", "kept_in").orderBy("at"))
-    ranges = gone.withColumn("run", run).groupBy("stream", "kept_in", "run").agg(F.min("at").alias("start"), (F.max("at") + PASSAGE).alias("end"))
-    ranges = ranges.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kept_in"))).alias("passages"))
-    firsts = ranges.join(nodes.select("stream", "first.*"), "stream").select("doc_id", "row_key", "passages")
-    several = durable(nodes.where("copies > 1").select("stream", "first", "copies"))
-    copies = skew_join(found.select("doc_id", "row_key", "stream", "n_words"), several, ["stream"], "copies", how="inner")
-    copies = copies.where(~F.struct("doc_id", "row_key").eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "row_key"])
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"), F.col("first.doc_id").alias("kept_in")))
-    return firsts.unionByName(copies.select("doc_id", "row_key", whole.alias("passages")))
-
-
-def without_passages(text: str | None, lines: list[int] | None, ranges: list | None) -> str | None:
-    """The text without some of its lines and without the words in ranges; a line that loses all its words goes too."""
-    if text is None or not (lines or ranges):
+    def segments(self, w: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """w: words of texts one after another; left: how many words its text has from each word on. Places and hashes."""
+        inner = SEGMENT - INNER
+        if len(w) < SEGMENT:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = runs(w, INNER)
+        low = least(h, inner + 1)
+        at = np.flatnonzero(((h[: len(low)] == low) | (h[inner : inner + len(low)] == low)) & (left[: len(low)] >= SEGMENT))
+        return at, runs(w, SEGMENT)[at].view(np.int64)
+
+    def cuts(self, w: np.ndarray, left: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Where paragraphs begin inside texts; text: the number of the text of each word."""
+        if len(w) < SHINGLE:
+            return np.zeros(0, np.int64)
+        h = np.full(len(w), MOST)
+        h[: len(w) - SHINGLE + 1] = runs(w, SHINGLE)
+        h[left < SHINGLE] = MOST
+        where = np.arange(len(w)) + PASSAGE * (text + 1)
+        padded = np.full(len(w) + PASSAGE * (int(text[-1]) + 2), MOST)
+        padded[where] = h
+        low = least(padded, PASSAGE)
+        return np.flatnonzero((h < low[where - PASSAGE]) & (h <= low[where + 1]) & (h < MOST))
+
+    def signed(self, w: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """An array of paragraphs by bands."""
+        out = np.zeros((len(starts), self.bands), np.uint64)
+        if not len(starts):
+            return out.view(np.int64)
+        h = np.append(runs(w, SHINGLE), MOST)
+        edges = np.stack((starts, ends - SHINGLE + 1), axis=1).ravel()
+        for b in range(self.bands):
+            out[:, b] = b + 1
+            for k in range(b * self.rows, (b + 1) * self.rows):
+                out[:, b] = mixed(out[:, b] * np.uint64(FACTOR) + np.minimum.reduceat(h * self.times[k] + self.plus[k], edges)[::2])
+        return out.view(np.int64)
+
+    def cut(self, texts: list[np.ndarray]) -> list[tuple]:
+        """For each text (its words' hashes): places and hashes of segments, starts, ends, hashes and bands of paragraphs."""
+        n = np.array([len(t) for t in texts])
+        w, begins = np.concatenate(texts), np.concatenate(([0], np.cumsum(n)))
+        text = np.repeat(np.arange(len(n)), n)
+        left = np.repeat(begins[1:], n) - np.arange(len(w))
+        at, seg = self.segments(w, left)
+        edges = np.union1d(self.cuts(w, left, text), begins)
+        pieces = np.unique(np.concatenate((np.stack((edges[:-1], edges[1:]), axis=1), np.stack((begins[:-1], begins[1:]), axis=1))), axis=0)
+        starts, ends = pieces[pieces[:, 1] - pieces[:, 0] >= PASSAGE].T
+        bands = self.signed(w, starts, ends)
+        names = [hashed(w[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        a, p = np.searchsorted(at, begins), np.searchsorted(starts, begins)
+        return [(at[a[i] : a[i + 1]] - b, seg[a[i] : a[i + 1]], starts[p[i] : p[i + 1]] - b, ends[p[i] : p[i + 1]] - b, names[p[i] : p[i + 1]], bands[p[i] : p[i + 1]]) for i, b in enumerate(begins[:-1])]
+
+
+def hashed(words: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)
+
+
+def windows(w: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of PASSAGE words that hold one of the segments at `wanted`."""
+    at = np.unique((wanted[:, None] - np.arange(PASSAGE - SEGMENT + 1)[None, :]).ravel())
+    at = at[(at >= 0) & (at <= len(w) - PASSAGE)]
+    return at, runs(w, PASSAGE)[at].view(np.int64)
+
+
+def without_passages(text: str | None, ranges: list | None) -> str | None:
+    """The text without the words in ranges; a line that loses all its words goes too."""
+    if text is None or not ranges:
         return text
-    gone = set(lines or ())
     ends = Counter()
-    for start, end, *_ in ranges or ():
+    for start, end, *_ in ranges:
         ends[start] += 1
         ends[end] -= 1
     out, word, depth = [], 0, 0
-    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         kept, taken, cut = [], 0, False
         places = [m.start() for m in WORD.finditer(line)]
         for a, b in zip(places, [*places[1:], len(line)], strict=False):
@@ -160,6 +161,6 @@ def without_passages(text: str | None, lines: list[int] | None, ranges: list | N
                 taken, cut = b, True
         kept.append(line[taken:])
         rest = b"".join(kept)
-        if i not in gone and (not cut or rest.strip()):
+        if not cut or rest.strip():
             out.append(rest)
     return b"\n".join(out).decode("utf-8", "surrogatepass")

@@ -1,18 +1,22 @@
 """
-Passages that repeat across documents, found paragraph by paragraph.
-
-A paragraph is a line of `min_words` words or more, compared without regard to the case of A-Z. Each gets a MinHash signature of its
-five-word shingles where its text is read; `bands` bands of `rows` values each are tuned for recall (12 of 3: at a similarity of 0.8
-two paragraphs miss each other with a chance of 0.0002). Equal paragraphs are one node. Nodes that share a band are verified by the
-exact Jaccard similarity of their shingle sets, and verified links are joined to components. Of a component the first paragraph, by
-doc_id and place, stays; the others are removed. Passages of over 50 words that don't keep to lines are found by passages.py.
-
-Bands with the same members are verified once. Inside a band a node is only compared with nodes it isn't yet connected to, so a
-group of n variants needs about n comparisons and gives fewer than n links; bands with very many nodes are cut into tiles, and each
-pair of tiles is a task. Paragraphs of fewer than five words can't be nodes: min_words is 5 at least.
-
-Nulls: a null or empty text has no paragraphs. A null doc_id sorts first, so its paragraphs stay. Rows that repeat doc_id and text
-count as one document. An empty table gives no rows. Other columns stay as they are.
+Passages of over 50 words that repeat across documents, exactly or nearly, wherever lines begin and end.
+
+Texts are cut into paragraphs by what their words are (passages.py). Each paragraph gets a MinHash signature of its five-word shingles
+where its text is read; `bands` bands of `rows` values are tuned for recall (12 of 3: at a similarity of 0.8 two paragraphs miss each
+other with a chance of 0.0002). Equal paragraphs are one node. Nodes that share a band are verified by the exact Jaccard similarity of
+their shingle sets: first each with the band's most frequent node, in joins; then, in bands where that left nodes over, those with all
+the others, by tiles, but for pairs that are connected already. Verified links are joined to components; of a component the first
+paragraph, by doc_id and place, stays and the others are removed.
+
+Cuts fall elsewhere at the ends of a shared passage, so exact repeats are also found by segments, of which any 51 words in succession
+hold one whole. Segments of one document only are dropped; the others are laid on the first document that has them, and those that
+overlap on one diagonal are one run. Runs of over 50 words are repeats. Around segments whose runs are shorter, every window of 51
+words is compared, by its hash, in all documents that have the segment. So two documents are linked whenever they share over 50 words
+in succession, and by exact runs only then. Of a longer run with changed ends up to 21 words on each side may stay.
+
+Nulls: a null or empty text has no passages. Rows without doc_id count as one document that sorts first: its passages stay, it links
+nobody. Rows of one doc_id are one document, so what they share with each other isn't a repeat. An empty table gives no rows. Hashes of
+texts, segments and windows have 64 bits. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -21,108 +25,114 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import durable, fresh, skew_join, stored
 from .components import connected_components
-from .passages import passages, without_passages
+from .passages import PASSAGE, SEGMENT, SHINGLE, Cutter, hashed, runs, windows, without_passages
 
-SHINGLE, MIN_WORDS, SIMILARITY, BANDS, ROWS = 5, 20, 0.8, 12, 3
-#: Nodes of a band that one task compares with each other, and words whose signatures are taken at once.
+SIMILARITY, BANDS, ROWS = 0.8, 12, 3
+#: Nodes of a band that one task compares with each other, and words that are cut at once.
 TILE, WORDS = 2000, 200_000
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-class Signer:
-    """Band hashes of paragraphs, many at once."""
-
-    def __init__(self, bands: int, rows: int):
-        self.bands, self.rows = bands, rows
-        draw = np.random.default_rng(20_250)
-        self.times = draw.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.plus = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-        self.words: dict[bytes, int] = {}
-
-    def word(self, w: bytes) -> int:
-        if w not in self.words:
-            if len(self.words) > 1_000_000:
-                self.words.clear()
-            self.words[w] = xxhash.xxh64_intdigest(w, 7)
-        return self.words[w]
-
-    def sign(self, paragraphs: list[list[bytes]]) -> np.ndarray:
-        """An array of paragraphs by bands."""
-        n = np.array([len(p) for p in paragraphs])
-        w = np.fromiter((self.word(x) for p in paragraphs for x in p), np.uint64, n.sum())
-        with np.errstate(over="ignore"):
-            h = w[: len(w) - SHINGLE + 1].copy()
-            for k in range(1, SHINGLE):
-                h = h * FACTOR + w[k : len(w) - SHINGLE + 1 + k]
-            ends = np.cumsum(n)
-            own = np.ones(len(w), bool)
-            for k in range(1, SHINGLE):
-                own[ends - k] = False
-            h = mixed(h[own[: len(h)]])
-            starts = np.concatenate(([0], np.cumsum(n - SHINGLE + 1)[:-1]))
-            out = np.zeros((len(n), self.bands), np.uint64)
-            for b in range(self.bands):
-                out[:, b] = b + 1
-                for k in range(b * self.rows, (b + 1) * self.rows):
-                    out[:, b] = mixed(out[:, b] * FACTOR + np.minimum.reduceat(h * self.times[k] + self.plus[k], starts))
-        return out.view(np.int64)
-
-
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, row_key, para (the line's number, from 0), p1 and p2 (a 128-bit hash of its words), bands; the text isn't shuffled."""
-    if min_words < SHINGLE:
-        raise ValueError(f"min_words is at least {SHINGLE}")
+NOBODY = -(1 << 63)
+CUT = "doc long, row_key long, n_words int, stream long, at array<int>, seg array<bigint>, starts array<int>, ends array<int>, names array<bigint>, bands array<bigint>"
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc"), F.xxhash64("text").alias("row_key"), F.col("text"))
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    flat = np.concatenate([np.asarray(p).ravel() for p in parts]) if parts else []
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([np.size(p) for p in parts]))), pa.int32()), pa.array(flat, kind))
+
+
+def cut(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each document: doc, row_key, n_words, stream (a hash of its words), segments and paragraphs; no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
+        cutter = Cutter(bands, rows)
         held: list[tuple] = []
-        words: list[list[bytes]] = []
-        count = 0
 
         def out() -> pa.RecordBatch:
-            doc, key, para, p1, p2 = zip(*held, strict=True)
-            flat = signer.sign(words)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * bands), pa.array(flat.ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(para, pa.int32()), pa.array(p1, pa.int64()), pa.array(p2, pa.int64()), lists], ["doc_id", "row_key", "para", "p1", "p2", "bands"])
+            long = [k for k, h in enumerate(held) if len(h[2]) >= PASSAGE]
+            none = (np.zeros(0, np.int64),) * 4 + ([], np.zeros(0, np.int64))
+            cuts = [none] * len(held)
+            if long:
+                for k, c in zip(long, cutter.cut([held[k][2] for k in long]), strict=True):
+                    cuts[k] = c
+            doc, key, words = zip(*held, strict=True)
+            columns = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array([len(w) for w in words], pa.int32()), pa.array([hashed(w) for w in words], pa.int64())]
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            columns += [_lists([np.array(c[i], np.int64) for c in cuts], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CUT.split(", ")])
 
+        count = 0
         for batch in batches:
-            for doc, key, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                for i, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-                    w = line.split()
-                    if len(w) >= min_words:
-                        digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), ">i8")
-                        held.append((doc.as_py(), key.as_py(), i, int(digest[0]), int(digest[1])))
-                        words.append(w)
-                        count += len(w)
-                if count > WORDS:
+            for doc, key, text in zip(*batch.columns, strict=True):
+                held.append((doc.as_py(), key.as_py(), cutter.words(text.as_py())))
+                count += len(held[-1][2])
+                if count > WORDS or len(held) > 5000:
                     yield out()
-                    held, words, count = [], [], 0
+                    held, count = [], 0
         if held:
             yield out()
 
-    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.col("text"))
-    return named.mapInArrow(run, "doc_id long, row_key long, para int, p1 long, p2 long, bands array<bigint>")
+    return _named(docs).mapInArrow(run, CUT)
 
 
-def shingles(words: bytes) -> set[bytes]:
-    w = words.split(b" ")
-    return {b" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
+def _paragraphs(nodes: DataFrame, bands: int) -> DataFrame:
+    """One row for each paragraph of each node: stream, doc, row_key, start, end, p, bands."""
+    each = F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: F.struct(F.get("starts", i).alias("start"), F.get("ends", i).alias("end"), F.get("names", i).alias("p"), F.slice("bands", i * bands + 1, F.lit(bands)).alias("bands")))
+    return nodes.where(F.size("names") > 0).select("stream", "first.doc", "first.row_key", F.explode(each).alias("x")).select("stream", "doc", "row_key", "x.*")
 
 
-def verified(one: list[tuple[int, set]], two: list[tuple[int, set]] | None, similarity: float) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links inside `one`, or between `one` and `two`."""
+def read_again(docs: DataFrame, wanted: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """
+    wanted: doc, row_key, stream, at (segments), paras (p, start, end). Returns rows with win: the windows of PASSAGE words around these
+    segments; and rows with sh: the sorted hashes of the paragraphs' shingles. Texts that nothing is wanted of aren't opened.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(bands, rows)
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("doc", "stream", "at", "win", "p", "sh")}
+            for doc, stream, text, segments, paras in zip(*batch.columns, strict=True):
+                words = cutter.words(text.as_py())
+                if segments.is_valid:
+                    at, win = windows(words, segments.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                    for name, column in (("doc", [doc.as_py()] * len(at)), ("stream", [stream.as_py()] * len(at)), ("at", at.tolist()), ("win", win.tolist()), ("p", [None] * len(at)), ("sh", [None] * len(at))):
+                        out[name] += column
+                for x in paras.as_py() or ():
+                    for name, value in (("doc", doc.as_py()), ("stream", stream.as_py()), ("at", None), ("win", None), ("p", x["p"]), ("sh", np.unique(runs(words[x["start"] : x["end"]], SHINGLE)).view(np.int64))):
+                        out[name].append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], list(out))
+
+    both = _named(docs).join(wanted, ["doc", "row_key"]).select("doc", "stream", "text", "at", "paras")
+    return both.mapInArrow(run, "doc long, stream long, at int, win long, p long, sh array<bigint>")
+
+
+def band_members(paras: DataFrame) -> DataFrame:
+    """paras: p, n, bands. Returns band, p, rep (its most frequent node), m (its number of nodes), for bands of several nodes."""
+    by_band = paras.select("p", "n", F.explode("bands").alias("band"))
+    groups = durable(by_band.groupBy("band").agg(F.count("*").alias("m"), F.max(F.struct("n", "p")).alias("rep")).where("m > 1"))
+    return skew_join(by_band, groups, ["band"], "m", how="inner").select("band", "p", F.col("rep.p").alias("rep"), "m")
+
+
+def with_frequent(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """p, rep of the pairs of a band's node and its most frequent one that have `similarity` or more."""
+    pairs = durable(members.where("p <> rep").select("p", "rep").distinct().join(sets, "p"))
+    reps = durable(pairs.groupBy("rep").agg(F.count("*").alias("n")).join(sets.select(F.col("p").alias("rep"), F.col("sh").alias("rep_sh")), "rep"))
+    met = skew_join(pairs, reps, ["rep"], "n", how="inner")
+    both = F.size(F.array_intersect("sh", "rep_sh"))
+    return met.where(both >= similarity * (F.size("sh") + F.size("rep_sh") - both)).select("p", "rep")
+
+
+def verified(one: list[tuple], two: list[tuple] | None, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links inside `one`, or between `one` and `two`, that connect more than is connected. Items: node, shingles, whether linked with the band's most frequent node."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -130,8 +140,11 @@ def verified(one: list[tuple[int, set]], two: list[tuple[int, set]] | None, simi
             parent[x] = x = parent.get(y, y)
         return x
 
-    for k, (a, x) in enumerate(one):
-        for b, y in one[:k] if two is None else two:
+    linked = [a for a, _, ok in one + (two or []) if ok]
+    for a in linked[1:]:
+        parent[root(a)] = root(linked[0])
+    for k, (a, x, _) in enumerate(one):
+        for b, y, _ in one[:k] if two is None else two:
             if root(a) != root(b) and min(len(x), len(y)) >= similarity * max(len(x), len(y)):
                 both = len(x & y)
                 if both >= similarity * (len(x) + len(y) - both):
@@ -139,91 +152,124 @@ def verified(one: list[tuple[int, set]], two: list[tuple[int, set]] | None, simi
                     yield a, b
 
 
-def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """nodes: p1, bands, first (doc_id, row_key, para). Returns a, b: links between nodes of `similarity` or more."""
-    by_band = nodes.select("p1", F.explode("bands").alias("band"))
-    w = Window.partitionBy("band").orderBy("p1")
-    shared = durable(by_band.withColumn("before", F.lag("p1").over(w)).withColumn("after", F.lead("p1").over(w)).where("before IS NOT NULL OR after IS NOT NULL").select("band", "p1"))
-    groups = shared.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor("p1").alias("x"), F.sum(F.shiftright("p1", 20)).alias("s"))
-    groups = durable(groups.groupBy("m", "x", "s").agg(F.min("band").alias("band")).select("band", "m"))
-    chosen = shared.join(groups, "band")
-    cells = max(1, (groups.agg(F.sum("m")).first()[0] or 0) // 500)
+def with_others(members: DataFrame, sets: DataFrame, links: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The links, p and rep, of nodes that with_frequent() left over in bands of three nodes or more; bands with the same nodes are looked at once."""
+    flagged = durable(members.where("m > 2").join(links.withColumn("ok", F.lit(True)), ["p", "rep"], "left").select("band", "p", "m", (F.coalesce("ok", F.lit(False)) | (F.col("p") == F.col("rep"))).alias("ok")))
+    open_ = flagged.groupBy("band", "m").agg(F.count_if(~F.col("ok")).alias("over"), F.bit_xor("p").alias("x"), F.sum(F.shiftright("p", 20)).alias("s")).where("over > 0")
+    open_ = durable(open_.groupBy("m", "x", "s").agg(F.min("band").alias("band")).select("band", "m"))
+    total = open_.agg(F.sum("m")).first()[0] or 0
+    chosen = skew_join(flagged.drop("m"), open_, ["band"], "m", how="inner", total=total)
     cuts = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
-    chosen = chosen.withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("p1"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cell = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("band"), F.lit(cells))).otherwise(F.col("band"))
-    chosen = chosen.select("p1", "band", "own", cell.alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cuts")
-
-    wanted = nodes.join(shared.select("p1").distinct(), "p1", "left_semi").select("p1", "first.*").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("para", "p1")).alias("wanted"))
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("w.doc_id")) & (F.xxhash64("d.text") == F.col("w.row_key"))
-    found = docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), same).select(F.split("d.text", "\n").alias("lines"), F.col("w.wanted").alias("wanted"))
-    found = found.select(F.explode(F.transform("wanted", lambda x: F.struct(x["p1"].alias("p1"), F.get(F.col("lines"), x["para"]).alias("line")))).alias("x")).select("x.*").dropDuplicates(["p1"])
-    texts = durable(found)
+    chosen = chosen.withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("p"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    cell = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("band"), F.lit(max(1, total // 500)))).otherwise(F.col("band"))
+    chosen = chosen.select("p", "band", "ok", "own", cell.alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cuts")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         bands: dict[int, list] = {}
-        sets: dict[int, set] = {}
-        for p1, band, own, line in zip(*(table.column(c).to_pylist() for c in ("p1", "band", "own", "line")), strict=True):
-            if p1 not in sets:
-                sets[p1] = shingles(b" ".join(line.encode("utf-8", "surrogatepass").lower().split()))
-            bands.setdefault(band, []).append((p1, own))
+        sets: dict[int, frozenset] = {}
+        for p, band, ok, own, sh in zip(*(table.column(c) for c in ("p", "band", "ok", "own", "sh")), strict=True):
+            if (node := p.as_py()) not in sets:
+                sets[node] = frozenset(sh.values.to_pylist())
+            bands.setdefault(band.as_py(), []).append((node, ok.as_py(), own.as_py()))
         out = []
-        for members in bands.values():
-            one = [(p, sets[p]) for p, own in sorted(members) if own == i]
-            out += verified(one, None if i == j else [(p, sets[p]) for p, own in sorted(members) if own == j], similarity)
+        for nodes in bands.values():
+            one = [(p, sets[p], ok) for p, ok, own in sorted(nodes) if own == i]
+            out += verified(one, None if i == j else [(p, sets[p], ok) for p, ok, own in sorted(nodes) if own == j], similarity)
         a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"p": pa.array(a, pa.int64()), "rep": pa.array(b, pa.int64())})
+
+    return chosen.join(sets, "p").groupBy("cell", "i", "j", "cuts").applyInArrow(run, "p long, rep long")
+
+
+def segment_runs(occurrences: DataFrame) -> DataFrame:
+    """occurrences: stream, doc, at, seg, n, kept_in, kept_at. Returns stream, doc, kept_in, start, end and segs of the runs that segments make on one diagonal."""
+    diagonal = (F.col("kept_at") - F.col("at")).alias("diagonal")
+    w = Window.partitionBy("stream", "kept_in", "diagonal").orderBy("at")
+    rows = occurrences.where("doc <> kept_in").select("stream", "doc", "at", "seg", "n", "kept_in", diagonal)
+    rows = rows.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(w) > SEGMENT, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    return rows.groupBy("stream", "kept_in", "diagonal", "run").agg(F.max("doc").alias("doc"), F.min("at").alias("start"), (F.max("at") + SEGMENT).alias("end"), F.collect_list(F.struct("seg", "n")).alias("segs"))
+
+
+def window_runs(found: DataFrame) -> DataFrame:
+    """found: stream, doc, at, win. Returns stream, kept_in, start, end of the words in windows that an earlier document has."""
+    keepers = found.groupBy("win").agg(F.min("doc").alias("kept_in"), F.max("doc").alias("high"), F.count("*").alias("n"))
+    keepers = durable(keepers.where("kept_in < high").select("win", "kept_in", "n"))
+    gone = skew_join(found, keepers, ["win"], "n", how="inner").where("doc <> kept_in").select("stream", "at", "kept_in").distinct()
+    run = F.col("at") - F.row_number().over(Window.partitionBy("stream", "kept_in").orderBy("at"))
+    return gone.withColumn("run", run).groupBy("stream", "kept_in", "run").agg(F.min("at").alias("start"), (F.max("at") + PASSAGE).alias("end")).drop("run")
+
 
-    return chosen.join(texts, "p1").groupBy("cell", "i", "j", "cuts").applyInArrow(run, "a long, b long")
+def _ranges() -> Column:
+    return F.sort_array(F.collect_set(F.struct("start", "end", "kept_in"))).alias("passages")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def passages(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
     """
-    For each document with a paragraph that also stands elsewhere: doc_id, row_key, n_repeats (its paragraphs of which there are
-    several), removed: the para of those that aren't the first of their component, with kept_in, the doc_id that keeps it.
+    found: cut(docs), materialised. For each document with a passage that an earlier one has: doc, row_key and passages, its ranges of
+    words (start, end: from 0, end not included) with kept_in, the document that keeps them. Ranges may overlap.
     """
-    found = stored(paragraphs(docs, min_words), "paragraphs")
-    nodes = durable(found.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "para")).alias("first"), F.max("bands").alias("bands")))
-    roots = durable(connected_components(links(docs, nodes, similarity)))
-    several = nodes.select("p1", "p2", "n", "first").join(roots.withColumnRenamed("node", "p1"), "p1", "left").where("n > 1 OR root IS NOT NULL")
-    several = durable(several.withColumn("root", F.coalesce("root", "p1")))
-    keeper = durable(several.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("nodes")))
-    named = durable(skew_join(several, keeper, ["root"], "nodes", how="inner").select("p1", "p2", "n", "keep"))
-    places = skew_join(found.select("doc_id", "row_key", "para", "p1", "p2"), named, ["p1", "p2"], "n", how="inner")
-    gone = ~F.struct("doc_id", "row_key", "para").eqNullSafe(F.col("keep"))
-    removed = F.sort_array(F.collect_set(F.when(gone, F.struct("para", F.col("keep.doc_id").alias("kept_in")))))
-    return places.groupBy("doc_id", "row_key").agg(F.count_distinct("para").alias("n_repeats"), removed.alias("removed"))
-
-
-def classified(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    first = F.min(F.struct("doc", "row_key")).alias("first")
+    nodes = durable(found.where(F.col("n_words") >= PASSAGE).groupBy("stream").agg(first, F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("at", "seg", "starts", "ends", "names", "bands"))))
+    where = nodes.select("stream", "first.*")
+
+    placed = nodes.select("stream", "first.doc", F.explode(F.arrays_zip("at", "seg")).alias("x")).select("stream", "doc", "x.*")
+    shared = placed.groupBy("seg").agg(F.min(F.struct("doc", "at")).alias("keep"), F.max("doc").alias("high"), F.count("*").alias("n"))
+    shared = durable(shared.where(F.col("keep.doc") < F.col("high")).select("seg", "keep", "n"))
+    met = durable(skew_join(placed, shared, ["seg"], "n", how="inner").select("stream", "doc", "at", "seg", "n", F.col("keep.doc").alias("kept_in"), F.col("keep.at").alias("kept_at")))
+    straight = durable(segment_runs(met))
+    short = straight.where(F.col("end") - F.col("start") < PASSAGE).select(F.explode("segs").alias("x")).select("x.*").groupBy("seg").agg(F.max("n").alias("n"))
+    around = skew_join(met.select("stream", "seg", "at"), durable(short), ["seg"], "n", how="inner").groupBy("stream").agg(F.collect_set("at").alias("at"))
+
+    paras = _paragraphs(nodes, bands)
+    kinds = durable(paras.groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row_key", "stream", "start", "end")).alias("place"), F.max("bands").alias("bands")))
+    members = durable(band_members(kinds))
+    compared = kinds.join(members.select("p").distinct(), "p").select("p", "place.*").groupBy("doc", "row_key", "stream").agg(F.collect_list(F.struct("p", "start", "end")).alias("paras"))
+    none = F.lit(None)
+    wanted = around.join(where, "stream").select("doc", "row_key", "stream", "at", none.alias("paras")).unionByName(compared.select("doc", "row_key", "stream", none.alias("at"), "paras"))
+    wanted = wanted.groupBy("doc", "row_key", "stream").agg(F.max("at").alias("at"), F.max("paras").alias("paras"))
+    again = stored(read_again(docs, wanted), "windows-and-sets")
+
+    sets = again.where("p IS NOT NULL").select("p", "sh").dropDuplicates(["p"])
+    links = durable(with_frequent(members, sets, similarity))
+    links = links.unionByName(with_others(members, sets, links, similarity))
+    near = kinds.select("p", "n", "place.doc").join(connected_components(links.withColumnsRenamed({"p": "a", "rep": "b"})).withColumnRenamed("node", "p"), "p")
+    near = durable(near.select("p", "n", "doc", "root"))
+    keeper = durable(near.groupBy("root").agg(F.min("doc").alias("kept_in"), F.count("*").alias("nodes")))
+    near = durable(skew_join(near, keeper, ["root"], "nodes", how="inner").select("p", "n", "kept_in"))
+    changed = skew_join(paras.drop("bands"), near, ["p"], "n", how="inner").where("doc <> kept_in").select("stream", "kept_in", "start", "end")
+
+    exact = straight.where(F.col("end") - F.col("start") >= PASSAGE).select("stream", "kept_in", "start", "end")
+    around = window_runs(again.where("win IS NOT NULL").select("stream", "doc", "at", "win"))
+    parts = exact.unionByName(around).unionByName(changed).groupBy("stream").agg(_ranges()).join(where, "stream").select("doc", "row_key", "passages")
+    several = durable(nodes.where("copies > 1").select("stream", "first", "copies"))
+    copies = skew_join(found.select("doc", "row_key", "stream", "n_words"), several, ["stream"], "copies", how="inner").where(F.col("doc") != F.col("first.doc"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"), F.col("first.doc").alias("kept_in")))
+    return parts.unionByName(copies.select("doc", "row_key", whole.alias("passages")).distinct())
+
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
-    One row for each document: doc_id, n_paragraphs (lines), n_repeats, n_removed, removed, component_id: the smallest doc_id of the
-    documents that removals of paragraphs connect it with, itself included; passages (see passages.py), and passage_component_id: the
-    same of removals of paragraphs or passages.
+    One row for each document: doc_id, n_words, n_removed (words in passages that an earlier document keeps), passages (start, end,
+    kept_in), and component_id: the smallest doc_id of the documents that such passages connect it with, itself included.
     """
-    found, runs = durable(repeats(docs, min_words, similarity)), durable(passages(docs))
-    edges = found.select(F.col("doc_id").alias("a"), F.explode("removed.kept_in").alias("b")).distinct()
-    roots = durable(connected_components(edges)).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
-    more = edges.unionByName(runs.select(F.col("doc_id").alias("a"), F.explode("passages.kept_in").alias("b"))).distinct()
-    wider = durable(connected_components(more)).withColumnsRenamed({"node": "doc_id", "root": "passage_component_id"})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_paragraphs"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.row_key") == F.col("f.row_key"))
-    none = F.array().cast(found.schema["removed"].dataType)
-    both = rows.alias("d").join(found.alias("f"), same, "left").select("d.doc_id", "d.row_key", "n_paragraphs", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), F.coalesce("removed", none).alias("removed"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.row_key") == F.col("p.row_key"))
-    ranges = F.coalesce("p.passages", F.array().cast(runs.schema["passages"].dataType)).alias("passages")
-    both = both.alias("d").join(runs.alias("p"), same, "left").select("d.doc_id", "n_paragraphs", "n_repeats", "removed", ranges).join(roots, "doc_id", "left").join(wider, "doc_id", "left")
-    own = [F.coalesce(c, "doc_id").alias(c) for c in ("component_id", "passage_component_id")]
-    return both.select("doc_id", "n_paragraphs", "n_repeats", F.size("removed").cast("long").alias("n_removed"), "removed", own[0], "passages", own[1])
-
-
-def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` without the removed paragraphs and passages; what repeats() and passages() say takes effect on the texts."""
-    lines = repeats(docs, min_words, similarity).where(F.size("removed") > 0).select("doc_id", "row_key", "removed.para", F.lit(None).alias("passages"))
-    runs = passages(docs)
-    found = lines.unionByName(runs.select("doc_id", "row_key", F.lit(None).alias("para"), "passages")).groupBy("doc_id", "row_key").agg(F.max("para").alias("para"), F.max("passages").alias("passages"))
-    cut, places = F.udf(without_passages, "string", useArrow=False), fresh(docs, "places")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.row_key"))
-    both = docs.alias("d").join(found.alias("f"), same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.struct("f.para", "f.passages").alias(places))
-    kept = cut(F.col("text"), F.col(places)["para"], F.col(places)["passages"])
-    return both.select(*(kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    found = stored(cut(docs), "cut")
+    gone = durable(passages(docs, found, similarity))
+    edges = gone.select(F.col("doc").alias("a"), F.explode("passages.kept_in").alias("b")).where(F.col("b") != NOBODY).distinct()
+    roots = connected_components(edges).withColumnsRenamed({"node": "doc", "root": "component_id"})
+    none = F.array().cast(gone.schema["passages"].dataType)
+    rows = found.select("doc", "row_key", "n_words").join(gone, ["doc", "row_key"], "left").join(roots, "doc", "left")
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
+    union = F.aggregate(F.coalesce("passages", none), state, lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["start"], s["upto"]), F.lit(0))).alias("n"), F.greatest(x["end"], s["upto"]).alias("upto")), lambda s: s["n"])
+    known = lambda c: F.nullif(c, F.lit(NOBODY))
+    ranges = F.transform(F.coalesce("passages", none), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), known(x["kept_in"]).alias("kept_in")))
+    return rows.select(known(F.col("doc")).alias("doc_id"), F.col("n_words").cast("long"), union.cast("long").alias("n_removed"), ranges.alias("passages"), F.coalesce("component_id", known(F.col("doc"))).alias("component_id"))
+
+
+def drop_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`docs` without the words in passages that an earlier document keeps; what passages() says takes effect on the texts."""
+    gone = passages(docs, stored(cut(docs), "cut"), similarity)
+    shorten, ranges = F.udf(without_passages, "string", useArrow=False), fresh(docs, "ranges")
+    same = (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(NOBODY)) == F.col("g.doc")) & (F.xxhash64("d.text") == F.col("g.row_key"))
+    both = docs.alias("d").join(gone.alias("g"), same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("g.passages").alias(ranges))
+    return both.select(*(shorten(F.col("text"), F.col(ranges)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))

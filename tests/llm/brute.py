@@ -161,56 +161,50 @@ def lpt(docs, shards=24):
     return sorted(load)
 
 
-def repeats(docs, min_words=20, similarity=0.8):
-    """docs: (doc_id, text). (doc_id, lines, repeats, removed, component) by comparing all paragraphs."""
-    paras = []
+def paragraphs(text, size=51, k=5):
+    """(start, end, words) of a text and of the pieces that shingles of the least hash cut it into, if they have `size` words."""
+    import numpy as np
+    from barflow.llm.passages import Cutter, runs
+
+    w, known = ascii_lower(text or "").encode().split(), Cutter(1, 1)
+    h = runs(np.array(known.words(text), np.uint64), k).tolist()
+    cuts = [i for i in range(1, len(h)) if h[i] < min(h[max(0, i - size) : i]) and h[i] <= min(h[i + 1 : i + size + 1], default=1 << 64)]
+    edges = [0, *cuts, len(w)]
+    return [(s, e, tuple(w[s:e])) for s, e in {*zip(edges, edges[1:], strict=False), (0, len(w))} if e - s >= size]
+
+
+def near_paragraphs(docs, similarity=0.8, k=5):
+    """docs: (doc_id, text). The component of each document by changed paragraphs, all compared with all, and the words an earlier one has."""
+    places = defaultdict(list)
     for d, t in docs:
-        for i, line in enumerate((t or "").split("\n")):
-            w = ascii_lower(line).encode().split()
-            if len(w) >= min_words:
-                paras.append((d, i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)), b" ".join(w)))
-    by = defaultdict(list)
-    for k, p in enumerate(paras):
-        by[p[3]].append(k)
-    root = list(range(len(paras)))
+        for s, e, w in paragraphs(t):
+            places[w].append((d, s, e))
+    sets = {w: {w[i : i + k] for i in range(len(w) - k + 1)} for w in places}
+    index, root = defaultdict(list), {w: w for w in places}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    index = defaultdict(set)
-    for key, places in by.items():
-        for k in places[1:]:
-            root[find(k)] = find(places[0])
-        for s in paras[places[0]][2]:
-            index[s].add(places[0])
-    for key, places in by.items():
-        k = places[0]
-        for j in {j for s in paras[k][2] for j in index[s]}:
-            both = len(paras[k][2] & paras[j][2])
-            if j != k and both >= similarity * (len(paras[k][2]) + len(paras[j][2]) - both):
-                root[find(j)] = find(k)
+    for w in places:
+        for v in {v for g in sets[w] for v in index[g]}:
+            both = len(sets[w] & sets[v])
+            if both >= similarity * (len(sets[w]) + len(sets[v]) - both):
+                root[find(w)] = find(v)
+        for g in sets[w]:
+            index[g].append(w)
     groups = defaultdict(list)
-    for k in range(len(paras)):
-        groups[find(k)].append(k)
-    n, removed, up = Counter(), defaultdict(list), {d: d for d, _ in docs}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
+    for w in places:
+        groups[find(w)].append(w)
+    gone, links = {d: set() for d, _ in docs}, []
     for members in groups.values():
-        if len(members) > 1:
-            members.sort(key=lambda k: paras[k][:2])
-            for k in members:
-                n[paras[k][0]] += 1
-            for k in members[1:]:
-                removed[paras[k][0]].append((paras[k][1], paras[members[0]][0]))
-                a, b = top(paras[k][0]), top(paras[members[0]][0])
-                up[max(a, b)] = min(a, b)
-    return [(d, len((t or "").split("\n")), n[d], len(removed[d]), sorted(removed[d]), top(d)) for d, t in docs]
+        first = min(d for w in members for d, _, _ in places[w])
+        for d, s, e in (x for w in members for x in places[w] if len(members) > 1):
+            if d != first:
+                gone[d].update(range(s, e))
+                links.append({d: first})
+    return joined({d: d for d, _ in docs}, *links), gone
 
 
 def joined(*parts):

@@ -138,15 +138,76 @@ def test_bpe_every_character_and_long_runs():
         assert np.frombuffer(raw, np.int32).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def check_passages(docs, found):
+    """Rows of op6 against all windows of 51 words and all pairs of paragraphs."""
+    (exact, gone), (near, changed) = brute.passages(docs), brute.near_paragraphs(docs)
+    assert {d: r.component_id for d, r in found.items()} == brute.joined(exact, near)
+    for d, r in found.items():
+        removed = {i for s, e, _ in r.passages for i in range(s, e)}
+        assert r.n_removed == len(removed) and changed[d] <= removed <= gone[d] | changed[d]
+        left = gone[d] - removed  # ends of long runs only
+        assert all(not left.issuperset(range(i, i + 22)) for i in left)
+
+
 def test_substring_dedup(spark, docs, table):
-    rows = [r for r in ROWS if r[0] not in (None, 2)]  # a doc_id for each row
-    got = substring.classified(docs.where("doc_id IS NOT NULL AND doc_id <> 2"))
-    form = lambda rs: sort((r.doc_id, r.n_paragraphs, r.n_repeats, r.n_removed, sorted(map(tuple, r.removed)), r.component_id) for r in rs)
-    assert form(got.collect()) == sort(brute.repeats([r[:2] for r in rows]))
-    assert form(QUERIES["op6_substring_dedup"](spark, DATA).collect()) == sort(brute.repeats([(d, t) for d, _, t in table]))
+    rows = [r[:2] for r in ROWS if r[0] is not None]
+    found = {r.doc_id: r for r in substring.classified(docs).collect()}
+    check_passages([(d, t) for d, t in dict(rows).items()], {d: r for d, r in found.items() if d is not None})
+    assert found[None].component_id is None and not found[None].passages and found[9].n_words == 30001
+    check_passages([(d, t) for d, _, t in table], {r.doc_id: r for r in QUERIES["op6_substring_dedup"](spark, DATA).collect()})
     assert substring.drop_repeats(docs).count() == len(ROWS)
 
 
+def test_substring_dedup_of_rows_without_id_and_of_one_id(spark):
+    """Rows without doc_id keep their passages and link nobody; rows of one doc_id don't repeat each other; repeated rows count once."""
+    text, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows = [(None, text), (5, text), (7, text + " end"), (8, other), (8, other.upper()), (8, other), (9, "x " + other)]
+    found = sort(substring.classified(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_words int")).select("doc_id", "n_words", F.expr("n_removed >= 59 AS gone"), F.expr("get(passages, 0).kept_in AS kept_in"), "component_id").collect())
+    assert found == sort([(None, 80, False, None, None), (5, 80, True, None, 5), (7, 81, True, None, 7), (8, 80, False, None, 8), (8, 80, False, None, 8), (8, 80, False, None, 8), (9, 81, True, 8, 8)])
+
+
+def test_segments_stand_in_any_51_words():
+    import numpy as np
+    from barflow.llm import passages
+
+    rng, cutter = np.random.default_rng(5), passages.Cutter(12, 3)
+    texts = [rng.integers(0, n, 700, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) for n in (1, 2, 3, 50, 1 << 60)] + [np.arange(51, dtype=np.uint64)]
+    for w, (at, seg, starts, ends, *_) in zip(texts, cutter.cut(texts), strict=True):
+        assert all(((at >= i) & (at <= i + 21)).any() for i in range(len(w) - 50)) and (0, len(w)) in zip(starts, ends, strict=True) and (ends - starts >= 51).all()
+        assert seg.tolist() == [int(passages.runs(w[a : a + 30], 30).view(np.int64)[0]) for a in at]
+    for n in (5, 8, 30, 51):
+        h = [0] * 650
+        for i in range(650):
+            for k in range(n):
+                h[i] = (h[i] * passages.FACTOR + int(texts[3][i + k])) & ((1 << 64) - 1)
+        assert passages.runs(texts[3], n)[:650].tolist() == passages.mixed(np.array(h, np.uint64)).tolist()
+
+
+def test_changed_copies_without_a_frequent_middle(spark):
+    """A chain of changed paragraphs: each is near the next only, so most links aren't with the band's most frequent node."""
+    base = [f"c{i}" for i in range(90)]
+    rows = [(d, " ".join(x if i % 30 or d <= i // 15 else f"n{i}" for i, x in enumerate(base))) for d in range(1, 8)]
+    rows += [(20 + d, " ".join(f"z{d}" if i == 10 * d else x for i, x in enumerate(base))) for d in range(9)]
+    found = {r.doc_id: r for r in substring.classified(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    check_passages(rows, found)
+    assert len({r.component_id for r in found.values()}) == 1
+
+
+def test_tiles_of_bands(spark, monkeypatch):
+    """Bands cut into tiles give the same components as whole ones, and links only where the similarity holds."""
+    import random
+
+    rng, base = random.Random(3), [f"t{i}" for i in range(100)]
+    rows = [(d, " ".join(f"x{d}-{i}" if rng.random() < 0.025 else x for i, x in enumerate(base))) for d in range(60)]
+    df, monkeys = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for tile in (2000, 7):
+        monkeypatch.setattr(substring, "TILE", tile)
+        found = {r.doc_id: r for r in substring.classified(df).collect()}
+        check_passages(rows, found)
+        monkeys.append({d: r.component_id for d, r in found.items()})
+    assert monkeys[0] == monkeys[1]
+
+
 def test_simhash(spark, docs, table):
     for got, rows in ((simhash.near_duplicates(docs), [r[:2] for r in ROWS]), (simhash.near_duplicates(spark.createDataFrame([(d, t) for d, _, t in table], "doc_id long, text string")), [(d, t) for d, _, t in table])):
         assert sort(got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0"), "component_id").collect()) == sort(brute.near(rows))
@@ -249,13 +310,8 @@ def test_passages_irrespective_of_lines(spark, table):
     wrap = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
     rows = [(1, wrap(fill("a", 40) + w + fill("b", 40), 7)), (2, " ".join(fill("c", 300) + w[:51] + fill("d", 300))), (3, wrap(fill("e", 30) + w[5:55] + fill("f", 30), 16)), (4, wrap(fill("g", 160), 16)), (5, wrap(fill("G", 160), 16)), (6, "same five words come again " * 40), (7, "one of it\n" + "same five words come again\n" * 40), (8, None)]
     got = substring.classified(spark.createDataFrame(rows, "doc_id long, text string"))
-    for docs, result in ((rows, got), ([(d, t) for d, _, t in table], QUERIES["op6_substring_dedup"](spark, DATA))):
-        component, gone = brute.passages(docs)
-        found = {r.doc_id: r for r in result.collect()}
-        lines = {d: r.component_id for d, r in found.items()}
-        assert {d: {i for s, e, _ in r.passages for i in range(s, e)} for d, r in found.items()} == gone
-        assert {d: r.passage_component_id for d, r in found.items()} == brute.joined(component, lines)
-    assert {r.doc_id: r.passage_component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8}
+    check_passages(rows, {r.doc_id: r for r in got.collect()})
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8}
     left = {r.doc_id: r.text for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left[1] == rows[0][1] and left[3] == rows[2][1] and left[5] == "" and left[8] is None
     assert left[2] == " ".join(fill("c", 300) + fill("d", 300)) and left[7] == "one of it\n"
