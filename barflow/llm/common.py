@@ -82,5 +82,18 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, h
     return left.join(hot, keys, "inner").select(*cold.columns).unionByName(cold)
 
 
+def sifted(df: DataFrame, by: str, among: DataFrame, name: str, positions: int = 1 << 27) -> DataFrame:
+    """
+    `df` with a boolean column `name`: false where no row of `among` has this value of `by`, true where one has, and where one with the
+    same place in a bitmap has. So rows that a join would drop needn't be shuffled for it. The bitmap, which is broadcast, has at most
+    positions / 64 rows whatever the data; a fuller one lets more rows through and loses none.
+    """
+    place = F.pmod(F.xxhash64(by), F.lit(positions).cast("long"))
+    word, bit = F.shiftright(place, 6).alias("sieve_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({by}), 64L) AS int))")
+    bits = durable(among.groupBy(word).agg(F.bit_or(bit).alias("sieve_bits")))
+    met = df.withColumn("sieve_word", F.shiftright(place, 6)).join(F.broadcast(bits), "sieve_word", "left")
+    return met.withColumn(name, F.coalesce(F.col("sieve_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("sieve_word", "sieve_bits")
+
+
 def null_safe(left: str, right: str, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names))

@@ -5,8 +5,8 @@ A text is its words, compared without regard to the case of A-Z or to white spac
 by what the words are and not by where lines begin, so that equal stretches of different texts are cut alike:
 
 * Paragraphs: a cut is a five-word shingle whose hash is the least within 51 words on both sides, so whole paragraphs have over 50
-  words, 103 in the mean. Pieces at a text's ends are paragraphs if they have over 50 words, and so is the text as a whole, since a
-  changed word can move a cut. Each has its MinHash bands.
+  words, 103 in the mean. Pieces at a text's ends are paragraphs if they have over 50 words, and so is a text of at most 204 words as a
+  whole, since a changed word can move a cut. Each has its MinHash bands.
 * Segments: runs of 30 words whose least eight-word hash stands first or last among their 23 (closed syncmers). Any 51 words in
   succession hold one whole segment at least, whatever stands beside them; there is about one in 11 words.
 """
@@ -19,7 +19,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-SHINGLE, PASSAGE, SEGMENT, INNER = 5, 51, 30, 8
+SHINGLE, PASSAGE, SEGMENT, INNER, WHOLE = 5, 51, 30, 8, 204
 FACTOR = 0x9E3779B97F4A7C15
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -115,19 +115,27 @@ class Cutter:
         return out.view(np.int64)
 
     def cut(self, texts: list[np.ndarray]) -> list[tuple]:
-        """For each text (its words' hashes): places and hashes of segments, starts, ends, hashes and bands of paragraphs."""
+        """For each text (its words' hashes): places and hashes of segments, starts, ends, hashes, sizes (distinct shingles) and bands of paragraphs."""
         n = np.array([len(t) for t in texts])
         w, begins = np.concatenate(texts), np.concatenate(([0], np.cumsum(n)))
         text = np.repeat(np.arange(len(n)), n)
         left = np.repeat(begins[1:], n) - np.arange(len(w))
         at, seg = self.segments(w, left)
         edges = np.union1d(self.cuts(w, left, text), begins)
-        pieces = np.unique(np.concatenate((np.stack((edges[:-1], edges[1:]), axis=1), np.stack((begins[:-1], begins[1:]), axis=1))), axis=0)
+        short = n <= WHOLE
+        pieces = np.unique(np.concatenate((np.stack((edges[:-1], edges[1:]), axis=1), np.stack((begins[:-1][short], begins[1:][short]), axis=1))), axis=0)
         starts, ends = pieces[pieces[:, 1] - pieces[:, 0] >= PASSAGE].T
         bands = self.signed(w, starts, ends)
-        names = [hashed(w[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        grams, places = runs(w, SHINGLE), list(zip(starts.tolist(), ends.tolist(), strict=True))
+        names = [hashed(w[s:e]) for s, e in places]
+        sizes = np.array([distinct(grams[s : e - SHINGLE + 1]) for s, e in places], np.int64)
         a, p = np.searchsorted(at, begins), np.searchsorted(starts, begins)
-        return [(at[a[i] : a[i + 1]] - b, seg[a[i] : a[i + 1]], starts[p[i] : p[i + 1]] - b, ends[p[i] : p[i + 1]] - b, names[p[i] : p[i + 1]], bands[p[i] : p[i + 1]]) for i, b in enumerate(begins[:-1])]
+        return [(at[a[i] : a[i + 1]] - b, seg[a[i] : a[i + 1]], starts[p[i] : p[i + 1]] - b, ends[p[i] : p[i + 1]] - b, names[p[i] : p[i + 1]], sizes[p[i] : p[i + 1]], bands[p[i] : p[i + 1]]) for i, b in enumerate(begins[:-1])]
+
+
+def distinct(x: np.ndarray) -> int:
+    x = np.sort(x)
+    return 1 + int(np.count_nonzero(x[1:] != x[:-1]))
 
 
 def hashed(words: np.ndarray) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, fresh, skew_join, stored
+from .common import durable, fresh, sifted, skew_join, stored
 from .components import connected_components
 from .passages import PASSAGE, SEGMENT, SHINGLE, Cutter, hashed, runs, windows, without_passages
 
@@ -37,7 +37,7 @@ SIMILARITY, BANDS, ROWS = 0.8, 12, 3
 #: Nodes of a band that one task compares with each other, and words that are cut at once.
 TILE, WORDS = 2000, 200_000
 NOBODY = -(1 << 63)
-CUT = "doc long, row_key long, n_words int, stream long, at array<int>, seg array<bigint>, starts array<int>, ends array<int>, names array<bigint>, bands array<bigint>"
+CUT = "doc long, row_key long, n_words int, stream long, at array<int>, seg array<bigint>, starts array<int>, ends array<int>, names array<bigint>, sizes array<int>, bands array<bigint>"
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -58,14 +58,14 @@ def cut(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             long = [k for k, h in enumerate(held) if len(h[2]) >= PASSAGE]
-            none = (np.zeros(0, np.int64),) * 4 + ([], np.zeros(0, np.int64))
+            none = (np.zeros(0, np.int64),) * 7
             cuts = [none] * len(held)
             if long:
                 for k, c in zip(long, cutter.cut([held[k][2] for k in long]), strict=True):
                     cuts[k] = c
             doc, key, words = zip(*held, strict=True)
             columns = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array([len(w) for w in words], pa.int32()), pa.array([hashed(w) for w in words], pa.int64())]
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             columns += [_lists([np.array(c[i], np.int64) for c in cuts], kind) for i, kind in enumerate(kinds)]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CUT.split(", ")])
 
@@ -83,23 +83,35 @@ def cut(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return _named(docs).mapInArrow(run, CUT)
 
 
+def distinct_texts(found: DataFrame, several: DataFrame) -> DataFrame:
+    """found: cut(). several: stream, first, copies of the streams of several rows. The rows of `found`, of equal texts the first only."""
+    rows = sifted(found, "stream", several, "maybe")
+    maybe = skew_join(rows.where("maybe"), several, ["stream"], "copies").where(F.col("first").isNull() | (F.col("first") == F.struct("doc", "row_key")))
+    return rows.where("NOT maybe").select(*found.columns).unionByName(maybe.select(*found.columns).dropDuplicates(["stream"]))
+
+
 def _paragraphs(nodes: DataFrame, bands: int) -> DataFrame:
-    """One row for each paragraph of each node: stream, doc, row_key, start, end, p, bands."""
-    each = F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: F.struct(F.get("starts", i).alias("start"), F.get("ends", i).alias("end"), F.get("names", i).alias("p"), F.slice("bands", i * bands + 1, F.lit(bands)).alias("bands")))
-    return nodes.where(F.size("names") > 0).select("stream", "first.doc", "first.row_key", F.explode(each).alias("x")).select("stream", "doc", "row_key", "x.*")
+    """One row for each paragraph of each node: stream, doc, row_key, start, end, p, size, bands."""
+    item = lambda name, i: F.get(name, i)
+    each = F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: F.struct(item("starts", i).alias("start"), item("ends", i).alias("end"), item("names", i).alias("p"), item("sizes", i).alias("size"), F.slice("bands", i * bands + 1, F.lit(bands)).alias("bands")))
+    return nodes.where(F.size("names") > 0).select("stream", "doc", "row_key", F.explode(each).alias("x")).select("stream", "doc", "row_key", "x.*")
 
 
 def read_again(docs: DataFrame, wanted: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """
     wanted: doc, row_key, stream, at (segments), paras (p, start, end). Returns rows with win: the windows of PASSAGE words around these
-    segments; and rows with sh: the sorted hashes of the paragraphs' shingles. Texts that nothing is wanted of aren't opened.
+    segments; and rows with sh: the sorted hashes of the paragraphs' shingles. Texts that nothing is wanted of aren't shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(bands, rows)
+        seen: set[tuple] = set()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc", "stream", "at", "win", "p", "sh")}
             for doc, stream, text, segments, paras in zip(*batch.columns, strict=True):
+                if (row := (doc.as_py(), stream.as_py())) in seen:  # a repeated row
+                    continue
+                seen.add(row)
                 words = cutter.words(text.as_py())
                 if segments.is_valid:
                     at, win = windows(words, segments.values.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -111,22 +123,23 @@ def read_again(docs: DataFrame, wanted: DataFrame, bands: int = BANDS, rows: int
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    both = _named(docs).join(wanted, ["doc", "row_key"]).select("doc", "stream", "text", "at", "paras")
+    both = sifted(_named(docs), "row_key", wanted, "maybe").where("maybe").join(wanted, ["doc", "row_key"]).select("doc", "stream", "text", "at", "paras")
     return both.mapInArrow(run, "doc long, stream long, at int, win long, p long, sh array<bigint>")
 
 
 def band_members(paras: DataFrame) -> DataFrame:
-    """paras: p, n, bands. Returns band, p, rep (its most frequent node), m (its number of nodes), for bands of several nodes."""
-    by_band = paras.select("p", "n", F.explode("bands").alias("band"))
-    groups = durable(by_band.groupBy("band").agg(F.count("*").alias("m"), F.max(F.struct("n", "p")).alias("rep")).where("m > 1"))
-    return skew_join(by_band, groups, ["band"], "m", how="inner").select("band", "p", F.col("rep.p").alias("rep"), "m")
+    """paras: p, n, size, bands. Returns band, p, size, rep and rep_size (its most frequent node), m (its number of nodes), for bands of several nodes."""
+    by_band = paras.select("p", "n", "size", F.explode("bands").alias("band"))
+    several = durable(by_band.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"))
+    kept = sifted(by_band, "band", several, "maybe").where("maybe")
+    reps = durable(kept.groupBy("band").agg(F.count("*").alias("m"), F.max(F.struct("n", "p", "size")).alias("rep")).where("m > 1"))
+    return skew_join(kept.select("p", "size", "band"), reps, ["band"], "m", how="inner").select("band", "p", "size", F.col("rep.p").alias("rep"), F.col("rep.size").alias("rep_size"), "m")
 
 
-def with_frequent(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """p, rep of the pairs of a band's node and its most frequent one that have `similarity` or more."""
-    pairs = durable(members.where("p <> rep").select("p", "rep").distinct().join(sets, "p"))
+def with_frequent(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """pairs: p, rep of a band's node and its most frequent one. Those that have `similarity` or more."""
     reps = durable(pairs.groupBy("rep").agg(F.count("*").alias("n")).join(sets.select(F.col("p").alias("rep"), F.col("sh").alias("rep_sh")), "rep"))
-    met = skew_join(pairs, reps, ["rep"], "n", how="inner")
+    met = skew_join(pairs.join(sets, "p"), reps, ["rep"], "n", how="inner")
     both = F.size(F.array_intersect("sh", "rep_sh"))
     return met.where(both >= similarity * (F.size("sh") + F.size("rep_sh") - both)).select("p", "rep")
 
@@ -209,11 +222,14 @@ def passages(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
     found: cut(docs), materialised. For each document with a passage that an earlier one has: doc, row_key and passages, its ranges of
     words (start, end: from 0, end not included) with kept_in, the document that keeps them. Ranges may overlap.
     """
-    first = F.min(F.struct("doc", "row_key")).alias("first")
-    nodes = durable(found.where(F.col("n_words") >= PASSAGE).groupBy("stream").agg(first, F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("at", "seg", "starts", "ends", "names", "bands"))))
-    where = nodes.select("stream", "first.*")
-
-    placed = nodes.select("stream", "first.doc", F.explode(F.arrays_zip("at", "seg")).alias("x")).select("stream", "doc", "x.*")
+    long = found.where(F.col("n_words") >= PASSAGE)
+    several = durable(long.groupBy("stream").agg(F.min(F.struct("doc", "row_key")).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+    nodes = distinct_texts(long, several)
+    where = nodes.select("stream", "doc", "row_key")
+
+    placed = nodes.select("stream", "doc", F.explode(F.arrays_zip("at", "seg")).alias("x")).select("stream", "doc", "x.*")
+    twice = durable(placed.groupBy("seg").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("seg"))
+    placed = sifted(placed, "seg", twice, "maybe").where("maybe").drop("maybe")
     shared = placed.groupBy("seg").agg(F.min(F.struct("doc", "at")).alias("keep"), F.max("doc").alias("high"), F.count("*").alias("n"))
     shared = durable(shared.where(F.col("keep.doc") < F.col("high")).select("seg", "keep", "n"))
     met = durable(skew_join(placed, shared, ["seg"], "n", how="inner").select("stream", "doc", "at", "seg", "n", F.col("keep.doc").alias("kept_in"), F.col("keep.at").alias("kept_at")))
@@ -222,28 +238,31 @@ def passages(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
     around = skew_join(met.select("stream", "seg", "at"), durable(short), ["seg"], "n", how="inner").groupBy("stream").agg(F.collect_set("at").alias("at"))
 
     paras = _paragraphs(nodes, bands)
-    kinds = durable(paras.groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row_key", "stream", "start", "end")).alias("place"), F.max("bands").alias("bands")))
+    kinds = durable(paras.groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row_key", "stream", "start", "end")).alias("place"), F.max("size").alias("size"), F.max("bands").alias("bands")))
     members = durable(band_members(kinds))
-    compared = kinds.join(members.select("p").distinct(), "p").select("p", "place.*").groupBy("doc", "row_key", "stream").agg(F.collect_list(F.struct("p", "start", "end")).alias("paras"))
+    alike = F.least("size", "rep_size") >= similarity * F.greatest("size", "rep_size")
+    pairs = durable(members.where((F.col("p") != F.col("rep")) & alike).select("p", "rep").distinct())
+    needed = durable(pairs.select("p").unionByName(pairs.select(F.col("rep").alias("p"))).unionByName(members.where("m > 2").select("p")).distinct())
+    compared = sifted(kinds.select("p", "place"), "p", needed, "maybe").where("maybe").join(needed, "p").select("p", "place.*").groupBy("doc", "row_key", "stream").agg(F.collect_list(F.struct("p", "start", "end")).alias("paras"))
     none = F.lit(None)
     wanted = around.join(where, "stream").select("doc", "row_key", "stream", "at", none.alias("paras")).unionByName(compared.select("doc", "row_key", "stream", none.alias("at"), "paras"))
-    wanted = wanted.groupBy("doc", "row_key", "stream").agg(F.max("at").alias("at"), F.max("paras").alias("paras"))
+    wanted = durable(wanted.groupBy("doc", "row_key", "stream").agg(F.max("at").alias("at"), F.max("paras").alias("paras")))
     again = stored(read_again(docs, wanted), "windows-and-sets")
 
-    sets = again.where("p IS NOT NULL").select("p", "sh").dropDuplicates(["p"])
-    links = durable(with_frequent(members, sets, similarity))
+    sets = again.where("p IS NOT NULL").select("p", "sh")
+    links = durable(with_frequent(pairs, sets, similarity))
     links = links.unionByName(with_others(members, sets, links, similarity))
     near = kinds.select("p", "n", "place.doc").join(connected_components(links.withColumnsRenamed({"p": "a", "rep": "b"})).withColumnRenamed("node", "p"), "p")
     near = durable(near.select("p", "n", "doc", "root"))
     keeper = durable(near.groupBy("root").agg(F.min("doc").alias("kept_in"), F.count("*").alias("nodes")))
     near = durable(skew_join(near, keeper, ["root"], "nodes", how="inner").select("p", "n", "kept_in"))
-    changed = skew_join(paras.drop("bands"), near, ["p"], "n", how="inner").where("doc <> kept_in").select("stream", "kept_in", "start", "end")
+    changed = skew_join(sifted(paras.drop("bands"), "p", near, "maybe").where("maybe"), near, ["p"], "n", how="inner").where("doc <> kept_in").select("stream", "kept_in", "start", "end")
 
     exact = straight.where(F.col("end") - F.col("start") >= PASSAGE).select("stream", "kept_in", "start", "end")
     around = window_runs(again.where("win IS NOT NULL").select("stream", "doc", "at", "win"))
     parts = exact.unionByName(around).unionByName(changed).groupBy("stream").agg(_ranges()).join(where, "stream").select("doc", "row_key", "passages")
-    several = durable(nodes.where("copies > 1").select("stream", "first", "copies"))
-    copies = skew_join(found.select("doc", "row_key", "stream", "n_words"), several, ["stream"], "copies", how="inner").where(F.col("doc") != F.col("first.doc"))
+    twice = sifted(long.select("doc", "row_key", "stream", "n_words"), "stream", several, "maybe").where("maybe")
+    copies = skew_join(twice, several, ["stream"], "copies", how="inner").where(F.col("doc") != F.col("first.doc"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"), F.col("first.doc").alias("kept_in")))
     return parts.unionByName(copies.select("doc", "row_key", whole.alias("passages")).distinct())
 

@@ -162,7 +162,7 @@ def lpt(docs, shards=24):
 
 
 def paragraphs(text, size=51, k=5):
-    """(start, end, words) of a text and of the pieces that shingles of the least hash cut it into, if they have `size` words."""
+    """(start, end, words) of a short text and of the pieces that shingles of the least hash cut any text into, if they have `size` words."""
     import numpy as np
     from barflow.llm.passages import Cutter, runs
 
@@ -170,7 +170,7 @@ def paragraphs(text, size=51, k=5):
     h = runs(np.array(known.words(text), np.uint64), k).tolist()
     cuts = [i for i in range(1, len(h)) if h[i] < min(h[max(0, i - size) : i]) and h[i] <= min(h[i + 1 : i + size + 1], default=1 << 64)]
     edges = [0, *cuts, len(w)]
-    return [(s, e, tuple(w[s:e])) for s, e in {*zip(edges, edges[1:], strict=False), (0, len(w))} if e - s >= size]
+    return [(s, e, tuple(w[s:e])) for s, e in {*zip(edges, edges[1:], strict=False), *([(0, len(w))] if len(w) <= 204 else [])} if e - s >= size]
 
 
 def near_paragraphs(docs, similarity=0.8, k=5):
