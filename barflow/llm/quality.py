@@ -4,7 +4,8 @@ Quality rules whose limits come from the corpus itself.
 For every text a few measures are taken. Each language and source gets a quantile sketch of each measure: counts in buckets whose
 width is a 32nd of their value, so a quantile is off by 3 % at most. Sketches are merged by adding counts, which is a plain grouped
 sum: partial on every task, exact in any order, the same in every run. A document is dropped where a measure lies far outside the
-middle half of its own group.
+middle half of its own group, whose quartiles are drawn towards those of its language and of the corpus the more, the smaller it is. A
+large source of which over a quarter is junk sets its limits by that junk.
 
 Nulls: a null text has no words and fails; a null language or source is a group of its own. A text of white space fails like an
 empty one. Repeated rows are judged each for itself. An empty table gives no rows. Other columns are ignored.
@@ -12,7 +13,7 @@ empty one. Repeated rows are judged each for itself. An empty table gives no row
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,17 +28,19 @@ WINDOW = 5
 @dataclass(frozen=True)
 class Limits:
     """
-    A measure fails beyond `reach` times the distance between its group's quartiles, or `slack` if that is more, above the third
-    quartile (for mean word length also below the first). Measures are thousandths. Groups of fewer than `min_docs` documents use
-    their language's sketch, and languages of fewer the whole corpus's. Word length is judged from `min_words` words on.
+    A measure fails beyond `reach` times the distance between its group's quartiles above the third (mean word length also below the
+    first). Measures are thousandths. Quartiles of repetition, which most documents have none of, are those of the documents that have
+    some. A group's quartiles are the mean of its own and its language's, weighted with its number of documents and `weight`; the
+    language's are so drawn towards the whole corpus's. Word length is judged from `min_words` words on. No limit is a constant.
     """
 
     min_words_base: int = 10
     repeat_percent: int = 20
     reach: int = 4
-    min_docs: int = 200
+    weight: int = 200
     min_words: int = 50
-    slack: dict = field(default_factory=lambda: {"symbols": 100, "length": 1500, "lines": 400, "repeats": 150})
+    measures: tuple[str, ...] = ("symbols", "length", "lines", "repeats")
+    where_any: tuple[str, ...] = ("lines", "repeats")
 
 
 def repeated_words(words: Column) -> Column:
@@ -99,7 +102,7 @@ def _key(*names: str) -> Column:
 def thresholds(measured: DataFrame, limits: Limits) -> DataFrame:
     """One row for each language and source: grp, members, and low_ and high_ of each measure."""
     passed = measured.where(~F.col("base_failed"))
-    values = passed.select("grp", "lang_key", F.explode(F.array(*(F.struct(F.lit(m).alias("name"), F.col(m).alias("v")) for m in limits.slack))).alias("x")).select("grp", "lang_key", "x.*")
+    values = passed.select("grp", "lang_key", F.explode(F.array(*(F.struct(F.lit(m).alias("name"), F.col(m).alias("v")) for m in limits.measures))).alias("x")).select("grp", "lang_key", "x.*").where(~F.col("name").isin(*limits.where_any) | (F.col("v") > 0))
     fine = durable(sketches(values, ["grp", "lang_key"]))
     coarse = durable(merged(fine, ["lang_key"]))
     own, lang, all_ = quartiles(fine, ["grp"]), quartiles(coarse, ["lang_key"]), quartiles(merged(coarse, []), [])
@@ -107,10 +110,10 @@ def thresholds(measured: DataFrame, limits: Limits) -> DataFrame:
     cells = groups.crossJoin(F.broadcast(all_.select("name", F.col("q1").alias("a1"), F.col("q3").alias("a3"))))  # four rows, one for each measure
     cells = cells.join(lang.select("lang_key", "name", F.col("docs").alias("ld"), F.col("q1").alias("l1"), F.col("q3").alias("l3")), ["lang_key", "name"], "left")
     cells = cells.join(own.select("grp", "name", F.col("docs").alias("od"), F.col("q1").alias("o1"), F.col("q3").alias("o3")), ["grp", "name"], "left")
-    pick = lambda k: F.when(F.col("od") >= limits.min_docs, F.col(f"o{k}")).when(F.col("ld") >= limits.min_docs, F.col(f"l{k}")).otherwise(F.col(f"a{k}"))
-    slack = F.create_map(*(F.lit(x) for kv in limits.slack.items() for x in kv))[F.col("name")]
-    cells = cells.withColumn("q1", pick(1)).withColumn("q3", pick(3)).withColumn("reach", F.greatest((F.col("q3") - F.col("q1")) * limits.reach, slack))
-    return cells.groupBy("grp").agg(F.max("members").alias("members"), *(F.max(F.when(F.col("name") == m, f)).alias(f"{end}_{m}") for m in limits.slack for end, f in (("low", F.col("q1") - F.col("reach")), ("high", F.col("q3") + F.col("reach")))))
+    drawn = lambda n, q, to: F.expr(f"(coalesce({n} * {q}, 0) + {limits.weight} * {to}) div (coalesce({n}, 0) + {limits.weight})")
+    cells = cells.withColumns({"m1": drawn("ld", "l1", "a1"), "m3": drawn("ld", "l3", "a3")}).withColumns({"q1": drawn("od", "o1", "m1"), "q3": drawn("od", "o3", "m3")})
+    reach = (F.col("q3") - F.col("q1")) * limits.reach
+    return cells.groupBy("grp").agg(F.max("members").alias("members"), *(F.max(F.when(F.col("name") == m, f)).alias(f"{end}_{m}") for m in limits.measures for end, f in (("low", F.col("q1") - reach), ("high", F.col("q3") + reach))))
 
 
 def rated(docs: DataFrame, limits: Limits, whole: bool = False) -> DataFrame:
@@ -122,10 +125,10 @@ def rated(docs: DataFrame, limits: Limits, whole: bool = False) -> DataFrame:
 
 
 def judged(measured: DataFrame, limits: Limits) -> DataFrame:
-    """`measured`, which is read several times, with kept: whether a row passes the base rules and its group's limits."""
+    """`measured`, which is read several times, with kept: whether a row passes the base rules and its group's limits. Quantiles are lower ends of buckets, so a value is held against an upper limit by its bucket's."""
     met = skew_join(measured, durable(thresholds(measured, limits)), ["grp"], "members")
-    ok = [F.col(m) <= F.col(f"high_{m}") for m in limits.slack if m != "length"]
-    ok.append((F.col("n_words") < limits.min_words) | F.col("length").between(F.col("low_length"), F.col("high_length")))
+    ok = [F.coalesce(bucket(F.col(m)) <= F.col(f"high_{m}"), F.lit(True)) for m in limits.measures if m != "length"]
+    ok.append((F.col("n_words") < limits.min_words) | ((F.col("length") >= F.col("low_length")) & (bucket(F.col("length")) <= F.col("high_length"))))
     fine = ok[0]
     for x in ok[1:]:
         fine = fine & x

@@ -137,16 +137,12 @@ def top_k(vectors, every=100, k=10):
     """vectors: (vec_id, list or None)."""
     import math
 
-    import numpy as np
-
-    good = [(i, [math.floor(float(x) * 1024) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    ids, m = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    good = {(i, tuple(math.floor(float(x) * 1024) for x in v)) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
     for i, v in good:
         if i % every == 0:
-            s = m @ np.array(v)
-            order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
-            out += [(i, r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(order)]
+            scores = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(1 << 63)), (1 << 63) - 1), j) for j, w in good if j != i and len(w) == len(v))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
     return out
 
 
