@@ -233,11 +233,21 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     return _added(df, fresh(df, text), T.StringType(), lambda part: pa.array([None if t.as_py() is None else _codec(spec).decode(t.values.to_pylist()) for t in part.column(k)], pa.string()))
 
 
+def _renamed(df: DataFrame, name: str, added: set[str]) -> str:
+    taken = {c.lower() for c in df.columns} | added
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """encode() and decode() in one pass over `df`, whose other columns aren't touched; adds ids and decoded, drops the text."""
+    """
+    encode() and decode() in one pass over `df`, whose other columns aren't touched; adds ids and decoded, drops the text. Columns of
+    `df` that have the names of what this or digests() adds are kept as ids_, decoded_ and so on.
+    """
+    added = {"ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"}
+    df = df.withColumnsRenamed({c: _renamed(df, c, added) for c in df.columns if c.lower() in added})
     spec, rest = _Spec(df.sparkSession, tokenizer), [c for c in df.columns if c != text]
-    if {"ids", "decoded"} & {c.lower() for c in rest}:
-        raise ValueError("columns ids and decoded are taken; rename them first")
     schema = df.select(*(f"`{c}`" for c in rest)).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ sampled, and the answer is exact.
 Nulls: vectors that are null or hold a null or a component that isn't finite take no part, nor do rows without an id. Vectors are
 compared with those of their own length. Rows that repeat an id and vector count once; one id with several vectors has several
 candidates, and as a query gets the best of what its vectors find. Ties go to the smaller id. An empty table gives no rows. Other
-columns are ignored. Components beyond 2 ** 24 after scaling are refused, since sums of their products could overflow.
+columns are ignored. Components beyond 2 ** 61 after scaling count as 2 ** 61, and scores beyond a long as the nearest long; sums that
+don't fit 62 bits are taken with whole numbers of any length. The index is built once for each block and stored beside its rows.
 """
 
 from __future__ import annotations
@@ -29,31 +30,36 @@ from .common import durable
 SCALE, SLICES = 1024, 7
 #: Rows of a block, queries of a chunk, and queries whose slices are in memory at once.
 ROWS, CHUNK, TOGETHER = 8192, 1024, 32
-LARGEST = 1 << 24
+LARGEST, SAFE = 1 << 61, 1 << 62
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
     """vec_id, v: floor(scale * x) of each component, for the vectors that take part."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    held = lambda x: F.least(F.greatest(x, F.lit(-LARGEST).cast("long")), F.lit(LARGEST).cast("long"))
+    whole = F.transform(vector, lambda x: held(F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-4e18)), F.lit(4e18))).cast("long")))
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(key).cast("long").alias("vec_id"), whole.alias("v"))
 
 
 class Block:
     """The index of some rows: ids, exact components, and bitmaps of the leading bits."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, stored: tuple[int, bytes] | None = None):
         self.ids, self.rows = ids, rows
         n, dims = rows.shape
-        low = rows.min(axis=0) if dims else np.zeros(0, np.int64)
-        above = rows - low
-        self.shift = max(0, int(above.max(initial=0)).bit_length() - SLICES)
-        above >>= self.shift
         self.width = -(-n // 64)
-        bits = np.zeros((dims, SLICES, self.width * 64), np.uint8)
-        for b in range(SLICES):
-            bits[:, b, :n] = (above.T >> b) & 1
-        self.slices = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
+        self.most = max(abs(int(rows.min(initial=0))), int(rows.max(initial=0)))
+        if stored:
+            self.shift = stored[0]
+            self.slices = np.frombuffer(stored[1], np.uint64).reshape(dims, SLICES, self.width)
+        else:
+            above = rows - (rows.min(axis=0) if dims else np.zeros(0, np.int64))  # at most 2 ** 62
+            self.shift = max(0, int(above.max(initial=0)).bit_length() - SLICES)
+            above >>= self.shift
+            bits = np.zeros((dims, SLICES, self.width * 64), np.uint8)
+            for b in range(SLICES):
+                bits[:, b, :n] = (above.T >> b) & 1
+            self.slices = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
         valid = np.zeros(self.width * 64, np.uint8)
         valid[:n] = 1
         self.valid = np.packbits(valid, bitorder="little").view(np.uint64)
@@ -64,7 +70,7 @@ class Block:
     def scores(self, q: np.ndarray) -> np.ndarray:
         """The slices, least first, of each query's approximate score of each row."""
         size = np.abs(q)
-        top = int((size.sum(axis=1).max(initial=0)) * ((1 << SLICES) - 1)).bit_length() + 1
+        top = (max(map(sum, size.tolist()), default=0) * ((1 << SLICES) - 1)).bit_length() + 1
         acc = np.zeros((top, len(q), self.width), np.uint64)
         flip = np.where(q < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
         for j in range(q.shape[1]):
@@ -105,40 +111,49 @@ class Block:
             got = np.where(enough, got, got + n)
             for i in np.flatnonzero(enough):
                 kth[i] |= 1 << b
-        slack = (np.abs(q).sum(axis=1) * ((1 << self.shift) - 1)) >> self.shift
-        least = np.array([max(0, t - int(s)) for t, s in zip(kth, slack, strict=True)], np.int64)
+        sums = [sum(x) for x in np.abs(q).tolist()]
+        least = [max(0, t - (n * ((1 << self.shift) - 1) >> self.shift)) for t, n in zip(kth, sums, strict=True)]
         more, equal = np.zeros_like(alive), alive
         for b in range(len(acc) - 1, -1, -1):
-            one = ((least >> b) & 1).astype(bool)[:, None]
+            one = np.array([(t >> b) & 1 for t in least], bool)[:, None]
             more = np.where(one, more, more | (equal & acc[b]))
             equal = np.where(one, equal & acc[b], equal & ~acc[b])
         hits = np.unpackbits((more | equal).view(np.uint8), axis=1, bitorder="little")
         for i in range(len(q)):
             rows = np.flatnonzero(hits[i])
-            exact = self.rows[rows] @ q[i]
-            best = np.lexsort((self.ids[rows], -exact))[:k]
-            for r in best.tolist():
-                yield i, int(self.ids[rows[r]]), int(exact[r])
+            wide = sums[i] * self.most >= SAFE
+            exact = (self.rows[rows].astype(object) @ q[i].astype(object) if wide else self.rows[rows] @ q[i]).tolist()
+            for score, x in sorted(zip([-e for e in exact], self.ids[rows].tolist(), strict=True))[:k]:
+                yield i, x, min(max(-score, -(1 << 63)), (1 << 63) - 1)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     out = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), dims)
-    if np.abs(out).max(initial=0) > LARGEST:
-        raise ValueError(f"components beyond {LARGEST} after scaling")
     return out
 
 
-def _packed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each group: its ids and components as bytes. A group has a bounded number of rows."""
+def _bytes(m: np.ndarray) -> bytes:
+    return m.astype(np.int32 if np.abs(m).max(initial=0) < 1 << 31 else np.int64).tobytes()
+
+
+def _unpacked(raw: bytes, n: int, dims: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n * dims else np.int64).astype(np.int64).reshape(n, dims)
+
+
+def _packed(rows: DataFrame, by: list[str], index: bool) -> DataFrame:
+    """One row for each group: its ids and components as bytes, and if `index`, its bitmaps. A group has a bounded number of rows."""
+    schema = pa.schema([("dims", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("shift", pa.int32()), ("slices", pa.binary())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         m = _matrix(table.column("v"), key[0].as_py())
         ids = table.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        return pa.table({"dims": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "rows": pa.array([m[order].astype(np.int32).tobytes()], pa.binary())}, schema=pa.schema([("dims", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())]))
+        block = Block(ids[order], m[order]) if index else None
+        bitmaps = (block.shift, block.slices.tobytes()) if block else (None, None)
+        return pa.table([pa.array([x], f.type) for x, f in zip((key[0].as_py(), key[1].as_py(), ids[order].tobytes(), _bytes(m[order]), *bitmaps), schema, strict=True)], schema=schema)
 
-    return rows.groupBy(*by).applyInArrow(run, "dims int, part int, ids binary, rows binary")
+    return rows.groupBy(*by).applyInArrow(run, "dims int, part int, ids binary, rows binary, shift int, slices binary")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
@@ -152,16 +167,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     if blocks > 1 or chunks > 1:
         blocks = max(blocks, 6)
     deal = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int"))
-    index = durable(_packed(deal(rows, blocks), ["dims", "part"])).withColumnsRenamed({"part": "block", "ids": "row_ids"}).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    sets = durable(_packed(deal(asked, chunks), ["dims", "part"])).withColumnsRenamed({"part": "chunk", "ids": "query_ids", "rows": "asked"}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = index.join(sets, ["dims", "block", "chunk"]).select("dims", "row_ids", "rows", "query_ids", "asked")
+    index = durable(_packed(deal(rows, blocks), ["dims", "part"], True)).withColumnsRenamed({"part": "block", "ids": "row_ids"}).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    sets = durable(_packed(deal(asked, chunks), ["dims", "part"], False).drop("shift", "slices")).withColumnsRenamed({"part": "chunk", "ids": "query_ids", "rows": "asked"}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = index.join(sets, ["dims", "block", "chunk"]).select("dims", "row_ids", "rows", "shift", "slices", "query_ids", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids, qids = np.frombuffer(cell["row_ids"], np.int64), np.frombuffer(cell["query_ids"], np.int64)
-                matrix = lambda raw, n, d=cell["dims"]: np.frombuffer(raw, np.int32).astype(np.int64).reshape(n, d)
-                block, q = Block(ids, matrix(cell["rows"], len(ids))), matrix(cell["asked"], len(qids))
+                block = Block(ids, _unpacked(cell["rows"], len(ids), cell["dims"]), (cell["shift"], cell["slices"]))
+                q = _unpacked(cell["asked"], len(qids), cell["dims"])
                 for at in range(0, len(q), TOGETHER):
                     found = [(int(qids[at + i]), x, s) for i, x, s in block.search(qids[at : at + TOGETHER], q[at : at + TOGETHER], k)]
                     if found:
