@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def normal_instrument(c: Column) -> Column:
-    """Trimmed, upper case, "/" and "-" to "_"; six letters in a row are two currencies."""
-    name = F.regexp_replace(F.upper(F.trim(c)), "[/-]", "_")
+    """Upper case without spaces, "/" and "-" to "_"; six letters in a row are two currencies."""
+    name = F.replace(F.regexp_replace(F.upper(F.trim(c)), "[/-]", "_"), F.lit(" "), F.lit(""))
     return F.when(name.rlike("^[A-Z]{6}$"), F.concat(F.substring(name, 1, 3), F.lit("_"), F.substring(name, 4, 3))).otherwise(name)
 
 
@@ -20,9 +20,9 @@ def short_id(c: Column, length: int = 8) -> Column:
     return F.when(F.char_length(c) > length, F.concat(F.substring(c, 1, length), F.lit("…"))).otherwise(c)
 
 
-def model_kind(c: Column, other: str = "unknown") -> Column:
-    """The part after "side_" and before the next "_" (P15)."""
-    return F.when(c.startswith("side_") & (F.split_part(c, F.lit("_"), F.lit(2)) != ""), F.split_part(c, F.lit("_"), F.lit(2))).otherwise(F.lit(other))
+def model_kind(c: Column, other: str | None = None) -> Column:
+    """The part after "side_" and before the next "_"; of other ids `other`, or the id itself."""
+    return F.when(c.startswith("side_") & (F.split_part(c, F.lit("_"), F.lit(2)) != ""), F.split_part(c, F.lit("_"), F.lit(2))).otherwise(c if other is None else F.lit(other))
 
 
 def labelled(c: Column, labels: dict[str, str]) -> Column:
@@ -36,8 +36,8 @@ def parts(c: Column, by: str = ";") -> Column:
 
 
 def snippet(values: dict[str, Column]) -> Column:
-    """name=value pairs in the given order; values of 10 or more have no decimals, below 0.01 four, else two; nulls are left out."""
-    shown = lambda v: F.when(F.abs(v) >= 10, F.format_string("%.0f", v)).when((F.abs(v) < 0.01) & (v != 0), F.format_string("%.4f", v)).otherwise(F.format_string("%.2f", v))
+    """name=value pairs in the given order; whole numbers have no decimals, nor have values of 100 or more; those of 10 or more have one, others two; nulls are left out."""
+    shown = lambda v: F.when((v == F.floor(v)) | (F.abs(v) >= 100), F.format_string("%.0f", v)).when(F.abs(v) >= 10, F.format_string("%.1f", v)).otherwise(F.format_string("%.2f", v))
     return F.concat_ws(" ", *(F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), shown(v))) for k, v in values.items()))
 
 

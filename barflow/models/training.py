@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import kept
+
 SEED = 42
 
 
@@ -75,7 +77,7 @@ def out_of_fold(splits: DataFrame, features: list[str], models: dict[str, Callab
     splits: split, role (train, test), y, features and `keep`, one row for each split that a row is in. Returns model, split, keep, y, p
     for the test rows (T26). The driver goes over splits and models, whose numbers are parameters; each fit is a Spark job.
     """
-    rows = splits.fillna(0.0, features).checkpoint()
+    rows = kept(splits.fillna(0.0, features))
     out = []
     for s in sorted(r.split for r in rows.select("split").distinct().collect()):  # as many as there are folds
         train, test = (rows.where((F.col("split") == s) & (F.col("role") == r)) for r in ("train", "test"))
@@ -160,7 +162,7 @@ def holdout(rows: DataFrame, decide: Callable[[DataFrame], DataFrame], n_seen: i
 
     last = rows.groupBy("instrument").agg(F.max("rn").alias("_last"))
     held = rows.join(F.broadcast(last), "instrument").where((F.col("rn") > n_seen) & (F.col("rn") > F.col("_last") - n_held)).drop("_last")
-    trades = decide(held).withColumn("_id", F.xxhash64(F.struct("*"))).checkpoint()
+    trades = kept(decide(held).withColumn("_id", F.xxhash64(F.struct("*"))))
     worst = curve(trades, ["instrument"], ["_id"], start=1.0).groupBy("instrument").agg((F.max(F.col("drawdown") / F.col("peak")) * 1e4).alias("max_dd_bp"))
     out = trades.groupBy("instrument").agg(*rollup_columns(), sharpe().alias("sharpe")).join(worst, "instrument")
     out = out.withColumn("dsr", deflated_sharpe(F.col("sharpe"), F.col("n_trades"), F.lit(1)))

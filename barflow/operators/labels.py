@@ -17,9 +17,10 @@ def triple_barrier(bars: DataFrame, events: DataFrame, pt: float, sl: float, hor
     """
     bars: instrument, ts_ms, high, low, close, rn. events: instrument, rn, ts_ms, close, sigma, side (+1 or -1: the barrier that is
     profit). First touch of close * (1 + pt * sigma) or close * (1 - sl * sigma) in the next `horizon` bars; both in one bar is a
-    stop; none is the sign of the last close's return (0: +1). Events without a later bar are dropped.
+    stop; none is the sign of the last close's return (0: +1); meta_y: whether |r| is `min_edge` or more. Events without a later bar are dropped.
     """
-    up, down = F.col("close") * (1 + pt * F.col("sigma")), F.col("close") * (1 - sl * F.col("sigma"))
+    sigma = F.greatest("sigma", F.lit(1e-12))
+    up, down = F.col("close") * (1 + pt * sigma), F.col("close") * (1 - sl * sigma)
     met = forward_range(events.withColumn("up", up).withColumn("down", down), bars.select("instrument", "rn", "ts_ms", "high", "low", "close"), ["instrument"], horizon)
     hit = F.when(F.col("b_low") <= F.col("down"), "sl").when(F.col("b_high") >= F.col("up"), "pt")
     rows = met.withColumn("hit", hit).groupBy("instrument", "rn", "ts_ms", "close", "up", "down").agg(
@@ -29,7 +30,7 @@ def triple_barrier(bars: DataFrame, events: DataFrame, pt: float, sl: float, hor
     exit_px = F.when(F.col("touch.hit") == "sl", F.col("down")).when(F.col("touch.hit") == "pt", F.col("up")).otherwise(F.col("end.b_close"))
     out = rows.select("instrument", "ts_ms", F.coalesce("touch.b_ts_ms", "end.b_ts_ms").alias("t1_ms"), barrier.alias("barrier_hit"), (exit_px / F.col("close") - 1).alias("realized_r"))
     side = F.when(F.col("realized_r") >= 0, 1).otherwise(-1)
-    return out.withColumn("side", side).withColumn("meta_y", (F.abs("realized_r") > min_edge).cast("int"))
+    return out.withColumn("side", side).withColumn("meta_y", (F.abs("realized_r") >= min_edge).cast("int"))
 
 
 def meta_label(side, r, edge: float):
@@ -95,9 +96,9 @@ def best_schedule(t0: list[int], t1: list[int], score: list[float]) -> list[int]
 
 
 def select_labels(labels: DataFrame, cost: float = 0.0, min_hold_ms: int = 10_000, max_hold_ms: int = 1 << 60, min_edge: float = 0.0) -> DataFrame:
-    """Of labels inside the hold band and above the edge, those that don't overlap and have the greatest sum of |r| - cost."""
+    """Of labels inside the hold band and not below the edge, those that don't overlap and have the greatest sum of |r| - cost."""
     hold = F.col("t1_ms") - F.col("ts_ms")
-    able = labels.where(hold.between(min_hold_ms, max_hold_ms) & (F.abs("realized_r") > min_edge) & (F.abs("realized_r") > cost))
+    able = labels.where(hold.between(min_hold_ms, max_hold_ms) & (F.abs("realized_r") >= min_edge) & (F.abs("realized_r") > cost))
     able = overlap_clusters(able, ["instrument"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,11 +110,25 @@ def select_labels(labels: DataFrame, cost: float = 0.0, min_hold_ms: int = 10_00
 
 
 def balance_minority(labels: DataFrame, fraction: float = 0.30, by: list[str] | None = None) -> DataFrame:
-    """Drops the weakest labels of the larger side until the smaller one is `fraction` of all."""
+    """
+    Drops the weakest labels of the larger side, of equal ones the earlier, until the smaller one is `fraction` of all or the larger is
+    gone (T7). Side 0 counts as long; where both are equal, short is the larger. One side alone stays.
+    """
     by = by or ["instrument"]
-    counts = labels.groupBy(*by).agg(F.sum((F.col("side") > 0).cast("int")).alias("_up"), F.sum((F.col("side") < 0).cast("int")).alias("_down"))
+    up = F.col("side") >= 0
+    counts = labels.groupBy(*by).agg(F.count_if(up).alias("_up"), F.count_if(~up).alias("_down"))
     few = F.least("_up", "_down")
-    counts = counts.withColumn("_major", F.when(F.col("_up") >= F.col("_down"), 1).otherwise(-1)).withColumn("_room", F.when(few > 0, F.greatest(F.floor(few / fraction) - few, few)).otherwise(F.greatest("_up", "_down")))
-    rank = F.row_number().over(Window.partitionBy(*by, "side").orderBy(F.desc(F.abs("realized_r")), "ts_ms"))
-    out = labels.withColumn("_rank", rank).join(F.broadcast(counts), by)
-    return out.where((F.col("side") != F.col("_major")) | (F.col("_rank") <= F.col("_room"))).select(*labels.columns)
+    counts = counts.withColumn("_major", F.col("_up") > F.col("_down")).withColumn("_room", F.when(few > 0, F.greatest(F.floor(few / fraction) - few, F.lit(0))).otherwise(F.greatest("_up", "_down")))
+    rank = F.row_number().over(Window.partitionBy(*by, up).orderBy(F.desc(F.abs("realized_r")), F.desc("ts_ms")))
+    out = labels.withColumn("_rank", rank).join(counts, by)
+    return out.where((up != F.col("_major")) | (F.col("_rank") <= F.col("_room"))).select(*labels.columns)
+
+
+def label_pipeline(bars: DataFrame, h: float = 1.0, pt: float = 2.0, sl: float = 2.0, horizon: int = 36, min_edge: float = 0.0, min_hold_ms: int = 10_000, max_hold_ms: int = 600_000, cost: float = 0.0, fraction: float = 0.30) -> DataFrame:
+    """
+    bars: instrument, rn, ts_ms, high, low, close, ret, sigma. Labels as training takes them (T8): events of the cumulative sums, first
+    touch of their barriers, the best set that doesn't overlap, then the balance of sides.
+    """
+    events = cusum_events(bars.select("instrument", "rn", "ts_ms", "close", "ret", "sigma"), h)
+    raw = triple_barrier(bars, events.select("instrument", "rn", "ts_ms", "close", "sigma"), pt, sl, horizon, min_edge)
+    return balance_minority(select_labels(raw, cost, min_hold_ms, max_hold_ms, min_edge), fraction)

@@ -13,12 +13,17 @@ from pyspark.sql.window import Window
 def pbo(returns: DataFrame, blocks: int = 8) -> DataFrame:
     """
     returns: period (from 0), strategy, r. Probability of backtest overfitting: over all halves of the blocks, how often the best
-    strategy inside is below the median outside. Rows are read once, into a sum, a square sum and a count for each block and strategy.
+    strategy inside is below the median outside. Periods beyond whole blocks are left out, as unequal
+    blocks can't be compared; 0.5 for fewer than two strategies or two periods a block. Rows are read into a sum, a square sum and a
+    count for each block and strategy.
     """
     spark = returns.sparkSession
-    n = returns.agg(F.max("period") + 1).first()[0] or 0
-    size = max(1, n // blocks)
-    cells = returns.withColumn("block", F.least(F.floor(F.col("period") / size), F.lit(blocks - 1)).cast("int")).groupBy("block", "strategy").agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.count("*").alias("n"))
+    n, strategies = returns.agg(F.coalesce(F.max("period") + 1, F.lit(0)), F.count_distinct("strategy")).first()
+    if strategies < 2 or n < 2 * blocks or blocks < 2:
+        return spark.range(1).select(F.lit(0).cast("long").alias("n_splits"), F.lit(0.5).alias("pbo"))
+    blocks -= blocks % 2
+    size = n // blocks
+    cells = returns.where(F.col("period") < size * blocks).withColumn("block", F.floor(F.col("period") / size).cast("int")).groupBy("block", "strategy").agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.count("*").alias("n"))
     masks = spark.range(1 << blocks).where(F.bit_count("id") == blocks // 2).withColumnRenamed("id", "mask")
     inside = F.call_function("shiftright", F.col("mask"), F.col("block")).bitwiseAND(F.lit(1)) == 1
     halves = masks.crossJoin(F.broadcast(cells)).groupBy("mask", "strategy", inside.alias("inside")).agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))  # masks and cells depend on parameters and strategies only
@@ -32,10 +37,11 @@ def pbo(returns: DataFrame, blocks: int = 8) -> DataFrame:
     return out.agg(F.count("*").alias("n_splits"), F.avg((F.col("share") < 0.5).cast("double")).alias("pbo"))
 
 
-def bootstrap(df: DataFrame, value: str, stat: Callable[[str], Column], resamples: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, value: str, stat: Callable[[str], Column], resamples: int = 200, alpha: float = 0.05, seed: int = 42, key: tuple[str, ...] = ()) -> DataFrame:
     """
     Percentile interval of an aggregate `stat`. Every row enters each resample a Poisson(1) number of times, drawn from a hash, so
-    resamples need no random access and no shuffle of rows; stat gets the name of a column to aggregate.
+    resamples need no random access and no shuffle of rows, and reruns agree however rows are partitioned. `key`: columns that tell rows
+    apart (none: all of them, so equal rows are drawn together). stat gets the name of a column to aggregate.
     """
     u = F.pmod(F.xxhash64("_id", "resample", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
     steps, total, term = [], 0.0, 2.718281828459045**-1
@@ -44,13 +50,55 @@ def bootstrap(df: DataFrame, value: str, stat: Callable[[str], Column], resample
         steps.append(total)
         term /= k
     times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    rows = df.select(value).withColumn("_id", F.xxhash64(F.monotonically_increasing_id(), value))
+    rows = df.select(F.col(value), F.xxhash64(*(key or df.columns)).alias("_id"))
     drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_times", times).where("_times > 0")
     drawn = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     each = drawn.groupBy("resample").agg(stat(value).alias("stat"))
     return each.agg(F.percentile("stat", alpha / 2).alias("low"), F.avg("stat").alias("mean"), F.percentile("stat", 1 - alpha / 2).alias("high"))
 
 
+#: Least and greatest value of each trader parameter, and whether it is a whole number.
+BOUNDS = {
+    "long_threshold": (0.50, 0.95, False),
+    "short_threshold": (0.50, 0.95, False),
+    "take_threshold": (0.40, 0.95, False),
+    "min_conf_margin": (0.05, 0.40, False),
+    "stop_loss_atr": (0.30, 4.00, False),
+    "take_profit_atr": (0.30, 6.00, False),
+    "trailing_stop_atr": (0.00, 5.00, False),
+    "min_hold_bars": (10, 60, True),
+    "max_hold_bars": (60, 360, True),
+    "cooldown_bars": (6, 60, True),
+    "max_position_frac": (0.01, 1.00, False),
+    "daily_loss_limit_bp": (25, 1500, False),
+    "max_dd_pause_bp": (50, 5000, False),
+    "spread_max_bp": (0.5, 30, False),
+    "stale_data_ms": (1000, 120_000, True),
+}
+
+
+def out_of_bounds(grid: DataFrame, bounds: Mapping[str, tuple[float, float, bool]] = BOUNDS) -> Column:
+    """The names of a parameter set's values that are missing, outside their bounds, or not whole where they should be; columns without bounds are free."""
+    bad = []
+    for name in grid.columns:
+        if name in bounds:
+            low, high, whole = bounds[name]
+            c = F.col(f"`{name}`").cast("double")
+            right = c.between(low, high) & ((c == F.floor(c)) if whole else F.lit(True))
+            bad.append(F.when(~F.coalesce(right, F.lit(False)), F.lit(name)))
+    return F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+
+
+def bounded(grid: DataFrame, bounds: Mapping[str, tuple[float, float, bool]] = BOUNDS) -> DataFrame:
+    """`grid` with each value moved to the nearest one inside its bounds, whole where it should be; nulls become the least value."""
+    def moved(name: str) -> Column:
+        low, high, whole = bounds[name]
+        c = F.col(f"`{name}`").cast("double")
+        return F.coalesce(F.least(F.greatest(F.round(c) if whole else c, F.lit(float(low))), F.lit(float(high))), F.lit(float(low)))
+
+    return grid.select(*(moved(c).alias(c) if c in bounds else F.col(f"`{c}`") for c in grid.columns))
+
+
 #: side, entry price, bars held, bars left of the cooldown
 FLAT = (0, 0.0, 0, 0)
 

@@ -183,7 +183,7 @@ BAR = """e AS (SELECT *, 0.007 AS sigma, close * (1 + 2 * 0.007) AS up, close *
 m AS (SELECT e.instrument, e.rn, e.ts_ms, e.close, e.up, e.dn, f.rn AS frn, f.ts_ms AS fts, f.close AS fclose, CASE WHEN f.low <= e.dn THEN 'sl' WHEN f.high >= e.up THEN 'pt' END AS hit FROM e JOIN b f ON e.instrument = f.instrument AND f.rn > e.rn AND f.rn <= e.rn + 20),
 k AS (SELECT instrument, rn, ts_ms, any_value(close) AS close, any_value(up) AS up, any_value(dn) AS dn, first(hit ORDER BY frn) FILTER (hit IS NOT NULL) AS h, first(fts ORDER BY frn) FILTER (hit IS NOT NULL) AS ht, last(fclose ORDER BY frn) AS vc, last(fts ORDER BY frn) AS vt FROM m GROUP BY 1, 2, 3),
 lab AS (SELECT instrument, ts_ms, coalesce(ht, vt) AS t1_ms, coalesce(h, 'vert') AS barrier_hit, CASE h WHEN 'sl' THEN dn WHEN 'pt' THEN up ELSE vc END / close - 1 AS realized_r FROM k),
-labels_ AS (SELECT *, CASE WHEN realized_r >= 0 THEN 1 ELSE -1 END AS side, CASE WHEN abs(realized_r) > 0.001 THEN 1 ELSE 0 END AS meta_y FROM lab)"""
+labels_ AS (SELECT *, CASE WHEN realized_r >= 0 THEN 1 ELSE -1 END AS side, CASE WHEN abs(realized_r) >= 0.001 THEN 1 ELSE 0 END AS meta_y FROM lab)"""
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -207,8 +207,8 @@ def t6_select_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @P.add(
-    """SELECT instrument, ts_ms, side FROM (SELECT *, row_number() OVER (PARTITION BY instrument, side ORDER BY round(abs(realized_r), 12) DESC, ts_ms) AS k FROM labels_) JOIN (SELECT instrument, CASE WHEN up >= dn THEN 1 ELSE -1 END AS major, CASE WHEN least(up, dn) > 0 THEN greatest(floor(least(up, dn) / 0.45) - least(up, dn), least(up, dn)) ELSE greatest(up, dn) END AS room
-FROM (SELECT instrument, count(*) FILTER (side > 0) AS up, count(*) FILTER (side < 0) AS dn FROM labels_ GROUP BY 1)) USING (instrument) WHERE side <> major OR k <= room""",
+    """SELECT instrument, ts_ms, side FROM (SELECT *, row_number() OVER (PARTITION BY instrument, side >= 0 ORDER BY round(abs(realized_r), 12) DESC, ts_ms DESC) AS k FROM labels_) JOIN (SELECT instrument, CASE WHEN up > dn THEN 1 ELSE -1 END AS major, CASE WHEN least(up, dn) > 0 THEN greatest(floor(least(up, dn) / 0.45) - least(up, dn), 0) ELSE greatest(up, dn) END AS room
+FROM (SELECT instrument, count(*) FILTER (side >= 0) AS up, count(*) FILTER (side < 0) AS dn FROM labels_ GROUP BY 1)) USING (instrument) WHERE side <> major OR k <= room""",
     NUM, BAR,
 )
 def t7_balance_minority(spark: SparkSession, d: str) -> DataFrame:
@@ -216,6 +216,15 @@ def t7_balance_minority(spark: SparkSession, d: str) -> DataFrame:
     return labels.balance_minority(rows, 0.45).select("instrument", "ts_ms", "side")
 
 
+@P.add(None)
+def t8_label_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    rows = number_rows(A.bars(spark, d), ["instrument"])
+    sigma = bar_features.recurrences(A.bars(spark, d)).select("instrument", "ts_ms", F.col("ewma_vol").alias("sigma"))
+    ret = bar_features.price_windows(A.bars(spark, d)).select("instrument", "ts_ms", F.col("log_ret_1").alias("ret"))
+    found = labels.label_pipeline(rows.join(sigma, ["instrument", "ts_ms"]).join(ret, ["instrument", "ts_ms"]), max_hold_ms=36 * 3_600_000)
+    return found.select("instrument", "ts_ms", "t1_ms", "barrier_hit", r6("realized_r"), "side", "meta_y")
+
+
 @P.add(None)
 def w19_cusum_events(spark: SparkSession, d: str) -> DataFrame:
     rows = bar_features.recurrences(A.bars(spark, d)).select("instrument", "ts_ms", F.col("ewma_vol").alias("sigma"))

@@ -9,6 +9,7 @@ from .. import adapters as A
 from ..models import training as M
 from ..operators import bar_features, research, splits
 from ..operators.rolling import number_rows
+from ..storage import kept
 from .base import Plans, r6
 
 P = Plans()
@@ -32,7 +33,7 @@ def t26_t27_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @P.add(None)
 def t28_t31_calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, d).checkpoint()
+    rows = kept(_rows(spark, d))
     half = F.pmod(F.xxhash64("instrument", "ts_ms"), F.lit(3))
     fitted = M.pipeline(FEATURES, M.candidates(len(FEATURES))["logreg"]()).fit(rows.where(half == 0))
     a, b = M.platt(M.score(fitted, rows.where(half == 1)))

@@ -18,12 +18,12 @@ from .market import NUM
 P = Plans()
 
 
-@P.add("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal), 6) ELSE 0 END AS safe_log, CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END AS side, json_object('bal', round(c_acctbal / 7, 5)) AS feature, CASE WHEN c_mktsegment LIKE 'side\\_%' ESCAPE '\\' THEN split_part(c_mktsegment, '_', 2) ELSE 'unknown' END AS no_kind, 'm' || (c_custkey % 4) AS kind FROM customer")
+@P.add("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal), 6) ELSE 0 END AS safe_log, CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END AS side, json_object('bal', round(c_acctbal / 7, 5)) AS feature, CASE WHEN c_mktsegment LIKE 'side\\_%' ESCAPE '\\' THEN split_part(c_mktsegment, '_', 2) ELSE c_mktsegment END AS no_kind, 'unknown' AS other_kind, 'm' || (c_custkey % 4) AS kind FROM customer")
 def p6_p9_p12_p15_projections(spark: SparkSession, d: str) -> DataFrame:
     c, x = A.table(spark, d, "customer"), F.col("c_acctbal")
     legacy = F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(1)
     model = F.concat(F.lit("side_m"), (F.col("c_custkey") % 4).cast("string"), F.lit("_v1"))
-    return c.select("c_custkey", F.when(x > 0, F.round(F.log(x), 6)).otherwise(0.0).alias("safe_log"), F.when(legacy == 0, -1).otherwise(legacy).alias("side"), F.to_json(F.struct(F.round(x / 7, 5).alias("bal"))).alias("feature"), N.model_kind(F.col("c_mktsegment")).alias("no_kind"), N.model_kind(model).alias("kind"))
+    return c.select("c_custkey", F.when(x > 0, F.round(F.log(x), 6)).otherwise(0.0).alias("safe_log"), F.when(legacy == 0, -1).otherwise(legacy).alias("side"), F.to_json(F.struct(F.round(x / 7, 5).alias("bal"))).alias("feature"), N.model_kind(F.col("c_mktsegment")).alias("no_kind"), N.model_kind(F.col("c_mktsegment"), "unknown").alias("other_kind"), N.model_kind(model).alias("kind"))
 
 
 @P.add("SELECT event_id, CAST(CASE action WHEN 'open_long' THEN 5 WHEN 'open_short' THEN -5 WHEN 'close' THEN -(event_id % 3) ELSE 0 END AS BIGINT) AS delta, CASE reason WHEN 'purchase' THEN 'Bought' WHEN 'signup' THEN 'Joined' ELSE reason END AS label, CASE WHEN event_id % 2 = 0 THEN price / 128 ELSE -price / 128 END AS signed_confidence FROM decisions", A.DECISIONS)
@@ -48,10 +48,10 @@ def p20_p21_predicates(spark: SparkSession, d: str) -> DataFrame:
     return A.ticks(spark, d).select("event_id", block.alias("block"), N.entry_side(pl, 1 - pl, 0.6, 0.25, 0.65, 0.7).alias("side"))
 
 
-@P.add("SELECT c_custkey, substr(replace(upper(trim(c_mktsegment)), '-', '_'), 1, 5) AS name, CASE WHEN length(c_name) > 8 THEN substr(c_name, 1, 8) || '…' ELSE c_name END AS short, 'lt=' || printf('%.2f', (c_custkey % 7 + 1) / 10.0) || ' st=' || printf('%.0f', c_custkey + 10.0) AS snippet FROM customer")
+@P.add("SELECT c_custkey, CASE WHEN regexp_matches(replace(upper(substr(c_mktsegment, 1, 6)), ' ', ''), '^[A-Z]{6}$') THEN upper(substr(c_mktsegment, 1, 3)) || '_' || upper(substr(c_mktsegment, 4, 3)) ELSE replace(upper(substr(c_mktsegment, 1, 6)), ' ', '') END AS name, CASE WHEN length(c_name) > 8 THEN substr(c_name, 1, 8) || '…' ELSE c_name END AS short, 'lt=' || printf('%.2f', (c_custkey % 7 + 1) / 10.0) || ' st=' || printf('%.0f', c_custkey + 10.0) || ' tt=' || CASE WHEN c_custkey % 97 + 0.25 >= 100 THEN printf('%.0f', c_custkey % 97 + 0.25) WHEN c_custkey % 97 + 0.25 >= 10 THEN printf('%.1f', c_custkey % 97 + 0.3) ELSE printf('%.2f', c_custkey % 97 + 0.25) END || ' ml=' || printf('%.0f', c_custkey % 89 + 100.25) AS snippet FROM customer")
 def f9_f10_f12_names(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    return A.table(spark, d, "customer").select("c_custkey", F.substring(N.normal_instrument(F.concat(F.lit(" "), F.lower("c_mktsegment"))), 1, 5).alias("name"), N.short_id(F.col("c_name")).alias("short"), N.snippet({"lt": ((k % 7 + 1) / 10), "st": (k + 10).cast("double")}).alias("snippet"))
+    return A.table(spark, d, "customer").select("c_custkey", N.normal_instrument(F.concat(F.lit(" "), F.lower(F.substring("c_mktsegment", 1, 3)), F.lit(" "), F.lower(F.substring("c_mktsegment", 4, 3)))).alias("name"), N.short_id(F.col("c_name")).alias("short"), N.snippet({"lt": ((k % 7 + 1) / 10), "st": (k + 10).cast("double"), "tt": F.when(k % 97 < 10, k % 97 + 0.25).otherwise(k % 97 + 0.3), "ml": k % 89 + 100.25}).alias("snippet"))
 
 
 @P.add("SELECT event_id, ts_ms // 86400000 AS day, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day_key, strftime(make_timestamp(ts_ms * 1000), '%Y%m%d_%H') AS hour_key, CAST(ts_ms % 86400000 // 60000 AS BIGINT) AS minute_of_day FROM ticks", A.TICKS)
@@ -153,11 +153,11 @@ def j14_j17_run_record(spark: SparkSession, d: str) -> DataFrame:
     return newest.join(models, "instrument", "left").join(trades, "instrument", "left").select("run_id", "command", "n_models", r6("best_auc"), r6("cum_r"))
 
 
-@P.add("SELECT e.instrument, e.rn AS entry, count(*) FILTER (f.rn < e.rn) AS n_before, count(*) FILTER (f.rn BETWEEN e.rn AND e.rn + 5) AS n_inside, count(*) FILTER (f.rn > e.rn + 5) AS n_after, round(max(f.close), 6) AS top FROM b e JOIN b f ON e.instrument = f.instrument AND f.rn BETWEEN e.rn - 50 AND e.rn + 15 WHERE e.rn % 20 = 0 GROUP BY 1, 2", NUM)
+@P.add("SELECT e.instrument, e.rn AS entry, count(*) FILTER (f.rn < e.rn) AS n_before, count(*) FILTER (f.rn BETWEEN e.rn AND e.rn + 5) AS n_inside, count(*) FILTER (f.rn > e.rn + 5) AS n_after, round(max(f.close), 6) AS top FROM b e JOIN b f ON e.instrument = f.instrument AND f.rn BETWEEN e.rn - 50 AND e.rn + 15 GROUP BY 1, 2", NUM)
 def j15_trade_context(spark: SparkSession, d: str) -> DataFrame:
     """50 bars before a trade's entry, those inside and 10 after its exit: an equi-join on blocks of bars."""
     width, rows = 66, number_rows(A.bars(spark, d), ["instrument"]).select("instrument", "rn", "close")
-    trades = rows.where("rn % 20 = 0").select("instrument", F.col("rn").alias("entry"), (F.col("rn") + 5).alias("exit"))
+    trades = rows.select("instrument", F.col("rn").alias("entry"), (F.col("rn") + 5).alias("exit"))
     block = lambda c: F.floor(c / width)
     near = trades.withColumn("block", F.explode(F.sequence(block(F.col("entry") - 50), block(F.col("exit") + 10))))
     met = near.join(rows.withColumn("block", block(F.col("rn"))), ["instrument", "block"]).where(F.col("rn").between(F.col("entry") - 50, F.col("exit") + 10))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import latest_n
 from ..operators.ledger import rollup_columns
+from ..storage import kept
 
 DAY = 86_400_000
 
@@ -30,7 +31,7 @@ def archive_daily(df: DataFrame, root: str, table: str, keys: list[str], ts: str
     new = df.withColumn("date", F.date_format(F.timestamp_millis(ts), "yyyy-MM-dd"))
     if _exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select("instrument", "date").distinct()), ["instrument", "date"], "left_semi")  # one row a day and instrument
-        new = old.select(*new.columns).unionByName(new).dropDuplicates(["instrument", "date", *keys]).checkpoint()
+        new = kept(old.select(*new.columns).unionByName(new).dropDuplicates(["instrument", "date", *keys]))
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "date").parquet(path)
 
 
@@ -77,13 +78,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def replace_by_key(new: DataFrame, path: str, keys: list[str]) -> None:
     """Writes replaced() over the table. What is read is put aside before it is overwritten, so a lost executor loses no rows."""
     spark = new.sparkSession
-    whole = replaced(spark.read.parquet(path), new, keys).checkpoint() if _exists(spark, path) else new
+    whole = kept(replaced(spark.read.parquet(path), new, keys)) if _exists(spark, path) else new
     whole.write.mode("overwrite").parquet(path)
 
 
 def insert_ignore(new: DataFrame, path: str, keys: list[str]) -> None:
     spark = new.sparkSession
-    rows = kept_first(spark.read.parquet(path), new, keys).checkpoint() if _exists(spark, path) else new.dropDuplicates(keys)
+    rows = kept(kept_first(spark.read.parquet(path), new, keys)) if _exists(spark, path) else new.dropDuplicates(keys)
     rows.write.mode("append").parquet(path)
 
 
@@ -130,7 +131,7 @@ def retention_sweep(df: DataFrame, cap: int, root: str, table: str, keys: list[s
     """Archives the rows beyond each instrument's newest `cap` and returns those that stay."""
     from ..operators.bars import retention_split
 
-    split = retention_split(df, cap, ["instrument"], ts).checkpoint()
+    split = kept(retention_split(df, cap, ["instrument"], ts))
     archive_daily(split.where("NOT kept").drop("kept"), root, table, keys, ts)
     return split.where("kept").drop("kept")
 

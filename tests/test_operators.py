@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barflow.functions import stats
-from barflow.operators import labels, rolling, scan
+from barflow.operators import labels, research, rolling, scan
 from barflow.operators.bars import bucket_floor
 
 
@@ -90,3 +90,45 @@ def test_running_values_over_slices(spark):
         want.add((k, a, b, number[k]))
     found = {tuple(r) for r in labels.overlap_clusters(df, ["k"]).select("k", "ts_ms", "t1_ms", "cluster").collect()}
     assert {x for x in found if x[1] < x[2]} == {x for x in want if x[1] < x[2]}
+
+
+def test_balance_minority_of_zero_sides_and_ties(spark):
+    """Side 0 counts as long, equal counts make short the larger, the earlier of equal labels goes first, and a fraction above 0.5 can empty a side."""
+    def left(rows, fraction):
+        df = spark.createDataFrame([("a", t, s, r) for t, s, r in rows], "instrument string, ts_ms long, side int, realized_r double")
+        return sorted(r.ts_ms for r in labels.balance_minority(df, fraction).collect())
+
+    assert left([(1, 0, 0.1), (2, 1, 0.1), (3, 1, 0.2), (4, -1, 0.1)], 0.5) == [3, 4]
+    assert left([(1, 1, 0.1), (2, -1, 0.1)], 0.8) == [1]
+    assert left([(1, 1, 0.1), (2, 1, 0.1)], 0.3) == [1, 2]
+    assert left([(1, 1, 0.1), (2, 1, 0.1), (3, -1, 0.3)], 0.5) == [2, 3]
+
+
+def test_label_pipeline_of_a_sine(spark):
+    """Closes of 1 + 0.001 sin(0.015 i): labels don't overlap and hold no longer than the horizon."""
+    import math
+
+    close = [1 + 0.001 * math.sin(0.015 * i) for i in range(600)]
+    rows = [("a", i + 1, 10_000 * i, c + 1e-4, c - 1e-4, c, math.log(c / close[max(0, i - 1)]), 1e-5) for i, c in enumerate(close)]
+    bars = spark.createDataFrame(rows, "instrument string, rn long, ts_ms long, high double, low double, close double, ret double, sigma double")
+    got = sorted(labels.label_pipeline(bars).collect(), key=lambda r: r.ts_ms)
+    assert got and all(a.t1_ms <= b.ts_ms for a, b in zip(got, got[1:])) and all(10_000 <= r.t1_ms - r.ts_ms <= 360_000 and r.meta_y == 1 for r in got)
+
+
+def test_pbo_without_enough_to_compare(spark):
+    few = spark.createDataFrame([(p, s, 0.1 * p) for p in range(2) for s in "ab"], "period long, strategy string, r double")
+    one = spark.createDataFrame([(p, "a", 0.1 * p) for p in range(40)], "period long, strategy string, r double")
+    assert [research.pbo(x, 8).first().pbo for x in (few, one)] == [0.5, 0.5]
+
+
+def test_deflated_sharpe_edges(spark):
+    rows = [(1.5, 1, 10, 0.0, 3.0), (1.5, 252, 0, 0.0, 3.0), (2.0, 252, 10, 5.0, 1.0), (1.5, 252, 10, 0.0, 3.0), (0.0, 252, 1, 0.0, 3.0)]
+    df = spark.createDataFrame(rows, "sr double, n long, trials long, skew double, kurt double")
+    got = [r[0] for r in df.select(stats.deflated_sharpe(*(F.col(c) for c in ("sr", "n", "trials", "skew", "kurt")))).collect()]
+    assert got[:3] == [0.0, 0.0, 0.0] and 0 < got[3] <= 1 and abs(got[4] - 0.5) < 1e-6
+
+
+def test_bootstrap_is_the_same_for_any_partitioning(spark):
+    df = spark.range(400).select("id", (F.col("id") % 17).cast("double").alias("v"))
+    a, b = (research.bootstrap(df.repartition(n), "v", F.avg, resamples=20).first() for n in (1, 7))
+    assert all(abs(x - y) < 1e-9 for x, y in zip(a, b))

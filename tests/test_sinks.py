@@ -83,7 +83,9 @@ def test_files(spark, tmp_path):
 def test_names(spark):
     df = spark.createDataFrame([("eurusd",), (" btc/usd",), ("side_long_v1",), ("spx",)], "c string")
     assert [r[0] for r in df.select(names.normal_instrument(F.col("c"))).collect()] == ["EUR_USD", "BTC_USD", "SIDE_LONG_V1", "SPX"]
-    assert [r[0] for r in df.select(names.model_kind(F.col("c"))).collect()] == ["unknown", "unknown", "long", "unknown"]
+    assert [r[0] for r in df.select(names.model_kind(F.col("c"), "unknown")).collect()] == ["unknown", "unknown", "long", "unknown"]
+    assert [r[0] for r in df.select(names.model_kind(F.col("c"))).collect()] == ["eurusd", " btc/usd", "long", "spx"]
+    assert [r[0] for r in spark.createDataFrame([("eur usd",), ("eur/ usd",)], "c string").select(names.normal_instrument(F.col("c"))).collect()] == ["EUR_USD", "EUR_USD"]
 
 
 def test_models(spark):
