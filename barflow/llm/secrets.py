@@ -2,14 +2,14 @@
 Secret scans: patterns find candidates, a random forest removes the false ones.
 
 Candidates are values assigned to names like password or token, those of bearer and authorization headers and of URLs with a password,
-and long runs of token characters. Their features are length,
+signed web tokens, bodies of private keys in PEM form, and runs of 20 token characters or more. Their features are length,
 transitions between character classes, entropy, how much of them words of the corpus's own dictionary cover, the path (source) and the
-words beside them. The forest is trained here, from labelled findings: a table given by the caller, or the verdicts of review(), rules
-that are sure of themselves and leave the rest to the forest. Training takes `most_labels` findings at most (a documented bound, chosen
-by hash); the dictionary is counted over all documents, and every candidate of every text is scored.
+words beside them. The forest is trained here, from labelled findings: a table given by the caller, or planted ones in the usual forms
+(planted.py) with those of the corpus that review() is sure of, so that its own dictionary and neighbours count. Training takes
+`most_labels` findings of the corpus at most (a documented bound, chosen by hash) and `lines` planted ones; the dictionary is counted over all documents, and every candidate of every text is scored.
 
 Nulls: a null text has no candidates; a null doc_id is carried along; a null source is an empty path. Repeated rows give repeated
-findings. An empty table, or one without findings of both kinds, gives candidates by review() alone. Other columns are ignored.
+findings. Without labels of both kinds candidates are judged by review() alone. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
+from .planted import planted
 
 #: Names to which secrets are assigned, and words that speak against one.
 NAMES = "password passwd pwd secret token apikey api_key access_key auth credential private_key bearer"
@@ -35,7 +36,7 @@ TELLING = re.compile("|".join(NAMES.split()) + r"|(?:^|[_.-])(?:key|pass)$")
 #: A name and an operator (the value is read apart, so that a value may be a name too), and forms without one: headers and URLs.
 ASSIGNED = re.compile(r"(?<![\w.-])(?P<name>[\w.-]++)[\"']?\s*+(?::=|=>|:|=|>)\s*+[\"']?")
 VALUE = re.compile(r"[^\s\"',;<>]{8,}")
-BARE = [re.compile(x) for x in (r"(?i)\bbearer[ \t]+(?P<value>[\w.~+/=-]{8,})", r"(?i)\bauthorization[\"']?\s*+[:=]\s*+[\"']?\w+[ \t]+(?P<value>[\w.~+/=-]{8,})", r"://[^\s/:@\"'<>]*+:(?P<value>[^\s/@\"'<>]+)@")]
+BARE = [re.compile(x) for x in (r"(?i)\bbearer[ \t]+(?P<value>[\w.~+/=-]{8,})", r"(?i)\bauthorization[\"']?\s*+[:=]\s*+[\"']?\w+[ \t]+(?P<value>[\w.~+/=-]{8,})", r"://[^\s/:@\"'<>]*+:(?P<value>[^\s/@\"'<>]+)@", r"(?P<value>\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*)", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*(?P<value>[A-Za-z0-9+/=\s]{40,}?)\s*-----END")]
 RUN = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 NAMED = re.compile(r"[A-Za-z_][\w-]*+=+(?=[^=])")
 PARTS = re.compile(r"[^\W\d_]{3,}")
@@ -143,17 +144,22 @@ def review(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(sure, 1.0).when(never & ~open_, 0.0))
 
 
-def scan(docs: DataFrame, labels: DataFrame | None = None, most_labels: int = 20_000, trees: int = 30, depth: int = 6, seed: int = 7) -> DataFrame:
+def scan(docs: DataFrame, labels: DataFrame | None = None, most_labels: int = 20_000, lines: int = 4000, trees: int = 30, depth: int = 6, seed: int = 7) -> DataFrame:
     """
     doc_id, start, length, kind, secret_sha256, probability, is_secret for every candidate. labels: doc_id, start, is_secret of
-    findings that were looked at; without them review() labels what it is sure of.
+    findings that were looked at (1 where two verdicts differ); without them the forest learns from planted lines and what review() is sure of.
     """
-    found = durable(review(candidates(docs, dictionary(docs))))
+    words = dictionary(docs)
+    found = durable(review(candidates(docs, words)))
     if labels is not None:
-        found = durable(found.drop("label").join(labels.select("doc_id", "start", F.col("is_secret").cast("double").alias("label")).dropDuplicates(["doc_id", "start"]), ["doc_id", "start"], "left"))
+        found = durable(found.drop("label").join(labels.select("doc_id", "start", F.col("is_secret").cast("double").alias("label")).groupBy("doc_id", "start").agg(F.max("label").alias("label")), ["doc_id", "start"], "left"))
     known = found.where("label IS NOT NULL")
     half = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", "start", "secret_sha256")).limit(most_labels // 2) for k in (0.0, 1.0)]
-    train = durable(half[0].unionByName(half[1]).select(array_to_vector("features").alias("x"), "label"))
+    train = half[0].unionByName(half[1]).select("features", "label")
+    if labels is None and lines:
+        made = planted(docs.sparkSession, lines)
+        train = train.unionByName(candidates(made, words).join(made.select("doc_id", "start", "label"), ["doc_id", "start"]).select("features", "label"))
+    train = durable(train.select(array_to_vector("features").alias("x"), "label"))
     plain = ["doc_id", "start", "length", "kind", "secret_sha256"]
     if train.select("label").distinct().count() < 2:
         return found.select(*plain, F.coalesce("label", F.lit(0.5)).alias("probability"), (F.coalesce("label", F.lit(1.0)) > 0.5).alias("is_secret"))

@@ -345,3 +345,37 @@ def test_secret_candidates_of_other_forms(spark):
     assert [x[2] for x in secrets.found_in("PRODUCTION_BILLING_SERVICE_DATABASE_PASSWORD=S3cretpw9x") if x[1] == value] == [True]
     docs = spark.createDataFrame([(1, "password = correcthorsebattery", "a")], "doc_id long, text string, source string")
     assert secrets.review(secrets.candidates(docs, frozenset())).first().label is None
+
+
+def test_secret_candidates_of_web_tokens_and_keys():
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl"
+    body = "MIIEpAIBAAKCAQEA7bq0\n" * 3
+    assert (7, token, True) in secrets.found_in(f"cookie {token} x")
+    assert any(v.startswith("MIIE") and ok for _, v, ok in secrets.found_in(f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"))
+
+
+def test_secrets_planted_and_held_out(spark):
+    """Secrets in eight forms and eight kinds of look-alikes that training hasn't seen, counted from what was planted, not from what was found."""
+    from barflow.llm.planted import planted
+
+    held = durable(planted(spark, 3000, seed=99))
+    got = secrets.scan(held).where("is_secret").select("doc_id", "start").distinct()
+    n, hit = held.where("label = 1").count(), held.where("label = 1").join(got, ["doc_id", "start"]).count()
+    wrong = held.where("label = 0").join(got, ["doc_id", "start"]).count()
+    print("recall", hit / n, "precision", hit / (hit + wrong))
+    assert hit / n >= 0.9 and hit / (hit + wrong) >= 0.9
+
+
+def test_secret_candidates_and_features_by_brute_force(spark, table):
+    """Every candidate of every text once, with the features that plain counting gives; null ids and repeated rows are carried along."""
+    df = spark.createDataFrame([(None, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None), (None, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None), (1, "", "a"), (2, None, "a")] + [(d, t, s) for d, s, t in table], "doc_id long, text string, source string")
+    got = secrets.candidates(df, frozenset({"the"})).select("doc_id", "start", "length", "secret_sha256", "features").collect()
+    want = []
+    for d, t, _ in df.collect():
+        for start, value, assigned in secrets.found_in(t or ""):
+            assert (t or "")[start : start + len(value)] == value
+            kinds = ["d" if c.isdigit() else "U" if c.isupper() else "a" if c.isalpha() else "o" for c in value]
+            moves = [sum(a == x and b == y for a, b in zip(kinds, kinds[1:])) / max(1, len(value) - 1) for x in "adUo" for y in "adUo"]
+            want.append((d, start, len(value), brute.sha(value), round(kinds.count("d") / len(value), 9), [round(m, 9) for m in moves]))
+    form = lambda r: (r.doc_id, r.start, r.length, r.secret_sha256, round(r.features[2], 9), [round(m, 9) for m in r.features[-16:]])
+    assert sort(map(form, got)) == sort(want) and sum(r.doc_id is None for r in got) == 2
