@@ -6,7 +6,7 @@ buckets of the hash, the bucket in which the budget ends is cut into 1024 again,
 is looked at again, so after the first pass almost nothing is. Thresholds are nested: a larger budget takes a superset.
 
 Nulls: a null text has no words; a null source is a source of its own and comes last. Rows with the same doc_id have the same hash
-and are taken or left together. A source without words has a target of 0. An empty table gives no rows. Other columns stay.
+and are taken or left together. A source without words has a target of 0. An empty table gives no rows. mixed_documents() keeps other columns, mix() leaves them out.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def thresholds(docs: DataFrame, wants: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3, names: tuple[str, ...] = ("size", "source_size", "target", "taken")) -> DataFrame:
     """
-    `docs` (doc_id, text, source and others) with four columns: words, words of the source, the source's target, and words that the
+    docs: doc_id, text, source. Returns doc_id, source and, named by `names`: words, words of the source, the source's target, and words that the
     mix takes from the document: a whole number of copies of it, 0 to `limit`.
     """
     plan = plan_mix(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")), weights, limit)

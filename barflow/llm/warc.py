@@ -75,22 +75,28 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return found.select("page_id", "sha", "size", F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")).alias("refers_to")).distinct()
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 6, records_per_file: int = 20_000) -> None:
-    """Writes `pages` (page_id, url, html) as archives into the folder `path`, which mustn't exist yet."""
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 6, file_bytes: int = 128 << 20) -> None:
+    """
+    Writes `pages` (page_id, url, html) as archives into the folder `path`, which mustn't exist yet. A task begins a new archive, in a
+    subfolder of its own, when the one before has `file_bytes`.
+    """
     html = F.coalesce(F.col("p.html"), F.lit("")).cast("binary")
     same = F.col("p.page_id").cast("long").eqNullSafe(F.col("r.page_id")) & (F.sha1(html) == F.col("r.sha"))
     rows = pages.alias("p").join(roles(pages, min_bytes).alias("r"), same).select("r.page_id", "p.url", F.when(F.col("r.refers_to").isNull(), html).otherwise(F.lit(b"")).alias("payload"), "r.refers_to", "r.sha", "r.size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                out = []
+                out, roll = [], []
                 for page, url, payload, refers_to, sha, size in zip(*(c.to_pylist() for c in batch.slice(at, BATCH).columns), strict=True):
                     out.append(record(page, url, payload, refers_to, base64.b32encode(bytes.fromhex(sha)).decode(), size, date, level)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                    roll.append(written // file_bytes)
+                    written += len(out[-1]) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(roll, pa.int32())], ["member", "roll"])
 
-    members = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
+    members = rows.mapInArrow(run, "member binary, roll int").select(F.col("member").cast("string").alias("value"), "roll")
+    members.write.partitionBy("roll").option("lineSep", "\x00").text(path)
 
 
 def members(archive: bytes) -> Iterator[bytes]:

@@ -95,6 +95,23 @@ def test_warc(spark):
     assert sort(QUERIES["op2_warc"](spark, DATA).collect()) == sort(want)
 
 
+def test_warc_of_rolled_files_nulls_and_repeats(spark):
+    """Archives of bounded size, rows without id, repeated rows, other columns, and no rows at all."""
+    import random
+
+    noise = random.Random(1)
+    rows = [(i, "u", "".join(chr(noise.randint(32, 126)) for _ in range(20_000)), 1) for i in range(40)] + [(None, "u", "alone", 1), (50, "u", "twice", 1), (50, "u", "twice", 1)]
+    df, path = spark.createDataFrame(rows, "page_id long, url string, html string, sha int").coalesce(1), new_path(spark, "warc")
+    warc.write_warc(df, path, file_bytes=100_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(sizes) >= 5 and max(sizes) < 130_000
+    got = sort(warc.page_records(warc.read_warc(spark, path)).select("page_id", "payload_bytes", "record_type").collect())
+    assert got == sort([(i, 20_000, "response") for i in range(40)] + [(None, 5, "response")] + [(50, 5, "response")] * 2)
+    none = new_path(spark, "warc")
+    warc.write_warc(df.where("false"), none)
+    assert warc.read_warc(spark, none).count() == 0
+
+
 def test_warc_members_and_damage():
     raw = warc.record(1, "u", b"x" * 70_000, None, warc.digest(b"x" * 70_000), 70_000, "d", 6)
     assert raw[-1] == 0 and warc.parse(next(warc.members(raw)))[6] == b"x" * 70_000
