@@ -151,8 +151,12 @@ def lpt(docs, shards=24):
     size = Counter()
     for _, t in docs:
         size[t or ""] += len((t or "").encode()) + 8
+    return lpt_sizes(size.values(), shards)
+
+
+def lpt_sizes(sizes, shards):
     load = [0] * shards
-    for n in sorted(size.values(), reverse=True):
+    for n in sorted(sizes, reverse=True):
         load[load.index(min(load))] += n
     return sorted(load)
 

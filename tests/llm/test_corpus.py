@@ -139,10 +139,22 @@ def test_sharding(spark, docs, table):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_sharding_parcels_stay_near_equal(spark):
-    rows = spark.range(40_000).select(F.col("id").alias("h1"), F.col("id").alias("h2"), (F.col("id") % 90 + 10).alias("size"))
-    loads = [r.n for r in shards.assign(rows, 3).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
-    assert len(loads) == 3 and max(loads) - min(loads) < 0.001 * sum(loads)
+def test_sharding_many_groups(spark):
+    """40,000 groups, a third of one size, against the heap over single groups."""
+    sizes = [25 if i % 3 == 0 else i * i % 997 + 9 for i in range(40_000)]
+    rows = spark.createDataFrame([(i, -i, n) for i, n in enumerate(sizes)], "h1 long, h2 long, size long")
+    got = {r.shard: (r.n, r.k) for r in shards.assign(rows, 7).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()}
+    assert sorted(n for n, _ in got.values()) == brute.lpt_sizes(sizes, 7) and sum(k for _, k in got.values()) == len(sizes)
+
+
+@pytest.mark.parametrize("shard_count", [1, 3, 24])
+def test_schedule_by_classes(shard_count):
+    """Few sizes many times and many sizes once, a giant first."""
+    classes = [(10**6, 1), (7, 5000), (5, 101), (3, 96), (2, 97), *((n, n % 4 + 1) for n in range(8, 300))]
+    took = shards.schedule(classes, shard_count)
+    assert [sum(t) for t in took] == [n for _, n in classes]
+    loads = [sum(t[s] * size for t, (size, _) in zip(took, classes, strict=True)) for s in range(shard_count)]
+    assert sorted(loads) == brute.lpt_sizes([size for size, n in classes for _ in range(n)], shard_count)
 
 
 def test_bpe(spark, docs, table):
