@@ -17,6 +17,11 @@ LOW = 0.02425
 EULER = 0.5772156649015329
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where `value` is worked out once however often `body` names it; long formulas stay small enough to be compiled."""
+    return F.transform(F.array(value), body)[0]
+
+
 def horner(coefficients, x: Column) -> Column:
     out = F.lit(float(coefficients[0]))
     for c in coefficients[1:]:
@@ -25,10 +30,12 @@ def horner(coefficients, x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    z = F.abs(x) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + ERF_P * z)
-    erf = 1 - horner(ERF[::-1], t) * t * F.exp(-z * z)
-    return F.when(x >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
+    def of(x: Column) -> Column:
+        z = F.abs(x) / F.sqrt(F.lit(2.0))
+        upper = let(1 / (1 + ERF_P * z), lambda t: horner(ERF[::-1], t) * t) * F.exp(-z * z) / 2
+        return F.when(x >= 0, 1 - upper).otherwise(upper)
+
+    return let(x, of)
 
 
 def norm_ppf(p: Column) -> Column:
@@ -36,10 +43,55 @@ def norm_ppf(p: Column) -> Column:
     def tail(q: Column) -> Column:
         return horner(PPF_C, q) / (horner(PPF_D, q) * q + 1)
 
-    q = p - 0.5
-    r = q * q
-    middle = horner(PPF_A, r) * q / (horner(PPF_B, r) * r + 1)
-    return F.when(p < LOW, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - LOW, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(middle)
+    def of(p: Column) -> Column:
+        far = let(F.sqrt(-2 * F.log(F.least(p, 1 - p))), tail)
+        middle = let((p - 0.5) * (p - 0.5), lambda r: horner(PPF_A, r) / (horner(PPF_B, r) * r + 1)) * (p - 0.5)
+        return F.when(p < LOW, far).when(p > 1 - LOW, -far).otherwise(middle)
+
+    return let(p, of)
+
+
+def deflated_sharpe(sr: Column, n: Column, trials: Column, skew: Column | float = 0.0, kurt: Column | float = 3.0) -> Column:
+    """Probability that a Sharpe ratio (per period, over n periods) is above what the best of `trials` skilless ones shows; 0 for n < 2, without trials, or where the ratio's variance isn't positive."""
+    k = F.greatest(trials.cast("double"), F.lit(2.0))
+    top = (1 - EULER) * norm_ppf(1 - 1 / k) + EULER * norm_ppf(1 - 1 / (k * F.exp(F.lit(1.0))))
+    expected = F.when(trials <= 1, 0.0).otherwise(top)  # in standard deviations
+    variance = (1 - skew * sr + (kurt - 1) / 4 * sr * sr) / F.nullif(n - 1, F.lit(0))
+    return let(variance, lambda v: F.when((n < 2) | (trials < 1) | (v <= 0), 0.0).otherwise(norm_cdf(sr / F.sqrt(F.when(v > 0, v)) - expected)))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def softmax(*logits: Column) -> Column:
+    """An array of shares that add up to 1, the largest logit taken off first."""
+    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
+    each = [F.exp(x - top) for x in logits]
+    total = sum(each[1:], each[0])
+    return F.array(*(e / total for e in each))
+
+
+def _horner_sql(coefficients, x: str) -> str:
+    out = repr(float(coefficients[0])) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {float(c)!r}::DOUBLE)"
+    return out
+
+
+def cdf_sql(x: str) -> str:
+    """norm_cdf as SQL text, for the oracles."""
+    z = f"(abs({x}) / sqrt(2.0))"
+    t = f"(1 / (1 + {ERF_P} * {z}))"
+    half = f"({_horner_sql(ERF[::-1], t)} * {t} * exp(-{z} * {z}) / 2)"
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {half} ELSE {half} END)"
+
+
+def ppf_sql(p: str) -> str:
+    """norm_ppf as SQL text, for the oracles."""
+    r, q = f"(({p} - 0.5) * ({p} - 0.5))", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    tail = f"{_horner_sql(PPF_C, q)} / ({_horner_sql(PPF_D, q)} * {q} + 1)"
+    return f"(CASE WHEN least({p}, 1 - {p}) >= {LOW} THEN {_horner_sql(PPF_A, r)} * ({p} - 0.5) / ({_horner_sql(PPF_B, r)} * {r} + 1) WHEN {p} < 0.5 THEN {tail} ELSE -({tail}) END)"
 
 
 def deflated_sharpe(sr: Column, n: Column, trials: Column, skew: Column | float = 0.0, kurt: Column | float = 3.0) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import stats
 
 R = "realized_r"
 
@@ -29,6 +30,24 @@ def portfolio_rollup(ledger: DataFrame) -> DataFrame:
     return ledger.rollup("instrument").agg(*rollup_columns())
 
 
+def portfolio_book(ledger: DataFrame, tie: list[str], counts: dict[str, str]) -> DataFrame:
+    """
+    portfolio_rollup with the newest trade's exit_reason as `newest` and a histogram, an array of (value, n), for each name in `counts`:
+    of how often a column, of few distinct values, has each value (null counts as "unknown") (A5).
+    """
+    keys = ["whole", "instrument"]
+    whole = F.grouping("instrument").alias("whole")
+    out = ledger.rollup("instrument").agg(*rollup_columns(), F.max_by("exit_reason", F.struct("ts_out_ms", *tie)).alias("newest"), whole)
+    for name, column in counts.items():
+        of = ledger.select("instrument", F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("value"))
+        each = of.groupBy("instrument", "value").agg(F.count("*").alias("n")).withColumn("whole", F.lit(0))
+        total = each.groupBy("value").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("instrument"), "value", "n", F.lit(1).alias("whole"))
+        bins = each.unionByName(total).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias(name))
+        same = (F.col("a.whole") == F.col("b.whole")) & F.col("a.instrument").eqNullSafe(F.col("b.instrument"))
+        out = out.alias("a").join(bins.alias("b"), same, "left").select("a.*", f"b.{name}")
+    return out.drop("whole")
+
+
 def profit_factor(r: str = R, cap: float = 999.0) -> Column:
     x = F.col(r)
     won, lost = F.sum(F.when(x > 0, x).otherwise(0.0)), F.sum(F.when(x < 0, -x).otherwise(0.0))
@@ -53,15 +72,15 @@ def hit_rate(r: str = R, decided: bool = True) -> Column:
     return F.when(n > 0, F.count_if(x > 0) / n).otherwise(0.0)
 
 
-def curve(ledger: DataFrame, by: list[str], tie: list[str], ts: str = "ts_out_ms", start: float = 0.0, slice_ms: int = 30 * 86_400_000) -> DataFrame:
+def curve(ledger: DataFrame, by: list[str], tie: list[str], ts: str = "ts_out_ms", start: float = 0.0, slice_ms: int = 30 * 86_400_000, r: str = R) -> DataFrame:
     """
     Adds cum_r, peak and drawdown in the order of (ts, tie): running sums and maxima inside time slices, and one row a slice that
     carries them on. start: the equity before the first trade, which is the first peak.
     """
     rows = ledger.withColumn("_slice", F.floor(F.col(ts) / slice_ms))
     inner = Window.partitionBy(*by, "_slice").orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_sum", F.sum(R).over(inner)).withColumn("_top", F.max("_sum").over(inner))
-    ends = rows.groupBy(*by, "_slice").agg(F.sum(R).alias("_s"), F.max("_top").alias("_t"))
+    rows = rows.withColumn("_sum", F.sum(r).over(inner)).withColumn("_top", F.max("_sum").over(inner))
+    ends = rows.groupBy(*by, "_slice").agg(F.sum(r).alias("_s"), F.max("_top").alias("_t"))
     outer = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_base", F.coalesce(F.sum("_s").over(outer), F.lit(0.0)))
     ends = ends.withColumn("_peak", F.greatest(F.coalesce(F.max(F.col("_base") + F.col("_t")).over(outer), F.lit(0.0)), F.lit(0.0)))
@@ -70,6 +89,38 @@ def curve(ledger: DataFrame, by: list[str], tie: list[str], ts: str = "ts_out_ms
     return out.withColumn("drawdown", F.col("peak") - F.col("cum_r")).drop("_slice", "_sum", "_top", "_base", "_peak")
 
 
+def compounded(ledger: DataFrame, by: list[str], tie: list[str], ts: str = "ts_out_ms") -> DataFrame:
+    """
+    Adds equity, from 1.0 with each return reinvested, the highest equity so far, 1.0 included, and the drawdown from it in basis points
+    (T14). A return of -1 or less leaves 1e-12 of the equity; a null one leaves all.
+    """
+    log = F.coalesce(F.when(F.col(R) > -1, F.log1p(R)).when(F.col(R) <= -1, F.log(F.lit(1e-12))), F.lit(0.0))
+    out = curve(ledger.withColumn("_log", log), by, tie, ts, r="_log")
+    return out.select(*ledger.columns, F.exp("cum_r").alias("equity"), F.exp("peak").alias("equity_peak"), ((1 - F.exp(-F.col("drawdown"))) * 10_000).alias("drawdown_bp"))
+
+
+def trade_summary(ledger: DataFrame, by: list[str], tie: list[str], ts: str = "ts_out_ms", periods: float = 1.0) -> DataFrame:
+    """
+    The headline figures of each group's trades (A24). periods: trades a year, for Sharpe and Sortino. avg_loss takes trades without a gain,
+    scratched ones too; elapsed time runs from the first to the last close; exposure is 0 unless the ledger has ts_in_ms.
+    """
+    x = F.col(R)
+    won, lost = F.sum(F.when(x > 0, x).otherwise(0.0)), F.sum(F.when(x < 0, -x).otherwise(0.0))
+    days = (F.max(ts) - F.min(ts)) / 86_400_000
+    held = F.sum(F.col(ts) - F.col("ts_in_ms")) / 86_400_000 if "ts_in_ms" in ledger.columns else F.lit(0.0)
+    sums = compounded(ledger, by, tie, ts).groupBy(*by).agg(
+        F.count("*").alias("n_trades"), F.sum(x).alias("net_return"), sharpe(periods=periods).alias("sharpe"), sortino(periods=periods).alias("sortino"), F.max("drawdown_bp").alias("max_drawdown_bp"),
+        hit_rate(decided=False).alias("hit_rate"), F.when(lost > 0, won / lost).when(won > 0, 1e6).otherwise(0.0).alias("profit_factor"),
+        F.coalesce(F.avg(F.when(x > 0, x)), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(x <= 0, x)), F.lit(0.0)).alias("avg_loss"), days.alias("_days"), held.alias("_held"),
+    )
+    per_day = lambda c: F.when(F.col("_days") > 0, F.col(c) / F.col("_days")).otherwise(0.0)
+    drop = F.col("max_drawdown_bp") / 10_000
+    return sums.select(
+        *by, "n_trades", "net_return", "sharpe", "sortino", stats.deflated_sharpe(F.col("sharpe"), F.greatest("n_trades", F.lit(1)), F.lit(1)).alias("deflated_sharpe"), F.when(drop > 0, F.col("sharpe") / drop).otherwise(0.0).alias("calmar"),
+        "max_drawdown_bp", "hit_rate", "profit_factor", "avg_win", "avg_loss", per_day("n_trades").alias("turnover_per_day"), per_day("_held").alias("exposure"), (F.col("n_trades") > 0).alias("traded"),
+    )
+
+
 def round_trips(decisions: DataFrame, tie: list[str]) -> DataFrame:
     """Each close with the last open before it that no other close came after."""
     w = Window.partitionBy("instrument").orderBy("ts_ms", *tie)
@@ -96,7 +147,7 @@ def pareto(trials: DataFrame, better: list[str], worse: list[str], key: str) ->
     """
     Trials that no other is at least as good as in everything and better in something (`better`: more is better).
 
-    A first pass leaves, of each rounded cell of the first measure, only what nothing in the cell dominates; those few meet all.
+    A first pass leaves, of each of 64 cells by hash of the key, only what nothing in the cell dominates; those few meet all.
     """
     def dominated(a: str, b: str) -> Column:
         ge = [F.col(f"{b}.{c}") >= F.col(f"{a}.{c}") for c in better] + [F.col(f"{b}.{c}") <= F.col(f"{a}.{c}") for c in worse]
@@ -112,6 +163,30 @@ def pareto(trials: DataFrame, better: list[str], worse: list[str], key: str) ->
     return few.alias("a").join(few.alias("b"), dominated("a", "b"), "left_anti")
 
 
+def chosen(front: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """Of the front's trials that with the highest sortino, one of `least` trades or more if there is any; of equals, the smallest key."""
+    order = F.struct((F.coalesce("n_trades", F.lit(0)) >= least), F.col("sortino"))
+    best = front.groupBy().agg(F.max(order).alias("best"))
+    return front.join(best, order == F.col("best")).groupBy().agg(F.min(key).alias(key)).where(F.col(key).isNotNull())
+
+
+def floor_rows(models: DataFrame, key: str, floors: dict[str, tuple[str, float]], given: str | None = None) -> DataFrame:
+    """
+    A row for each model and floor: name, actual, floor, direction (ge or le), passed, fraction_over (P17). floors: measure -> (direction,
+    value). given: a column of JSON that names values of its own; what it leaves out, or JSON that can't be read, means the default.
+    """
+    own = F.from_json(given, "map<string,double>") if given else F.lit(None).cast("map<string,double>")
+
+    def view(name: str) -> Column:
+        direction, value = floors[name]
+        actual, floor = F.col(name).cast("double"), F.coalesce(F.try_element_at("_own", F.lit(name)), F.lit(float(value)))
+        over = actual - floor if direction == "ge" else floor - actual
+        return F.struct(F.lit(name).alias("name"), actual.alias("actual"), floor.alias("floor"), F.lit(direction).alias("direction"), (over >= 0).alias("passed"), F.when(floor > 0, over / floor).otherwise(0.0).alias("fraction_over"))
+
+    rows = models.withColumn("_own", own).select(key, F.explode(F.array(*(view(n) for n in floors))).alias("x"))
+    return rows.select(key, "x.*")
+
+
 def streaks(ledger: DataFrame, tie: list[str], day_ms: int = 86_400_000) -> DataFrame:
     """Per instrument and UTC day: running P&L, its peak, and losses in a row."""
     rows = ledger.withColumn("day", F.floor(F.col("ts_out_ms") / day_ms))

@@ -30,6 +30,20 @@ def a5_portfolio_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(L.portfolio_rollup(A.ledger(spark, d)), NUMS)
 
 
+BINS = "SELECT instrument, whole, string_agg(v || ':' || n, ';' ORDER BY v) AS bins FROM (SELECT instrument, GROUPING(instrument) AS whole, coalesce({0}, 'unknown') AS v, count(*) AS n FROM lk GROUP BY GROUPING SETS ((instrument, coalesce({0}, 'unknown')), (coalesce({0}, 'unknown')))) GROUP BY 1, 2"
+
+
+@P.add(
+    f"SELECT b.instrument, n_trades, cum_r, newest, x.bins AS reasons, y.bins AS kinds FROM (SELECT instrument, GROUPING(instrument) AS whole, count(*) AS n_trades, round(sum(realized_r), 6) + 0.0 AS cum_r, last(exit_reason ORDER BY ts_out_ms, trade_id) AS newest FROM lk GROUP BY GROUPING SETS ((instrument), ())) b JOIN ({BINS.format('exit_reason')}) x ON x.whole = b.whole AND x.instrument IS NOT DISTINCT FROM b.instrument JOIN ({BINS.format('kind')}) y ON y.whole = b.whole AND y.instrument IS NOT DISTINCT FROM b.instrument",
+    A.LEDGER, A.METRICS, "lk AS (SELECT ledger.*, kind FROM ledger LEFT JOIN model_metrics USING (model_id))",
+)
+def a5_portfolio_book(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.ledger(spark, d).join(A.model_metrics(spark, d).select("model_id", "kind"), "model_id", "left")
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["value"], x["n"])), ";").alias(c)
+    book = L.portfolio_book(rows, ["trade_id"], {"reasons": "exit_reason", "kinds": "kind"})
+    return book.select("instrument", "n_trades", r6("cum_r"), "newest", text("reasons"), text("kinds"))
+
+
 SHARPE = "CASE WHEN count(*) >= 2 AND stddev_samp(realized_r) > 0 THEN avg(realized_r) / stddev_samp(realized_r) ELSE 0 END"
 SQ = "sum(CASE WHEN realized_r < 0 THEN realized_r * realized_r ELSE 0 END)"
 WON, LOST = "sum(CASE WHEN realized_r > 0 THEN realized_r ELSE 0 END)", "sum(CASE WHEN realized_r < 0 THEN -realized_r ELSE 0 END)"
@@ -107,9 +121,43 @@ def t13_t14_equity_curve(spark: SparkSession, d: str) -> DataFrame:
     return L.curve(A.ledger(spark, d), ["instrument"], ["trade_id"]).select("trade_id", r6("cum_r", digits=9), r6("peak", digits=9), r6("drawdown", digits=9))
 
 
-@P.add(f"SELECT instrument, n_trades, round({SHARPE.replace('count(*)', 'n_trades').replace('avg(realized_r)', 'm').replace('stddev_samp(realized_r)', 's')}, 6) + 0.0 AS sharpe, round(dd, 6) AS max_drawdown FROM (SELECT instrument, count(*) AS n_trades, avg(realized_r) AS m, stddev_samp(realized_r) AS s, max(peak - cum_r) AS dd FROM k GROUP BY 1)", A.LEDGER, CURVE)
+EQUITY = "q AS (SELECT *, sum(ln(1 + realized_r)) OVER (PARTITION BY instrument ORDER BY ts_out_ms, trade_id ROWS UNBOUNDED PRECEDING) AS lg FROM ledger), e AS (SELECT *, exp(lg) AS equity, greatest(max(exp(lg)) OVER (PARTITION BY instrument ORDER BY ts_out_ms, trade_id ROWS UNBOUNDED PRECEDING), 1.0) AS top FROM q)"
+
+
+@P.add("SELECT trade_id, round(ln(equity), 7) + 0.0 AS log_equity, round(ln(top), 7) + 0.0 AS log_peak, round(ln(equity / top), 9) + 0.0 AS log_depth FROM e", A.LEDGER, EQUITY)
+def t14_compounded_equity(spark: SparkSession, d: str) -> DataFrame:
+    return L.compounded(A.ledger(spark, d), ["instrument"], ["trade_id"]).select("trade_id", r6(F.log("equity"), "log_equity", 7), r6(F.log("equity_peak"), "log_peak", 7), r6(F.log(1 - F.col("drawdown_bp") / 10_000), "log_depth", 9))
+
+
+A24_REAL = ("net_return", "sharpe", "sortino", "deflated_sharpe", "calmar", "max_drawdown_bp", "hit_rate", "profit_factor", "avg_win", "avg_loss", "turnover_per_day", "exposure")
+
+
+@P.add(
+    "SELECT instrument, n_trades, n_trades > 0 AS traded, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in A24_REAL) + f" FROM (SELECT *, CASE WHEN max_drawdown_bp > 0 THEN sharpe / (max_drawdown_bp / 1e4) ELSE 0 END AS calmar, CASE WHEN n_trades < 2 THEN 0 ELSE {stats.cdf_sql('(sharpe / sqrt((1 + sharpe * sharpe / 2) / (n_trades - 1)))')} END AS deflated_sharpe FROM (SELECT instrument, count(*) AS n_trades, sum(realized_r) AS net_return, {SHARPE} AS sharpe, CASE WHEN {SQ} > 0 THEN avg(realized_r) / sqrt({SQ} / count(*)) ELSE 0 END AS sortino, max((top - equity) / top * 1e4) AS max_drawdown_bp, count(*) FILTER (realized_r > 0) / count(*) AS hit_rate, CASE WHEN {LOST} > 0 THEN {WON} / {LOST} WHEN {WON} > 0 THEN 1e6 ELSE 0 END AS profit_factor, coalesce(avg(realized_r) FILTER (realized_r > 0), 0) AS avg_win, coalesce(avg(realized_r) FILTER (realized_r <= 0), 0) AS avg_loss, count(*) / ((max(ts_out_ms) - min(ts_out_ms)) / 86400000) AS turnover_per_day, 0.0 AS exposure FROM e GROUP BY 1))",
+    A.LEDGER, EQUITY,
+)
 def a24_trade_summary(spark: SparkSession, d: str) -> DataFrame:
-    return L.curve(A.ledger(spark, d), ["instrument"], ["trade_id"]).groupBy("instrument").agg(F.count("*").alias("n_trades"), r6(L.sharpe(), "sharpe"), r6(F.max("drawdown"), "max_drawdown"))
+    return L.trade_summary(A.ledger(spark, d), ["instrument"], ["trade_id"]).select("instrument", "n_trades", "traded", *(r6(c, digits=5) for c in A24_REAL))
+
+
+NORMAL = "n AS (SELECT doc_id, (doc_id * 7919 % 8001) / 1000 - 4 AS x, (doc_id * 104729 % 9973 + 1) / 9975 AS p FROM documents)"
+
+
+@P.add(f"SELECT doc_id, round({stats.cdf_sql('x')}, 9) AS cdf, round({stats.ppf_sql('p')}, 8) + 0.0 AS ppf, round(1 / (1 + exp(-x)), 9) AS sigmoid, round(exp(x) / (exp(x) + exp(p)), 9) AS share FROM n", NORMAL)
+def f2_f3_normal_sigmoid_softmax(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 7919 % 8001 / 1000 - 4).alias("x"), ((F.col("doc_id") * 104729 % 9973 + 1) / 9975).alias("p"))
+    x, p = F.col("x"), F.col("p")
+    return rows.select("doc_id", r6(stats.norm_cdf(x), "cdf", 9), r6(stats.norm_ppf(p), "ppf", 8), r6(stats.sigmoid(x), "sigmoid", 9), r6(stats.softmax(x, p)[0], "share", 9))
+
+
+@P.add(
+    f"SELECT trial_id, round(CASE WHEN n_trades < 2 THEN 0 ELSE {stats.cdf_sql('((sortino - top * sd) / sd)')} END, 7) + 0.0 AS dsr FROM (SELECT *, sqrt((1 + 0.5 * sortino + 0.75 * sortino * sortino) / nullif(n_trades - 1, 0)) AS sd, CASE WHEN k <= 1 THEN 0 ELSE (1 - {stats.EULER}) * {stats.ppf_sql('(1 - 1 / greatest(k, 2.0))')} + {stats.EULER} * {stats.ppf_sql('(1 - 1 / (greatest(k, 2.0) * exp(1.0)))')} END AS top FROM (SELECT *, CAST(count(*) OVER (PARTITION BY study_id) AS DOUBLE) AS k FROM trials))",
+    A.TRIALS,
+)
+def a25_deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.trials(spark, d)
+    rows = rows.join(rows.groupBy("study_id").agg(F.count("*").alias("k")), "study_id")
+    return rows.select("trial_id", r6(stats.deflated_sharpe(F.col("sortino"), F.col("n_trades"), F.col("k"), -0.5, 4.0), "dsr", 7))
 
 
 @P.add(
@@ -149,10 +197,16 @@ def p16_p18_gate(spark: SparkSession, d: str) -> DataFrame:
     return A.model_metrics(spark, d).select("model_id", F.array_join(reasons, ";").alias("blocked"), (F.size(reasons) == 0).alias("passed"))
 
 
-@P.add("SELECT model_id, unnest(['oos_auc', 'sortino']) AS name, unnest([oos_auc, sortino]) AS actual, unnest([oos_auc >= 0.3, sortino >= 0.2]) AS passed FROM model_metrics", A.METRICS)
+@P.add(
+    " UNION ALL ".join(f"SELECT model_id, '{n}' AS name, round(CAST({n} AS DOUBLE), 6) + 0.0 AS actual, f AS floor, '{'ge' if op == '>=' else 'le'}' AS direction, {n} {op} f AS passed, round({'' if op == '>=' else '-'}({n} - f) / f, 9) + 0.0 AS fraction_over FROM (SELECT *, CASE WHEN '{n}' = 'oos_auc' AND model_id % 3 = 0 THEN 0.4::DOUBLE ELSE {float(v)}::DOUBLE END AS f FROM model_metrics)" for n, (op, v) in FLOORS.items()),
+    A.METRICS,
+)
 def p17_floor_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("actual"), (F.col(n) >= FLOORS[n][1]).alias("passed")) for n in ("oos_auc", "sortino")))
-    return A.model_metrics(spark, d).select("model_id", F.explode(rows).alias("x")).select("model_id", "x.*")
+    """A third of the models has a floor of its own, and a third JSON that can't be read."""
+    turn = F.col("model_id") % 3
+    models = A.model_metrics(spark, d).withColumn("given", F.when(turn == 0, '{"oos_auc": 0.4}').when(turn == 1, "{no json"))
+    rows = L.floor_rows(models, "model_id", {n: ("ge" if op == ">=" else "le", v) for n, (op, v) in FLOORS.items()}, "given")
+    return rows.select("model_id", "name", r6("actual"), "floor", "direction", "passed", r6("fraction_over", digits=9))
 
 
 @P.add("SELECT model_id, kind, run_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY oos_log_loss, model_id) AS k FROM model_metrics) WHERE k = 1", A.METRICS)
@@ -176,6 +230,11 @@ def t16_pareto(spark: SparkSession, d: str) -> DataFrame:
     return L.pareto(A.trials(spark, d), ["sortino"], ["max_dd_bp", "turnover"], "trial_id").select("trial_id")
 
 
+@P.add("SELECT trial_id FROM trials a WHERE NOT EXISTS (SELECT 1 FROM trials b WHERE b.sortino >= a.sortino AND b.max_dd_bp <= a.max_dd_bp AND b.turnover <= a.turnover AND (b.sortino > a.sortino OR b.max_dd_bp < a.max_dd_bp OR b.turnover < a.turnover)) ORDER BY n_trades >= 3 DESC, sortino DESC, trial_id LIMIT 1", A.TRIALS)
+def t16_choice(spark: SparkSession, d: str) -> DataFrame:
+    return L.chosen(L.pareto(A.trials(spark, d), ["sortino"], ["max_dd_bp", "turnover"], "trial_id"), "trial_id")
+
+
 AUC = "SELECT fold, round(CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) ELSE 0.5 END, 6) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2 AS rk FROM classified) GROUP BY fold"
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barflow.functions import stats
-from barflow.operators import labels, research, rolling, scan
+from barflow.operators import labels, ledger, research, rolling, scan
 from barflow.operators.bars import bucket_floor
 
 
@@ -132,3 +132,49 @@ def test_bootstrap_is_the_same_for_any_partitioning(spark):
     df = spark.range(400).select("id", (F.col("id") % 17).cast("double").alias("v"))
     a, b = (research.bootstrap(df.repartition(n), "v", F.avg, resamples=20).first() for n in (1, 7))
     assert all(abs(x - y) < 1e-9 for x, y in zip(a, b))
+
+
+def test_trade_summary_by_hand(spark):
+    """One gain, one loss, one scratch; a group without losses; a group of one."""
+    day = 86_400_000
+    rows = [("a", 1, 0, 0.01), ("a", 2, day, -0.02), ("a", 3, 2 * day, 0.0), ("b", 4, 0, 0.01), ("b", 5, day, 0.03), ("c", 6, 0, -0.5)]
+    df = spark.createDataFrame(rows, "instrument string, trade_id long, ts_out_ms long, realized_r double")
+    got = {r.instrument: r for r in ledger.trade_summary(df, ["instrument"], ["trade_id"]).collect()}
+    a, b, c = (got[k] for k in "abc")
+    assert (a.n_trades, round(a.net_return, 9), round(a.max_drawdown_bp, 6), round(a.hit_rate, 6), round(a.profit_factor, 9), a.turnover_per_day) == (3, -0.01, 200.0, 0.333333, 0.5, 1.5)
+    assert (round(a.avg_win, 9), round(a.avg_loss, 9), a.exposure, a.traded) == (0.01, -0.01, 0.0, True)
+    assert round(a.calmar, 6) == round(a.sharpe / 0.02, 6)
+    assert (b.profit_factor, b.max_drawdown_bp, b.calmar, b.sortino) == (1e6, 0.0, 0.0, 0.0)
+    assert (c.sharpe, c.deflated_sharpe, c.turnover_per_day, round(c.max_drawdown_bp, 6)) == (0.0, 0.0, 0.0, 5000.0)
+
+
+def test_compounded_ruin_and_nulls(spark):
+    rows = [("a", 1, 1, 0.5), ("a", 2, 2, None), ("a", 3, 3, -0.5), ("a", 4, 4, -2.0)]
+    df = spark.createDataFrame(rows, "instrument string, trade_id long, ts_out_ms long, realized_r double")
+    got = ledger.compounded(df, ["instrument"], ["trade_id"]).orderBy("trade_id").collect()
+    assert [(round(r.equity, 9), round(r.equity_peak, 9), round(r.drawdown_bp, 6)) for r in got] == [(1.5, 1.5, 0.0), (1.5, 1.5, 0.0), (0.75, 1.5, 5000.0), (0.0, 1.5, 10000.0)]
+
+
+def test_choice_prefers_trials_that_traded(spark):
+    df = spark.createDataFrame([(1, 9.0, 2), (2, 3.0, 3), (3, 5.0, 4), (4, 5.0, 9)], "trial_id long, sortino double, n_trades long")
+    assert [r.trial_id for r in ledger.chosen(df, "trial_id").collect()] == [3]
+    assert [r.trial_id for r in ledger.chosen(df.where("trial_id = 1"), "trial_id").collect()] == [1]
+    assert ledger.chosen(df.where("false"), "trial_id").count() == 0
+
+
+def test_floor_rows_with_own_and_broken_json(spark):
+    df = spark.createDataFrame([(1, 0.6, '{"auc": 0.5}'), (2, 0.6, "{no"), (3, 0.6, None), (4, None, '{"auc": 0}')], "model_id long, auc double, given string")
+    got = {r.model_id: (r.floor, r.passed, r.fraction_over and round(r.fraction_over, 9)) for r in ledger.floor_rows(df, "model_id", {"auc": ("ge", 0.8)}, "given").collect()}
+    assert got == {1: (0.5, True, 0.2), 2: (0.8, False, -0.25), 3: (0.8, False, -0.25), 4: (0.0, None, 0.0)}
+
+
+def test_sigmoid_and_softmax(spark):
+    row = spark.range(1).select(stats.sigmoid(F.lit(0.0)).alias("s"), stats.softmax(F.lit(1000.0), F.lit(1000.0)).alias("two"), stats.softmax(F.lit(3.0)).alias("one")).first()
+    assert (row.s, row.two, row.one) == (0.5, [0.5, 0.5], [1.0])
+
+
+def test_portfolio_book_counts_nulls(spark):
+    rows = [("x", 1, 5, 0.1, "stop"), ("x", 2, 6, -0.1, None), (None, 3, 7, 0.2, "stop")]
+    df = spark.createDataFrame(rows, "instrument string, trade_id long, ts_out_ms long, realized_r double, exit_reason string")
+    got = sorted((r.n_trades, r.newest, tuple(map(tuple, r.reasons))) for r in ledger.portfolio_book(df, ["trade_id"], {"reasons": "exit_reason"}).collect())
+    assert got == [(1, "stop", (("stop", 1),)), (2, None, (("stop", 1), ("unknown", 1))), (3, "stop", (("stop", 2), ("unknown", 1)))]
