@@ -17,8 +17,8 @@ def hour_key(ts: str):
 
 
 def write_hourly_jsonl(df: DataFrame, path: str, kind: str = "kind", ts: str = "ts_ms", gzip: bool = True) -> None:
-    """One set of files for each kind and UTC hour (K1)."""
-    out = df.withColumn("hour", hour_key(ts))
+    """One set of files for each kind and UTC hour (K1). Rows of an hour are brought together first, large hours in several files."""
+    out = df.withColumn("hour", hour_key(ts)).hint("rebalance", kind, "hour")
     out.write.mode("append").partitionBy(kind, "hour").option("compression", "gzip" if gzip else "none").json(path)
 
 
@@ -32,7 +32,7 @@ def archive_daily(df: DataFrame, root: str, table: str, keys: list[str], ts: str
     if _exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select("instrument", "date").distinct()), ["instrument", "date"], "left_semi")  # one row a day and instrument
         new = kept(old.select(*new.columns).unionByName(new).dropDuplicates(["instrument", "date", *keys]))
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "date").parquet(path)
+    new.hint("rebalance", "instrument", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "date").parquet(path)
 
 
 def trades_for_export(ledger: DataFrame, metrics: DataFrame, start_ms: int, end_ms: int, limit: int, instrument: str | None = None, tie: list[str] | None = None, most: int = 10_000) -> DataFrame:
