@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import xxhash
 
 WS = " \t\n\x0b\x0c\r"
@@ -237,3 +241,112 @@ def passages(docs, size=51):
                 gone[d].update(range(i, i + size))
                 links.append({d: first})
     return joined({d: d for d, _ in docs}, *links), gone
+
+
+def looped(d, w):
+    """The words of a document as op11 changes them."""
+    if d is None:
+        return w
+    h, n = zlib.crc32(str(d).encode()), len(w)
+    g = h // 10
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def runs(w, least=24, times=3):
+    """Every stretch, for every period, that no neighbour extends; those of a smaller period are left out."""
+    ids = np.unique(np.array(w, object), return_inverse=True)[1] if w else np.array([], int)
+    found = []
+    for p in range(1, len(w) // times + 1):
+        same = np.concatenate(([0], (ids[:-p] == ids[p:]).astype(int), [0]))
+        step = np.diff(same)
+        for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
+            length = int(b - a + p)
+            if length >= max(least, times * p) and not any(p % q == 0 and s <= a and s + n >= a + length for s, n, q in found):
+                found.append((int(a), length, p))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def periodic(d, text):
+    w = looped(d, words(text))
+    found = runs(w)
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    digest = sha("".join(f"{s},{n},{q}\n" for s, n, q in found))
+    return (d, len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], digest, sha(collapsed(w, found)))
+
+
+def near_words(a, b):
+    """Whether one edit divides two words."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(docs):
+    """docs: (doc_id, text). What op12 returns; only words with a common deletion or equal to one are compared in full."""
+    total = Counter()
+    for d, t in docs:
+        for x in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            x = ascii_lower(x)
+            h = zlib.crc32(f"{d}:{x}".encode())
+            if d is not None and h % 97 == 0:
+                x = x[: h % len(x)] + x[h % len(x) + 1 :]
+            total[x] += 1
+    n = {x: c for x, c in total.items() if len(x) >= 5 and c >= 3}
+    meet = defaultdict(set)
+    for x in n:
+        for y in {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}:
+            meet[y].add(x)
+    near = defaultdict(set)
+    for xs in meet.values():
+        for a in xs:
+            near[a] |= {b for b in xs if a != b and near_words(a, b)}
+    form = {}
+    for x in n:
+        best = min(near[x], key=lambda y: (-n[y], y), default=None)
+        if best is not None and n[best] >= 2 * n[x]:
+            form[x] = best
+
+    def root(x):
+        while x in form:
+            x = form[x]
+        return x
+
+    return [(x, form.get(x), root(x), c, len(near[x]), n.get(form.get(x))) for x, c in n.items()]
+
+
+def shingle_sets(docs):
+    for d, t in docs:
+        w = ascii_lower(t or "").encode().split()
+        yield d, frozenset([(*w,)] if len(w) == 1 else zip(w, w[1:], strict=False))
+
+
+def minhash(docs):
+    """What op13 returns, by comparing all pairs."""
+    rows = list(shingle_sets(docs))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            b = rows[j][1]
+            if a and b and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(a), least.get(find(i)) if a else d, (least.get(find(i)) if a else d) == d) for i, (d, a) in enumerate(rows)]
