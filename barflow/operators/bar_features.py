@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import Series, number_rows, with_lookback, without_lookback
+from .rolling import Series, number_rows, sliding, with_lookback, without_lookback
 from .scan import ordered_scan
 
 BY = ["instrument"]
@@ -18,25 +18,27 @@ def price_windows(bars: DataFrame) -> DataFrame:
     s, c = Series(BY), F.col("close")
     log = F.log(F.greatest(c, F.lit(FLOOR)))
     rows = rows.withColumn("r1", F.coalesce(log - s.lag(log), F.lit(0.0))).withColumn("prev", F.coalesce(s.lag(c), c))
-    out: dict[str, Column] = {f"log_ret_{k}": F.coalesce(log - s.lag(log, k), F.lit(0.0)) for k in (1, 5, 20, 60)}
-    out |= {f"vol_{n}": s.full(n, s.sd(F.col("r1"), n)) for n in (30, 120, 300)}
-    x = F.col("spread_bp_avg")
-    out["spread_z"] = s.full(120, F.when(s.sd(x, 120) > FLOOR, (x - s.mean(x, 120)) / s.sd(x, 120)).otherwise(0.0))
-    out |= {f"sma_dev_{n}": s.full(n, c / s.mean(c, n) - 1) for n in (30, 120)}
-    mean, sd = s.full(20, s.mean(c, 20)), s.full(20, s.sd(c, 20))
-    out |= {"bb_upper": (c - (mean + 2 * sd)) / c, "bb_lower": (c - (mean - 2 * sd)) / c}  # 1 while warming up, as mean and sd are 0 then
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev")))
-    ticks = F.col("n_ticks").cast("double")
+    rows = rows.withColumns({"_tr": tr, "_ticks": F.col("n_ticks").cast("double")} | {f"log_ret_{k}": F.coalesce(log - s.lag(log, k), F.lit(0.0)) for k in (1, 5, 20, 60)})
+    wants = {f"_vol_{n}": ("sd_samp", "r1", n) for n in (30, 120, 300)} | {f"_mean_{n}": ("mean", "close", n) for n in (20, 30, 120)}
+    wants |= {"_xsd": ("sd_samp", "spread_bp_avg", 120), "_xm": ("mean", "spread_bp_avg", 120), "_sd_20": ("sd_samp", "close", 20), "_atr": ("mean", "_tr", 14), "_volume": ("mean", "_ticks", 60)}
+    wants |= {"_high_60": ("max", "close", 60), "_low_60": ("min", "close", 60), "_high_300": ("max", "close", 300)}
+    rows = sliding(rows, BY, wants)
+    out: dict[str, Column] = {f"vol_{n}": s.full(n, F.col(f"_vol_{n}")) for n in (30, 120, 300)}
+    out["spread_z"] = s.full(120, F.when(F.col("_xsd") > FLOOR, (F.col("spread_bp_avg") - F.col("_xm")) / F.col("_xsd")).otherwise(0.0))
+    out |= {f"sma_dev_{n}": s.full(n, c / F.col(f"_mean_{n}") - 1) for n in (30, 120)}
+    mean, sd = s.full(20, F.col("_mean_20")), s.full(20, F.col("_sd_20"))
+    out |= {"bb_upper": (c - (mean + 2 * sd)) / c, "bb_lower": (c - (mean - 2 * sd)) / c}  # 1 while warming up, as mean and sd are 0 then
     out |= {
-        "atr_14": s.full(14, s.mean(tr, 14)),
-        "force": (c - F.col("prev")) * ticks / F.greatest(s.mean(ticks, 60), F.lit(1.0)),
-        "range_60": s.full(60, (s.most(c, 60) - s.least(c, 60)) / c),
-        "drawdown_300": s.full(300, c / s.most(c, 300) - 1),
-        "log_ticks": F.log1p(F.greatest(ticks, F.lit(0.0))),
+        "atr_14": s.full(14, F.col("_atr")),
+        "force": (c - F.col("prev")) * F.col("_ticks") / F.greatest(F.col("_volume"), F.lit(1.0)),
+        "range_60": s.full(60, (F.col("_high_60") - F.col("_low_60")) / c),
+        "drawdown_300": s.full(300, c / F.col("_high_300") - 1),
+        "log_ticks": F.log1p(F.greatest(F.col("_ticks"), F.lit(0.0))),
     }
     minute = F.floor(F.pmod(F.col("ts_ms"), F.lit(3_600_000)) / 60_000)
     out |= {"minute_sin": F.sin(2 * F.pi() * minute / 60), "minute_cos": F.cos(2 * F.pi() * minute / 60)}
-    return without_lookback(rows.withColumns(out))
+    return without_lookback(rows.withColumns(out)).drop("_tr", "_ticks", *wants)
 
 
 def donchian(bars: DataFrame, lookback: int = 20) -> DataFrame:
@@ -67,12 +69,12 @@ def recurrences(bars: DataFrame, adjust_span: int = 12) -> DataFrame:
     cols |= {"var_a": F.when(n <= 2, 0.0).otherwise(0.94), "var_b": F.when(n == 1, 0.0).when(n == 2, F.col("ret") * F.col("ret")).otherwise(0.06 * F.col("ret") * F.col("ret"))}
     keep = 1 - 2 / (adjust_span + 1)
     cols |= {"num_a": F.lit(keep), "num_b": c, "den_a": F.lit(keep), "den_b": F.lit(1.0)}
-    rows = without_lookback(rows.withColumns(cols))
-    names = ["gain", "loss", "ema12", "ema26", "var", "num", "den"]
-    done = ordered_scan(rows, {f"{x}_y": (f"{x}_a", f"{x}_b") for x in names}, BY)
-    macd = F.col("ema12_y") - F.col("ema26_y")
-    done = done.withColumn("macd", macd).withColumn("sig_a", F.when(n <= 2, 0.0).otherwise(0.8)).withColumn("sig_b", F.when(n == 1, 0.0).when(n == 2, F.col("macd")).otherwise(0.2 * F.col("macd")))
-    done = ordered_scan(done.select("instrument", "ts_ms", "rn", *(f"{x}_y" for x in names), "macd", "sig_a", "sig_b"), {"signal": ("sig_a", "sig_b")}, BY)
+    share = F.when(n == 1, 0.0).when(n == 2, 1.0).otherwise(0.2)
+    cols |= {"sig_a": F.when(n <= 2, 0.0).otherwise(0.8), "sig_b": F.lit(0.0), "sig_12": share, "sig_26": -share}
+    rows = without_lookback(rows.withColumns(cols)).select("instrument", "ts_ms", "rn", *cols)
+    steps = {f"{x}_y": (f"{x}_a", f"{x}_b") for x in ("gain", "loss", "ema12", "ema26", "var", "num", "den")} | {"signal": ("sig_a", "sig_b")}
+    done = ordered_scan(rows, steps, BY, chained={"signal": {"ema12_y": "sig_12", "ema26_y": "sig_26"}})
+    done = done.withColumn("macd", F.col("ema12_y") - F.col("ema26_y"))
     rs = F.when(F.col("loss_y") == 0, 1.0).otherwise(F.col("gain_y") / (F.col("gain_y") + F.col("loss_y")))
     return done.select("instrument", "ts_ms", "rn", F.when(n < 15, 0.5).otherwise(rs).alias("rsi_14"), F.col("ema12_y").alias("ema_12"), F.col("ema26_y").alias("ema_26"), "macd", "signal", (F.col("macd") - F.col("signal")).alias("macd_hist"), F.sqrt("var_y").alias("ewma_vol"), (F.col("num_y") / F.col("den_y")).alias("ewm_adjusted"))
 

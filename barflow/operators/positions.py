@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import kept
 from .asof import asof_join
-from .rolling import Series, number_rows, with_lookback, without_lookback
+from .rolling import Series, number_rows, running, with_lookback, without_lookback
 from .scan import ordered_scan
 
 BY = ["instrument"]
@@ -20,8 +21,8 @@ def positions(fills: DataFrame, tie: list[str]) -> DataFrame:
     Fills that add move the average price, fills that reduce realise, and one that crosses zero starts anew at its own price. Given
     the running units the average is a first-order recurrence, so long series are scanned by blocks.
     """
-    rows = number_rows(fills.where("units <> 0"), BY, tie=tie).withColumns({"_one": F.lit(1.0), "_units": F.col("units").cast("double")})
-    rows = ordered_scan(rows, {"net_units": ("_one", "_units")}, BY).drop("_one")
+    rows = kept(number_rows(fills.where("units <> 0"), BY, tie=tie).withColumn("_units", F.col("units").cast("double")))
+    rows = running(rows, BY, "ts_ms", tie, F.col("_units"), "sum", "net_units")
     now, u = F.col("net_units"), F.col("_units")
     before = now - u
     fresh = (before == 0) | (F.signum(before) * F.signum(now) < 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import asof_join
-from .rolling import Series, number_rows, with_lookback, without_lookback
+from .rolling import Series, number_rows, sliding, with_lookback, without_lookback
 from .scan import ordered_scan
 
 BY = ["instrument"]
@@ -47,9 +47,8 @@ def grid_windows(grid: DataFrame, frames: dict[str, int] | None = None) -> DataF
     diff = mid - s.lag(mid)
     rows = rows.withColumns({"log_return": F.log(mid / s.lag(mid)), "gain": F.greatest(diff, F.lit(0.0)), "loss": F.greatest(-diff, F.lit(0.0)), "force": diff * F.col("spread")})
     rows = rows.withColumns({"gain": F.when(diff.isNotNull(), F.col("gain")), "loss": F.when(diff.isNotNull(), F.col("loss"))})
-    rows = rows.withColumns({f"tr_{k}": s.most(F.col("ask"), n) - s.least(F.col("bid"), n) for k, n in frames.items()})
-    taken = {f"{m}_{k}": v for k, n in frames.items() for m, v in (("_mean", s.mean(mid, n)), ("_sd", s.sd(mid, n)), ("_up", s.mean(F.col("gain"), n)), ("_down", s.mean(F.col("loss"), n)), ("volatility", s.sd(F.col("log_return"), n)), ("atr", s.mean(F.col(f"tr_{k}"), n)))}
-    rows = without_lookback(rows.withColumns(taken))  # each window is taken once; what follows is arithmetic
+    wants = {f"{m}_{k}": v for k, n in frames.items() for m, v in (("_mean", ("mean", "mid", n)), ("_sd", ("sd_samp", "mid", n)), ("_up", ("mean", "gain", n)), ("_down", ("mean", "loss", n)), ("volatility", ("sd_samp", "log_return", n)), ("_high", ("max", "ask", n)), ("_low", ("min", "bid", n)), ("tr", ("minus", f"_high_{k}", f"_low_{k}")), ("atr", ("mean", f"tr_{k}", n)))}
+    rows = without_lookback(sliding(rows, BY, wants))  # what follows is arithmetic
     out: dict[str, Column] = {}
     for k in frames:
         mean, sd, up, down = (F.col(f"{m}_{k}") for m in ("_mean", "_sd", "_up", "_down"))
@@ -57,7 +56,7 @@ def grid_windows(grid: DataFrame, frames: dict[str, int] | None = None) -> DataF
             f"rsi_{k}": 100 - 100 / (1 + up / F.when(down != 0, down)), f"sma_{k}": mean, f"bb_upper_{k}": mean + 2 * sd, f"bb_lower_{k}": mean - 2 * sd,
             f"bb_width_{k}": 4 * sd / F.nullif(mean, F.lit(0.0)), f"natr_{k}": F.col(f"atr_{k}") / F.nullif(mid, F.lit(0.0)),
         }
-    return rows.withColumns(out).drop("gain", "loss", *(f"{m}_{k}" for k in frames for m in ("tr", "_mean", "_sd", "_up", "_down")))
+    return rows.withColumns(out).drop("gain", "loss", *(f"{m}_{k}" for k in frames for m in ("tr", "_mean", "_sd", "_up", "_down", "_high", "_low")))
 
 
 def grid_features(grid: DataFrame, frames: dict[str, int] | None = None, macd: tuple[int, int, int] = (240, 520, 180), force: int = 260, books: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -92,22 +91,25 @@ def tick_windows(ticks: DataFrame, tie: list[str], exact: bool = False) -> DataF
     ret = lambda k: F.when((F.col("rn") > k) & (mid > 0) & (s.lag(mid, k) > 0), F.log(mid / s.lag(mid, k))).otherwise(0.0)
     rows = rows.withColumns({"log_ret_1": ret(1), "log_ret_10": ret(10), "log_ret_60": ret(60), "spread": F.col("ask") - F.col("bid")})
     safe = F.when(mid == 0, F.lit(2.220446049250313e-16)).otherwise(mid)
-    var60 = F.when(F.col("rn") > 60, F.var_pop("log_ret_1").over(s.frame(60))).otherwise(0.0)
-    long = F.when(F.col("rn") > 300, F.var_pop("log_ret_1").over(s.frame(300))).otherwise(0.0) if exact else var60 * 5
-    band = F.stddev_pop("mid").over(s.frame(300)) if exact else F.sqrt(var60 * 5)
-    rows = rows.withColumns({"realized_vol_60": F.sqrt(var60), "realized_vol_300": F.sqrt(long), "_band": band, "_m60": s.mean(mid, 60), "_m300": s.mean(mid, 300)})
-    sd = F.stddev_pop("spread").over(s.frame(300))
-    zero = F.when(sd > TINY, (F.col("spread") - s.mean(F.col("spread"), 300)) / sd).otherwise(0.0) if exact else F.lit(0.0)
-    span = (F.col("ts_ms") - F.min("ts_ms").over(s.frame(60))) / 1000
+    wants = {"_v60": ("var_pop", "log_ret_1", 60), "_m60": ("mean", "mid", 60), "_m300": ("mean", "mid", 300), "_t60": ("min", "ts_ms", 60), "_high": ("max", "mid", 60), "_low": ("min", "mid", 60)}
+    if exact:
+        wants |= {"_v300": ("var_pop", "log_ret_1", 300), "_sd300": ("sd_pop", "mid", 300), "_ssd": ("sd_pop", "spread", 300), "_sm": ("mean", "spread", 300)}
+    rows = sliding(rows, BY, wants)
+    var60 = F.when(F.col("rn") > 60, F.col("_v60")).otherwise(0.0)
+    long = F.when(F.col("rn") > 300, F.col("_v300")).otherwise(0.0) if exact else var60 * 5
+    band = F.col("_sd300") if exact else F.sqrt(var60 * 5)
+    rows = rows.withColumns({"realized_vol_60": F.sqrt(var60), "realized_vol_300": F.sqrt(long), "_band": band})
+    zero = F.when(F.col("_ssd") > TINY, (F.col("spread") - F.col("_sm")) / F.col("_ssd")).otherwise(0.0) if exact else F.lit(0.0)
+    span = (F.col("ts_ms") - F.col("_t60")) / 1000
     minute = F.pmod(F.col("ts_ms"), F.lit(3_600_000))
     theta = 2 * F.pi() * F.floor(minute / 1000) / 3600
     lower = F.col("_m300") - 2 * F.col("_band")
     rows = rows.withColumns({
         "spread_bp": F.when(F.abs(safe) > TINY, F.col("spread") / safe * 1e4).otherwise(0.0), "spread_z_300": zero, "sma60_dev": (mid - F.col("_m60")) / safe, "sma300_dev": (mid - F.col("_m300")) / safe,
         "bollinger_b": F.when(F.col("_band") > 0, (mid - lower) / (4 * F.col("_band"))).otherwise(0.5), "tick_velocity": F.when(span > 1e-9, F.least(F.col("rn"), F.lit(60)) / span).otherwise(0.0),
-        "range60": F.when(F.col("rn") >= 60, (s.most(mid, 60) - s.least(mid, 60)) / safe).otherwise(0.0), "minute_sin": F.sin(theta), "minute_cos": F.cos(theta),
+        "range60": F.when(F.col("rn") >= 60, (F.col("_high") - F.col("_low")) / safe).otherwise(0.0), "minute_sin": F.sin(theta), "minute_cos": F.cos(theta),
     })
-    return without_lookback(rows).drop("_band", "_m60", "_m300")
+    return without_lookback(rows).drop("_band", *wants)
 
 
 def tick_features(ticks: DataFrame, tie: list[str], books: DataFrame | None = None, exact: bool = False, warm_up: int = 300) -> DataFrame:
@@ -125,13 +127,14 @@ def tick_features(ticks: DataFrame, tie: list[str], books: DataFrame | None = No
     for name, x, span in (("fast", "mid", 60), ("slow", "mid", 300), ("atr", "spread", 14)):
         cols[f"{name}_a"], cols[f"{name}_b"] = ema_step(span, F.col(x), n == 1)
     names = ["gain", "loss", "fast", "slow", "atr"]
-    rows = ordered_scan(without_lookback(rows.withColumns(cols)), {f"{x}_y": (f"{x}_a", f"{x}_b") for x in names}, BY)
+    keep, _ = ema_step(9, F.lit(0.0), n == 1)  # the signal starts from the first MACD, which is 0
+    cols |= {"sig_a": keep, "sig_b": F.lit(0.0), "sig_fast": F.when(n == 1, 1.0).otherwise(0.2), "sig_slow": -F.when(n == 1, 1.0).otherwise(0.2)}
+    steps = {f"{x}_y": (f"{x}_a", f"{x}_b") for x in names} | {"signal": ("sig_a", "sig_b")}
+    rows = ordered_scan(without_lookback(rows.withColumns(cols)), steps, BY, chained={"signal": {"fast_y": "sig_fast", "slow_y": "sig_slow"}})
     rows = rows.withColumn("macd", F.col("fast_y") - F.col("slow_y"))
-    a, b = ema_step(9, F.col("macd"), n == 1)
-    rows = ordered_scan(rows.withColumns({"sig_a": a, "sig_b": b}), {"signal": ("sig_a", "sig_b")}, BY)
     rsi = F.when(n < 15, 50.0).when(F.col("loss_y") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain_y") / F.col("loss_y")))
     rows = rows.where(n >= warm_up).withColumns({"rsi_14": rsi, "atr_14": F.col("atr_y"), "macd_gap": F.col("signal") - F.col("macd")})
-    rows = rows.drop("gain", "loss", "sig_a", "sig_b", "signal", *(f"{x}_{k}" for x in names for k in "aby"))
+    rows = rows.drop("gain", "loss", "sig_a", "sig_b", "sig_fast", "sig_slow", "signal", *(f"{x}_{k}" for x in names for k in "aby"))
     if books is None:
         return rows.withColumns({c: F.lit(0.0) for c in BOOK})
     return asof_join(rows, books, BY, list(BOOK)).fillna(0.0, list(BOOK))
@@ -165,9 +168,10 @@ def momentum_features(ticks: DataFrame, tie: list[str], long: int = 60, short: i
     rows = with_lookback(number_rows(ticks, BY, tie=tie), long + 1, by=BY)
     log = F.log(mid)
     rows = rows.withColumn("_step", log - s.lag(log))
-    sd = F.stddev_pop("mid").over(s.frame(long))
+    wants = {"_sd": ("sd_pop", "mid", long), "_short": ("mean", "mid", short), "_long": ("mean", "mid", long), "_vol": ("sd_pop", "_step", long - 1)}
+    rows, sd = sliding(rows, BY, wants), F.col("_sd")
     rows = rows.withColumns({
-        "f_momentum": log - s.lag(log, momentum - 1), "f_vol": F.stddev_pop("_step").over(s.frame(long - 1)), "f_trend": F.when(sd > 0, (s.mean(mid, short) - s.mean(mid, long)) / sd).otherwise(0.0),
+        "f_momentum": log - s.lag(log, momentum - 1), "f_vol": F.col("_vol"), "f_trend": F.when(sd > 0, (F.col("_short") - F.col("_long")) / sd).otherwise(0.0),
         "f_spread": F.when(mid > 0, (F.col("ask") - F.col("bid")) / mid).otherwise(0.0), "f_long": log - s.lag(log, long - 1),
     })
-    return without_lookback(rows.drop("_step")).where(F.col("rn") >= long)
+    return without_lookback(rows.drop("_step", *wants)).where(F.col("rn") >= long)

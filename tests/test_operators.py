@@ -45,6 +45,41 @@ def test_lookback_equals_plain_window(spark):
         assert r.m == pytest.approx(sum(part) / len(part))
 
 
+def test_sliding_equals_plain_frames(spark):
+    """Nulls, stretches of one value and of zeros, blocks that are shorter than the series, windows longer than it."""
+    rnd = random.Random(2)
+    xs = [None if i % 17 == 3 else 0.0 if 60 < i < 90 else 100.0 if 120 < i < 150 else 100 + rnd.random() for i in range(300)]
+    rows = [(k, i, xs[(i * 7 if k == "b" else i) % 300]) for k in "ab" for i in range(300)] + [("c", 0, None), ("c", 1, 5.0)]
+    df = rolling.with_lookback(rolling.number_rows(spark.createDataFrame(rows, "instrument string, ts_ms long, x double"), ["instrument"]), 40, block=64)
+    hows = {"mean": F.avg, "var_pop": F.var_pop, "var_samp": F.var_samp, "sd_pop": F.stddev_pop, "sd_samp": F.stddev_samp, "max": F.max, "min": F.min}
+    wants = {f"{how}_{n}": (how, "x", n) for how in hows for n in (1, 2, 7, 40)} | {"range": ("minus", "max_7", "min_7"), "range_mean": ("mean", "range", 5)}
+    got = {(r.instrument, r.rn): r for r in rolling.without_lookback(rolling.sliding(df, ["instrument"], wants)).collect()}
+    s = rolling.Series(["instrument"])
+    plain = df.withColumns({f"{how}_{n}": f("x").over(s.frame(n)) for how, f in hows.items() for n in (1, 2, 7, 40)}).withColumn("range", F.col("max_7") - F.col("min_7"))
+    plain = rolling.without_lookback(plain.withColumn("range_mean", F.avg("range").over(s.frame(5)))).collect()
+    assert len(plain) == len(got) == 602
+    for r in plain:
+        for c in wants:
+            want, have = r[c], got[r.instrument, r.rn][c]
+            assert have == want if want is None or want == 0 else have == pytest.approx(want, rel=1e-8, abs=1e-9), (r.instrument, r.rn, c)
+
+
+def test_chained_scans_equal_loops(spark):
+    """z follows y and x in the same row, w follows z: one pass, blocks of 16 rows."""
+    rnd = random.Random(4)
+    rows = [(k, i, 0.0 if i == 1 else rnd.random(), rnd.random() - 0.5, rnd.random(), None if i % 9 == 4 else 0.3) for k in "ab" for i in range(1, 90)]
+    df = spark.createDataFrame(rows, "k string, rn long, a double, b double, f double, g double")
+    steps = {"x": ("a", "b"), "y": ("f", "a"), "z": ("a", "f"), "w": ("g", "b")}
+    got = {(r.k, r.rn): r for r in scan.ordered_scan(df, steps, ["k"], block=16, chained={"z": {"x": "f", "y": "b"}, "w": {"z": "a"}}).collect()}
+    for k in "ab":
+        x = y = z = w = 0.0
+        for _, i, a, b, f, g in (r for r in rows if r[0] == k):
+            x, y = a * x + b, f * y + a
+            z = a * z + f + f * x + b * y
+            w = (w if g is None else g * w + b) + a * z
+            assert [got[k, i][c] for c in "xyzw"] == pytest.approx([x, y, z, w], abs=1e-9)
+
+
 def test_interval_choice():
     assert labels.best_schedule([0, 50_000, 150_000], [100_000, 200_000, 250_000], [0.005, 0.012, 0.005]) == [1]
 
