@@ -94,16 +94,6 @@ def ppf_sql(p: str) -> str:
     return f"(CASE WHEN least({p}, 1 - {p}) >= {LOW} THEN {_horner_sql(PPF_A, r)} * ({p} - 0.5) / ({_horner_sql(PPF_B, r)} * {r} + 1) WHEN {p} < 0.5 THEN {tail} ELSE -({tail}) END)"
 
 
-def deflated_sharpe(sr: Column, n: Column, trials: Column, skew: Column | float = 0.0, kurt: Column | float = 3.0) -> Column:
-    """Probability that a Sharpe ratio (per period, over n periods) is above what the best of `trials` skilless ones shows; 0 for n < 2, without trials, or where the ratio's variance isn't positive."""
-    k = F.greatest(trials.cast("double"), F.lit(1.0))
-    variance = (1 - skew * sr + (kurt - 1) / 4 * sr * sr) / F.nullif(n - 1, F.lit(0))
-    sd = F.sqrt(F.when(variance > 0, variance))
-    top = (1 - EULER) * norm_ppf(1 - 1 / F.greatest(k, F.lit(2.0))) + EULER * norm_ppf(1 - 1 / (F.greatest(k, F.lit(2.0)) * F.exp(F.lit(1.0))))
-    expected = F.when(k <= 1, 0.0).otherwise(top * sd)
-    return F.when((n < 2) | (trials < 1) | (variance <= 0), 0.0).otherwise(norm_cdf((sr - expected) / sd))
-
-
 def auc(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     """
     Area under the curve per key, 0.5 where only one class is present. Counts per score are ranked, not rows, and scores are cut

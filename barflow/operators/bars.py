@@ -44,7 +44,7 @@ def resample_ohlc(ticks: DataFrame, step_ms: int = 3000, tie: str = "event_id")
 
 
 def latest_n(df: DataFrame, n: int, by: list[str], order: list[str], most: int = 10_000) -> DataFrame:
-    """The newest n rows of each key. Spark limits each partition's groups before the shuffle."""
+    """The newest n rows of each key, `most` of them where n is larger, as a request limit. Spark limits each partition's groups before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order))
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(0, min(n, most))).drop("_rank")
 

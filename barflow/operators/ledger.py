@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
+from .skyline import skyline
 
 R = "realized_r"
 
@@ -143,24 +144,9 @@ def compact_skips(decisions: DataFrame, tie: list[str], most: int = 100) -> Data
     return counts.groupBy(*keys).agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("reason", "n"))).alias("reasons")).drop("_island", "_part")
 
 
-def pareto(trials: DataFrame, better: list[str], worse: list[str], key: str) -> DataFrame:
-    """
-    Trials that no other is at least as good as in everything and better in something (`better`: more is better).
-
-    A first pass leaves, of each of 64 cells by hash of the key, only what nothing in the cell dominates; those few meet all.
-    """
-    def dominated(a: str, b: str) -> Column:
-        ge = [F.col(f"{b}.{c}") >= F.col(f"{a}.{c}") for c in better] + [F.col(f"{b}.{c}") <= F.col(f"{a}.{c}") for c in worse]
-        gt = [F.col(f"{b}.{c}") > F.col(f"{a}.{c}") for c in better] + [F.col(f"{b}.{c}") < F.col(f"{a}.{c}") for c in worse]
-        every, some = ge[0], gt[0]
-        for x, y in zip(ge[1:], gt[1:], strict=True):
-            every, some = every & x, some | y
-        return every & some
-
-    cell = F.pmod(F.xxhash64(key), F.lit(64))
-    rows = trials.withColumn("_cell", cell)
-    few = rows.alias("a").join(rows.alias("b"), (F.col("a._cell") == F.col("b._cell")) & dominated("a", "b"), "left_anti").select("a.*").drop("_cell")
-    return few.alias("a").join(few.alias("b"), dominated("a", "b"), "left_anti")
+def pareto(trials: DataFrame, better: list[str], worse: list[str]) -> DataFrame:
+    """Trials that no other is at least as good as in everything and better in something (`better`: more is better)."""
+    return skyline(trials, better, worse)
 
 
 def chosen(front: DataFrame, key: str, least: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..sinks import tables as K
+from ..sinks import tables as K, versioned as V
 from ..sources import json_lines as S
 from ..storage import shared_path
 from .base import Plans, r6
@@ -63,10 +63,10 @@ def k2_daily_archive(spark: SparkSession, d: str) -> DataFrame:
 def k4_k5_upserts(spark: SparkSession, d: str) -> DataFrame:
     """A table of the models with gains, then new figures of some runs by replacement, then all models, of which only unknown ones enter."""
     path, rows = shared_path(spark, "metrics"), A.model_metrics(spark, d).select("model_id", "run_id", "sortino")
-    K.replace_by_key(rows.where("sortino >= 0"), path, ["model_id"])
-    K.replace_by_key(rows.where("run_id < 10").withColumn("sortino", F.col("sortino") + 1), path, ["model_id"])
-    K.insert_ignore(rows, path, ["model_id"])
-    return spark.read.parquet(path).select("model_id", "run_id", r6("sortino"))
+    V.replace_by_key(rows.where("sortino >= 0"), path, ["model_id"])
+    V.replace_by_key(rows.where("run_id < 10").withColumn("sortino", F.col("sortino") + 1), path, ["model_id"])
+    V.insert_ignore(rows, path, ["model_id"])
+    return V.read_versioned(spark, path).select("model_id", "run_id", r6("sortino"))
 
 
 @P.add("SELECT instrument, ts_ms, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts_ms DESC) AS k FROM bars) WHERE k <= 100", A.BARS)

@@ -11,6 +11,7 @@ from ..functions import names as N
 from ..operators import ledger as L
 from ..operators.asof import asof_join
 from ..operators.bars import latest_n, latest_row
+from ..operators.quantiles import exact_quantiles
 from ..operators.rolling import number_rows
 from .base import Plans, r6
 from .market import NUM
@@ -110,8 +111,9 @@ def a33_feature_moments(spark: SparkSession, d: str) -> DataFrame:
 
 @P.add("SELECT i, round(min(v), 6) AS least, round(max(v), 6) AS most, round(quantile_cont(v, 0.05) FILTER (abs(v) > 1e-9), 6) AS p5, round(quantile_cont(v, 0.5) FILTER (abs(v) > 1e-9), 6) AS p50, round(quantile_cont(v, 0.95) FILTER (abs(v) > 1e-9), 6) AS p95 FROM cells GROUP BY 1", CELLS)
 def a34_matrix_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    v = F.when(F.abs("v") > 1e-9, F.col("v"))
-    return _cells(spark, d).groupBy("i").agg(r6(F.min("v"), "least"), r6(F.max("v"), "most"), *(r6(F.percentile(v, q / 100), f"p{q}") for q in (5, 50, 95)))
+    cells, at = _cells(spark, d), {f"p{q}": q / 100 for q in (5, 50, 95)}
+    ends = cells.groupBy("i").agg(r6(F.min("v"), "least"), r6(F.max("v"), "most"))
+    return ends.join(exact_quantiles(cells.where("abs(v) > 1e-9"), ["i"], "v", at), "i", "left").select("i", "least", "most", *(r6(q) for q in at))
 
 
 @P.add("SELECT CAST(price AS DOUBLE) AS price, round(long - short, 6) + 0.0 AS net FROM crowd WHERE ts_ms = (SELECT max(ts_ms) FROM crowd)", A.CROWD)

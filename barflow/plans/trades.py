@@ -227,12 +227,12 @@ def t15_leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 @P.add("SELECT trial_id FROM trials a WHERE NOT EXISTS (SELECT 1 FROM trials b WHERE b.sortino >= a.sortino AND b.max_dd_bp <= a.max_dd_bp AND b.turnover <= a.turnover AND (b.sortino > a.sortino OR b.max_dd_bp < a.max_dd_bp OR b.turnover < a.turnover))", A.TRIALS)
 def t16_pareto(spark: SparkSession, d: str) -> DataFrame:
-    return L.pareto(A.trials(spark, d), ["sortino"], ["max_dd_bp", "turnover"], "trial_id").select("trial_id")
+    return L.pareto(A.trials(spark, d), ["sortino"], ["max_dd_bp", "turnover"]).select("trial_id")
 
 
 @P.add("SELECT trial_id FROM trials a WHERE NOT EXISTS (SELECT 1 FROM trials b WHERE b.sortino >= a.sortino AND b.max_dd_bp <= a.max_dd_bp AND b.turnover <= a.turnover AND (b.sortino > a.sortino OR b.max_dd_bp < a.max_dd_bp OR b.turnover < a.turnover)) ORDER BY n_trades >= 3 DESC, sortino DESC, trial_id LIMIT 1", A.TRIALS)
 def t16_choice(spark: SparkSession, d: str) -> DataFrame:
-    return L.chosen(L.pareto(A.trials(spark, d), ["sortino"], ["max_dd_bp", "turnover"], "trial_id"), "trial_id")
+    return L.chosen(L.pareto(A.trials(spark, d), ["sortino"], ["max_dd_bp", "turnover"]), "trial_id")
 
 
 AUC = "SELECT fold, round(CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) ELSE 0.5 END, 6) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2 AS rk FROM classified) GROUP BY fold"

@@ -75,19 +75,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def replace_by_key(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Writes replaced() over the table. What is read is put aside before it is overwritten, so a lost executor loses no rows."""
-    spark = new.sparkSession
-    whole = kept(replaced(spark.read.parquet(path), new, keys)) if _exists(spark, path) else new
-    whole.write.mode("overwrite").parquet(path)
-
-
-def insert_ignore(new: DataFrame, path: str, keys: list[str]) -> None:
-    spark = new.sparkSession
-    rows = kept(kept_first(spark.read.parquet(path), new, keys)) if _exists(spark, path) else new.dropDuplicates(keys)
-    rows.write.mode("append").parquet(path)
-
-
 def write_preview(df: DataFrame, path: str, by: list[str], order: list[str], n: int = 2000) -> None:
     """Only the newest n rows of each key, as JSON lines (K6)."""
     latest_n(df, n, by, order).write.mode("overwrite").partitionBy(*by).json(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..models.training import score
-from ..sinks import tables
+from ..sinks import versioned
 
 
 def signal_stream(features: DataFrame, model: Model | None) -> DataFrame:
@@ -47,7 +47,7 @@ def fan_out(rows: DataFrame, routes: dict[str, str], checkpoint: str, kind: str
 
 def upsert(rows: DataFrame, path: str, keys: list[str], checkpoint: str, replace: bool = False) -> DataStreamWriter:
     """Micro-batches into a table by key: rows that are there already stay (replace: give way), so a batch may run twice."""
-    put: Callable = tables.replace_by_key if replace else tables.insert_ignore
+    put: Callable = versioned.replace_by_key if replace else versioned.insert_ignore
 
     def write(batch: DataFrame, _: int) -> None:
         put(batch, path, keys)

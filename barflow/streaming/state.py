@@ -108,7 +108,7 @@ def skip_stream(decisions: DataFrame, most: int = 100, tie: str = "event_id") ->
 
 
 def rolling_stream(bars: DataFrame, length: int = 600, lags: tuple[int, ...] = (1, 5, 20, 60), tie: str = "ts_ms") -> DataFrame:
-    """Log changes, deviation of one-bar changes and drawdown over each key's newest `length` closes, which are its state."""
+    """Log changes, deviation of one-bar changes and drawdown over each key's newest `length` closes, which are its state."""
     import math
 
     def step(now: tuple, row: dict) -> tuple[tuple, list[tuple]]:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barflow.functions import stats
-from barflow.operators import labels, ledger, research, rolling, scan
+from barflow.operators import labels, ledger, quantiles, research, rolling, scan, skyline
 from barflow.operators.bars import bucket_floor
 
 
@@ -80,6 +80,53 @@ def test_chained_scans_equal_loops(spark):
             assert [got[k, i][c] for c in "xyzw"] == pytest.approx([x, y, z, w], abs=1e-9)
 
 
+def test_skyline_equals_all_pairs(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.randrange(40), float(rnd.randrange(40)), rnd.choice([None, float("nan"), 1.0, 2.0]) if i % 50 == 0 else float(rnd.randrange(12))) for i in range(900)]
+    rows += [(2000 + i, float(i), float(i), 0.0) for i in range(30)] + [(3000, 29.0, 29.0, 0.0)]
+    rows = [(i, float(a), b, c) for i, a, b, c in rows]
+
+    def beats(p, q):
+        cost = lambda r: (-r[1], r[2], r[3])
+        return all(x <= y for x, y in zip(cost(p), cost(q), strict=True)) and cost(p) != cost(q)
+
+    sure = [r for r in rows if r[3] is not None and r[3] == r[3]]
+    want = {r[0] for r in rows if r not in sure or not any(beats(p, r) for p in sure)}
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(7)
+    for ranges in (1, 20):
+        got = skyline.skyline(df, ["a"], ["b", "c"], ranges)
+        assert {r.id for r in got.collect()} == want
+    assert skyline.skyline(df.where("false"), ["a"], ["b", "c"]).count() == 0
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4), st.integers(0, 4)), max_size=60))
+def test_skyline_of_small_sets(points):
+    import numpy as np
+
+    costs = np.array(points, float).reshape(-1, 3)
+    want = [not any(all(q[k] <= p[k] for k in range(3)) and q != p for q in points) for p in points]
+    assert skyline.skyline_of(costs).tolist() == want
+
+
+def test_exact_quantiles_equal_sorted_values(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quantiles, "FEW", 20)
+    rnd = random.Random(7)
+    values = {"even": [rnd.random() for _ in range(5000)], "skewed": [10.0 ** rnd.randrange(-300, 300) for _ in range(400)], "ties": [1.0] * 90 + [2.0] * 3, "one": [7.0], "signs": [-1e308, 1e308, 0.0, -0.5]}
+    rows = [(k, x) for k, xs in values.items() for x in xs] + [("even", None), ("none", None)]
+    at = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in quantiles.exact_quantiles(spark.createDataFrame(rows, "k string, x double").repartition(5), ["k"], "x", at).collect()}
+    assert set(got) == set(values)
+    for k, xs in values.items():
+        xs = sorted(xs)
+        for name, q in at.items():
+            p = q * (len(xs) - 1)
+            low, high = xs[int(np.floor(p))], xs[int(np.ceil(p))]
+            assert got[k][name] == pytest.approx(low + (p - np.floor(p)) * (high - low), rel=1e-12)
+
+
 def test_interval_choice():
     assert labels.best_schedule([0, 50_000, 150_000], [100_000, 200_000, 250_000], [0.005, 0.012, 0.005]) == [1]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barflow.functions import names
 from barflow.models import training
 from barflow.operators.rolling import number_rows
-from barflow.sinks import tables
+from barflow.sinks import tables, versioned
 from barflow.sources import frames
 
 T0 = "2024-01-01T00:00:00Z"
@@ -36,11 +36,57 @@ def test_accounts_and_transactions(spark):
 
 def test_upserts(spark, tmp_path):
     path, row = str(tmp_path / "t"), lambda *xs: spark.createDataFrame(list(xs), "k long, v string")
-    tables.insert_ignore(row((1, "a"), (1, "a"), (2, "b")), path, ["k"])
-    tables.insert_ignore(row((2, "x"), (3, "c")), path, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b"), (3, "c")]
-    tables.replace_by_key(row((2, "new"), (4, "d")), path, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "new"), (3, "c"), (4, "d")]
+    rows = lambda: sorted(map(tuple, versioned.read_versioned(spark, path).collect()))
+    with pytest.raises(ValueError):
+        rows()
+    versioned.insert_ignore(row((1, "a"), (1, "a"), (2, "b")), path, ["k"], parts=5)
+    versioned.insert_ignore(row((2, "x"), (3, "c"), (3, "c")), path, ["k"])
+    assert rows() == [(1, "a"), (2, "b"), (3, "c")]
+    versioned.replace_by_key(row((2, "new"), (4, "d")), path, ["k"])
+    assert rows() == [(1, "a"), (2, "new"), (3, "c"), (4, "d")]
+    versioned.insert_ignore(row((1, "no"), (4, "no")), path, ["k"])
+    versioned.replace_by_key(row((9, "z")).where("false"), path, ["k"])
+    assert rows() == [(1, "a"), (2, "new"), (3, "c"), (4, "d")]
+    versioned.replace_by_key(spark.createDataFrame([(3, "c", 7)], "k long, v string, more int"), path, ["k"])
+    assert {(r.k, r.v, r.more) for r in versioned.read_versioned(spark, path).collect()} == {(1, "a", None), (2, "new", None), (3, "c", 7), (4, "d", None)}
+
+
+def test_parts_are_rewritten_only_where_touched_or_added_to_often(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versioned, "ADDED", 2)
+    path = str(tmp_path / "t")
+    add = lambda *ks: versioned.insert_ignore(spark.createDataFrame([(k, k) for k in ks], "k long, v long"), path, ["k"], parts=2)
+    for ks in ((1, 2, 3, 4), (5, 6, 7, 8), (9, 10, 11, 12), (13,)):
+        add(*ks)
+    version, parts, held = versioned._newest(spark, path)
+    assert (version, parts) == (4, 2) and max(sum(q == p for q, _ in held) for p, _ in held) <= 3
+    assert sorted(r.k for r in versioned.read_versioned(spark, path).collect()) == list(range(1, 14))
+    versioned.replace_by_key(spark.createDataFrame([(1, 100)], "k long, v long"), path, ["k"])
+    _, _, now = versioned._newest(spark, path)
+    assert len([h for h in now if h[1] == 5]) == 1 and set(now) - {h for h in now if h[1] == 5} <= set(held)  # the other part is as it was
+    assert {r.k: r.v for r in versioned.read_versioned(spark, path).collect()} == {k: 100 if k == 1 else k for k in range(1, 14)}
+
+
+@pytest.mark.parametrize("at", ["_write_rows", "list"])
+def test_a_job_that_fails_midway_leaves_the_table(spark, tmp_path, monkeypatch, at):
+    """It fails while rows are written, or between the rows and the list; the next attempt writes over what is left."""
+    path = str(tmp_path / "t")
+    old = spark.range(200).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    new = spark.range(100, 300).select(F.col("id").alias("k"), F.lit("new").alias("v"))
+    versioned.replace_by_key(old, path, ["k"], parts=8)
+    before = sorted(map(tuple, versioned.read_versioned(spark, path).collect()))
+    monkeypatch.setattr(versioned, "kept", lambda df: df)
+    if at == "list":
+        monkeypatch.setattr(versioned.LIST, "fields", None)
+        with pytest.raises(TypeError):
+            versioned.replace_by_key(new, path, ["k"])
+    else:
+        broken = new.withColumn("v", F.when((F.col("k") == 250) & F.col("v").isNotNull(), F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("v")))
+        with pytest.raises(Exception, match="lost"):
+            versioned.replace_by_key(broken, path, ["k"])
+    monkeypatch.undo()
+    assert sorted(map(tuple, versioned.read_versioned(spark, path).collect())) == before
+    versioned.replace_by_key(new, path, ["k"])
+    assert sorted(map(tuple, versioned.read_versioned(spark, path).collect())) == sorted([(k, "old") for k in range(100)] + [(k, "new") for k in range(100, 300)])
 
 
 def test_archive_and_retention(spark, tmp_path):

@@ -5,8 +5,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from barflow.operators import ledger, positions, research
-from barflow.streaming import flows, state
+from barflow.operators import ledger, positions, research, series_features
+from barflow.sinks import versioned
+from barflow.streaming import flows, state, ticks
 
 
 @pytest.fixture
@@ -69,6 +70,29 @@ def test_books_skips_and_windows(spark, through):
     assert len(closes) == 30 and all(r.drawdown <= 0 for r in closes)
 
 
+def test_tick_vector_equals_batch(spark, through):
+    """Every column of the batch vector, over several batches, with stretches of one price, repeated times and prices of 0."""
+    import random
+
+    rnd, rows = random.Random(8), []
+    for k in "ab":
+        mid = 100.0
+        for t in range(900):
+            mid = 100.0 if 400 < t < 480 else 0.0 if t in (600, 601) else max(1.0, mid + rnd.choice((-0.5, 0, 0, 0.25, 0.5)))
+            rows.append((k, 1_700_000_000_000 + 700 * (t // 2 if 100 < t < 300 else t), t, mid * 0.999, mid * 1.001, mid))
+    rows.sort(key=lambda r: (r[1], r[2]))
+    schema = "instrument string, ts_ms long, event_id long, bid double, ask double, mid double"
+    stream = {(r.instrument, r.event_id): r for r in through(rows, schema, ticks.tick_stream, parts=5).collect()}
+    batch = series_features.tick_features(spark.createDataFrame(rows, schema), ["event_id"]).drop("rn")
+    assert set(stream[next(iter(stream))].asDict()) == set(batch.columns)
+    want = batch.collect()
+    assert len(want) == len(stream)
+    for r in want:
+        for c in batch.columns:
+            if c != "instrument":
+                assert stream[r.instrument, r.event_id][c] == pytest.approx(r[c], rel=1e-7, abs=1e-7), (r.instrument, r.event_id, c)
+
+
 def test_joins_alerts_and_writes(spark, through, tmp_path):
     rows = [("a", 1_700_000_000_000 + 10_000 * t, float(t), "bar" if t % 2 else "signal") for t in range(40)]
     schema = "instrument string, ts_ms long, x double, kind string"
@@ -86,4 +110,4 @@ def test_joins_alerts_and_writes(spark, through, tmp_path):
     assert spark.read.parquet(routes["bar"]).count() == 20 + 2 and spark.read.parquet(routes["signal"]).count() == 20 + 3
     for run in ("c2", "c3"):  # the second run writes nothing new
         flows.upsert(stream, str(tmp_path / "table"), ["instrument", "ts_ms"], str(tmp_path / run)).trigger(availableNow=True).start().awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "table")).count() == 40
+    assert versioned.read_versioned(spark, str(tmp_path / "table")).count() == 40
