@@ -30,8 +30,11 @@ class Limits:
     """
     A measure fails beyond `reach` times the distance between its group's quartiles above the third (mean word length also below the
     first). Measures are thousandths. Quartiles of repetition, which most documents have none of, are those of the documents that have
-    some. A group's quartiles are the mean of its own and its language's, weighted with its number of documents and `weight`; the
-    language's are so drawn towards the whole corpus's. Word length is judged from `min_words` words on. No limit is a constant.
+    some. Symbols are too rare for that: in most groups only junk has any. So their quartiles are those of the rate that a text's length
+    leaves open (three symbols more than it has, the rule of three), and held against the limit is the rate with one symbol less; a
+    limit depends on how long a group's texts are and how many symbols they have, and one symbol alone fails nobody. A group's
+    quartiles are the mean of its own and its language's, weighted with its number of documents and `weight`; the language's are so
+    drawn towards the whole corpus's. Word length is judged from `min_words` words on.
     """
 
     min_words_base: int = 10
@@ -121,13 +124,14 @@ def rated(docs: DataFrame, limits: Limits, whole: bool = False) -> DataFrame:
     n = F.col("n_words")
     per = lambda a, b: F.expr(f"coalesce({a} * 1000 div {b}, 0)")
     measured = measure(docs, whole).withColumn("base_failed", (n < limits.min_words_base) | (F.col("n_repeat_words") * 100 > n * limits.repeat_percent))
-    return measured.withColumns({"symbols": per("n_symbols", "nullif(n_words, 0)"), "length": per("word_chars", "nullif(n_words, 0)"), "lines": per("n_dup_lines", "nullif(n_lines, 0)"), "repeats": per("n_repeat_words", "nullif(n_words, 0)"), "grp": _key("lang", "source"), "lang_key": _key("lang")})
+    return measured.withColumns({"symbols": per("(n_symbols + 3)", "nullif(n_words, 0)"), "symbols_held": per("greatest(n_symbols - 1, 0)", "nullif(n_words, 0)"), "length": per("word_chars", "nullif(n_words, 0)"), "lines": per("n_dup_lines", "nullif(n_lines, 0)"), "repeats": per("n_repeat_words", "nullif(n_words, 0)"), "grp": _key("lang", "source"), "lang_key": _key("lang")})
 
 
 def judged(measured: DataFrame, limits: Limits) -> DataFrame:
     """`measured`, which is read several times, with kept: whether a row passes the base rules and its group's limits. Quantiles are lower ends of buckets, so a value is held against an upper limit by its bucket's."""
     met = skew_join(measured, durable(thresholds(measured, limits)), ["grp"], "members")
-    ok = [F.coalesce(bucket(F.col(m)) <= F.col(f"high_{m}"), F.lit(True)) for m in limits.measures if m != "length"]
+    held = {"symbols": "symbols_held"}
+    ok = [F.coalesce(bucket(F.col(held.get(m, m))) <= F.col(f"high_{m}"), F.lit(True)) for m in limits.measures if m != "length"]
     ok.append((F.col("n_words") < limits.min_words) | ((F.col("length") >= F.col("low_length")) & (bucket(F.col("length")) <= F.col("high_length"))))
     fine = ok[0]
     for x in ok[1:]:

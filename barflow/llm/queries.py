@@ -116,14 +116,14 @@ p AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS five FROM (SELECT do
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM p), range(5) x(k) WHERE c >= 2 GROUP BY doc_id),
 m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-v AS (SELECT *, v // CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) * CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS bucket FROM (SELECT doc_id, lang, source, n_words, unnest(['symbols', 'length', 'lines', 'repeats']) AS name, unnest([n_symbols * 1000 // n_words, word_chars * 1000 // n_words, n_dup_lines * 1000 // n_lines, n_repeat_words * 1000 // n_words]) AS v FROM f WHERE NOT base_failed)),
+v AS (SELECT *, v // CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) * CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS bucket, x // CAST(pow(2, greatest(length(bin(x)) - 6, 0)) AS BIGINT) * CAST(pow(2, greatest(length(bin(x)) - 6, 0)) AS BIGINT) AS held FROM (SELECT doc_id, lang, source, n_words, unnest(['symbols', 'length', 'lines', 'repeats']) AS name, unnest([(n_symbols + 3) * 1000 // n_words, word_chars * 1000 // n_words, n_dup_lines * 1000 // n_lines, n_repeat_words * 1000 // n_words]) AS v, unnest([greatest(n_symbols - 1, 0) * 1000 // n_words, word_chars * 1000 // n_words, n_dup_lines * 1000 // n_lines, n_repeat_words * 1000 // n_words]) AS x FROM f WHERE NOT base_failed)),
 b AS (SELECT lang, source, name, bucket, count(*) AS n FROM v WHERE v > 0 OR name NOT IN ('lines', 'repeats') GROUP BY ALL),
 o AS (SELECT lang, source, name, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= docs * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, name ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY lang, source, name) AS docs FROM b) GROUP BY ALL),
 g AS (SELECT lang, name, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= docs * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY lang, name ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY lang, name) AS docs FROM b) GROUP BY ALL),
 a AS (SELECT name, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= docs * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY name ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY name) AS docs FROM b) GROUP BY ALL),
 m1 AS (SELECT k.lang, a.name, (coalesce(g.docs * g.q1, 0) + 200 * a.q1) // (coalesce(g.docs, 0) + 200) AS q1, (coalesce(g.docs * g.q3, 0) + 200 * a.q3) // (coalesce(g.docs, 0) + 200) AS q3 FROM (SELECT DISTINCT lang FROM f) k CROSS JOIN a LEFT JOIN g ON g.name = a.name AND g.lang IS NOT DISTINCT FROM k.lang),
 c AS (SELECT k.lang, k.source, m1.name, (coalesce(o.docs * o.q1, 0) + 200 * m1.q1) // (coalesce(o.docs, 0) + 200) AS q1, (coalesce(o.docs * o.q3, 0) + 200 * m1.q3) // (coalesce(o.docs, 0) + 200) AS q3 FROM (SELECT DISTINCT lang, source FROM f) k JOIN m1 ON m1.lang IS NOT DISTINCT FROM k.lang LEFT JOIN o ON o.name = m1.name AND o.lang IS NOT DISTINCT FROM k.lang AND o.source IS NOT DISTINCT FROM k.source),
-bad AS (SELECT DISTINCT v.doc_id FROM v JOIN c ON c.name = v.name AND c.lang IS NOT DISTINCT FROM v.lang AND c.source IS NOT DISTINCT FROM v.source WHERE (v.name <> 'length' AND bucket > q3 + 4 * (q3 - q1)) OR (v.name = 'length' AND n_words >= 50 AND (v < q1 - 4 * (q3 - q1) OR bucket > q3 + 4 * (q3 - q1))))
+bad AS (SELECT DISTINCT v.doc_id FROM v JOIN c ON c.name = v.name AND c.lang IS NOT DISTINCT FROM v.lang AND c.source IS NOT DISTINCT FROM v.source WHERE (v.name <> 'length' AND held > q3 + 4 * (q3 - q1)) OR (v.name = 'length' AND n_words >= 50 AND (v < q1 - 4 * (q3 - q1) OR bucket > q3 + 4 * (q3 - q1))))
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM f LEFT JOIN bad ON bad.doc_id = f.doc_id""",
     "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::INTEGER >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
