@@ -63,7 +63,7 @@ def k2_daily_archive(spark: SparkSession, d: str) -> DataFrame:
 def k4_k5_upserts(spark: SparkSession, d: str) -> DataFrame:
     """A table of the models with gains, then new figures of some runs by replacement, then all models, of which only unknown ones enter."""
     path, rows = shared_path(spark, "metrics"), A.model_metrics(spark, d).select("model_id", "run_id", "sortino")
-    V.replace_by_key(rows.where("sortino >= 0"), path, ["model_id"])
+    V.replace_by_key(rows.where("sortino >= 0"), path, ["model_id"], parts=8)
     V.replace_by_key(rows.where("run_id < 10").withColumn("sortino", F.col("sortino") + 1), path, ["model_id"])
     V.insert_ignore(rows, path, ["model_id"])
     return V.read_versioned(spark, path).select("model_id", "run_id", r6("sortino"))

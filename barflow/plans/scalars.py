@@ -13,6 +13,7 @@ from ..operators.asof import asof_join
 from ..operators.bars import latest_n, latest_row
 from ..operators.quantiles import exact_quantiles
 from ..operators.rolling import number_rows
+from ..models.selection import feature_scores, top_features
 from .base import Plans, r6
 from .market import NUM
 
@@ -109,6 +110,22 @@ def a33_feature_moments(spark: SparkSession, d: str) -> DataFrame:
     return _cells(spark, d).groupBy("i").agg(r6(F.avg("v"), "mean"), r6(F.greatest(F.stddev_pop("v"), F.lit(1e-12)), "sd"), (F.var_pop("v") > 1e-8).alias("varies"))
 
 
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SCORES = (
+    "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v, l_returnflag AS y FROM lineitem" for f in FEATURES) + "), "
+    "ends AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long GROUP BY 1), "
+    "hist AS (SELECT feature, least(31, floor((v - lo) / (hi - lo) * 32)) AS bin, y, count(*) AS n FROM long JOIN ends USING (feature) GROUP BY ALL), "
+    "joint AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS total, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, y) AS ny FROM hist)"
+)
+
+
+@P.add("SELECT feature, round(score, 9) + 0.0 AS score, row_number() OVER (ORDER BY score DESC, feature) AS rank, row_number() OVER (ORDER BY score DESC, feature) <= 2 AS chosen FROM (SELECT feature, sum(n / total * ln(n * total / (nb * ny))) AS score FROM joint GROUP BY feature)", SCORES)
+def a33_feature_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What figures of an order line tell of its return flag."""
+    scores = feature_scores(A.table(spark, d, "lineitem"), FEATURES, "l_returnflag")
+    return top_features(scores, 2).select("feature", r6("score", digits=9), "rank", "chosen")
+
+
 @P.add("SELECT i, round(min(v), 6) AS least, round(max(v), 6) AS most, round(quantile_cont(v, 0.05) FILTER (abs(v) > 1e-9), 6) AS p5, round(quantile_cont(v, 0.5) FILTER (abs(v) > 1e-9), 6) AS p50, round(quantile_cont(v, 0.95) FILTER (abs(v) > 1e-9), 6) AS p95 FROM cells GROUP BY 1", CELLS)
 def a34_matrix_quantiles(spark: SparkSession, d: str) -> DataFrame:
     cells, at = _cells(spark, d), {f"p{q}": q / 100 for q in (5, 50, 95)}

@@ -260,3 +260,20 @@ def test_portfolio_book_counts_nulls(spark):
     df = spark.createDataFrame(rows, "instrument string, trade_id long, ts_out_ms long, realized_r double, exit_reason string")
     got = sorted((r.n_trades, r.newest, tuple(map(tuple, r.reasons))) for r in ledger.portfolio_book(df, ["trade_id"], {"reasons": "exit_reason"}).collect())
     assert got == [(1, "stop", (("stop", 1),)), (2, None, (("stop", 1), ("unknown", 1))), (3, "stop", (("stop", 2), ("unknown", 1)))]
+
+
+def test_feature_scores(spark):
+    """A copy of the label tells all of it, noise next to nothing; constants and empty columns score 0."""
+    import math
+
+    from barflow.models import selection
+
+    rnd = random.Random(9)
+    rows = [(float(i % 2), rnd.random(), 5.0, None, float(i % 2) if i % 3 else rnd.random(), None if i % 100 == 0 else i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "same double, noise double, flat double, none double, partly double, y int")
+    names = ["noise", "flat", "none", "partly", "same"]
+    got = {r.feature: r for r in selection.top_features(selection.feature_scores(df, names, "y"), 2).collect()}
+    p = sum(r[5] == 1 for r in rows) / sum(r[5] is not None for r in rows)
+    assert got["same"].score == pytest.approx(-p * math.log(p) - (1 - p) * math.log(1 - p))
+    assert got["flat"].score == got["none"].score == 0 and got["noise"].score < 0.02 < got["partly"].score < got["same"].score
+    assert selection.select_features(df, names, "y", 2) == ["same", "partly"] and {f for f in got if got[f].chosen} == {"same", "partly"}
