@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
+from ..storage import kept
+from .rolling import running
 from .skyline import skyline
 
 R = "realized_r"
@@ -122,26 +124,35 @@ def trade_summary(ledger: DataFrame, by: list[str], tie: list[str], ts: str = "t
     )
 
 
-def round_trips(decisions: DataFrame, tie: list[str]) -> DataFrame:
-    """Each close with the last open before it that no other close came after."""
-    w = Window.partitionBy("instrument").orderBy("ts_ms", *tie)
-    acts = decisions.where("action <> 'skip'").withColumn("_prev", F.lag(F.struct("action", "ts_ms", "price", "reason", *tie)).over(w))
-    opened = F.col("_prev.action").isin("open_long", "open_short")
-    trips = acts.where((F.col("action") == "close") & opened)
+def round_trips(decisions: DataFrame, tie: list[str], slice_ms: int = 30 * 86_400_000) -> DataFrame:
+    """
+    Each close with the last open before it that no other close came after (T18), and in decision_chain, as JSON, why it was opened and
+    closed. Inside time slices one window finds the decision before; what a slice hands on to the next is its last decision.
+    """
+    keys, row = ["instrument", "_slice"], F.struct("action", "ts_ms", "price", "reason", *tie)
+    acts = decisions.where("action <> 'skip'").withColumn("_slice", F.floor(F.col("ts_ms") / slice_ms))
+    ends = acts.groupBy(*keys).agg(F.max_by(row, F.struct("ts_ms", *tie)).alias("_end"))
+    handed = ends.select(*keys, F.lag("_end").over(Window.partitionBy("instrument").orderBy("_slice")).alias("_handed"))
+    inner = Window.partitionBy(*keys).orderBy("ts_ms", *tie)
+    acts = acts.withColumn("_near", F.lag(row).over(inner)).join(handed, keys).withColumn("_prev", F.coalesce("_near", "_handed"))
+    trips = acts.where((F.col("action") == "close") & F.col("_prev.action").isin("open_long", "open_short"))
     side = F.when(F.col("_prev.action") == "open_long", 1).otherwise(-1)
-    return trips.select("instrument", F.col("_prev.ts_ms").alias("ts_in_ms"), F.col("ts_ms").alias("ts_out_ms"), side.alias("side"), F.col("_prev.price").alias("entry_px"), F.col("price").alias("exit_px"), (side * (F.col("price") / F.col("_prev.price") - 1)).alias(R), *(F.col(t) for t in tie))
+    chain = F.to_json(F.array(F.concat(F.lit("entry:"), F.coalesce("_prev.reason", F.lit(""))), F.concat(F.lit("exit:"), F.coalesce("reason", F.lit("")))))
+    return trips.select("instrument", F.col("_prev.ts_ms").alias("ts_in_ms"), F.col("ts_ms").alias("ts_out_ms"), side.alias("side"), F.col("_prev.price").alias("entry_px"), F.col("price").alias("exit_px"), (side * (F.col("price") / F.col("_prev.price") - 1)).alias(R), chain.alias("decision_chain"), *(F.col(t) for t in tie))
 
 
-def compact_skips(decisions: DataFrame, tie: list[str], most: int = 100) -> DataFrame:
-    """Runs of skips, cut every `most`: instrument, first_ms, last_ms, n, and reasons as an array of (reason, n)."""
-    w = Window.partitionBy("instrument").orderBy("ts_ms", *tie)
-    acts = F.sum(F.when(F.col("action") != "skip", 1).otherwise(0)).over(w)
-    rows = decisions.withColumn("_island", acts).where("action = 'skip'")
-    place = F.row_number().over(Window.partitionBy("instrument", "_island").orderBy("ts_ms", *tie)) - 1
-    rows = rows.withColumn("_part", F.floor(place / most))
-    keys = ["instrument", "_island", "_part"]
+def compact_skips(decisions: DataFrame, tie: list[str], most: int = 100, slice_ms: int = 86_400_000) -> DataFrame:
+    """
+    Runs of skips, cut every `most`: instrument, first_ms, last_ms, n, and reasons as an array of (reason, n) (A15). A skip's place in its
+    run is the number of skips so far less that at the last other action, both carried across time slices.
+    """
+    by, skip = ["instrument"], F.col("action") == "skip"
+    rows = kept(running(decisions, by, "ts_ms", tie, skip.cast("long"), "sum", "_skips", slice_ms=slice_ms))
+    rows = running(rows, by, "ts_ms", tie, F.when(~skip, F.col("_skips")), "max", "_run", slice_ms=slice_ms).where(skip)
+    rows = rows.withColumn("_run", F.coalesce("_run", F.lit(0))).withColumn("_part", F.floor((F.col("_skips") - F.col("_run") - 1) / most))
+    keys = ["instrument", "_run", "_part"]
     counts = rows.groupBy(*keys, "reason").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
-    return counts.groupBy(*keys).agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("reason", "n"))).alias("reasons")).drop("_island", "_part")
+    return counts.groupBy(*keys).agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("reason", "n"))).alias("reasons")).drop("_run", "_part")
 
 
 def pareto(trials: DataFrame, better: list[str], worse: list[str]) -> DataFrame:
@@ -156,16 +167,27 @@ def chosen(front: DataFrame, key: str, least: int = 3) -> DataFrame:
     return front.join(best, order == F.col("best")).groupBy().agg(F.min(key).alias(key)).where(F.col(key).isNotNull())
 
 
-def floor_rows(models: DataFrame, key: str, floors: dict[str, tuple[str, float]], given: str | None = None) -> DataFrame:
+#: Measures of a model, whether they must reach or stay under their floor, its default, and its name in a model's own JSON.
+GATE_FLOORS = {
+    "oos_auc": ("ge", 0.55, "min_oos_auc"),
+    "oos_log_loss": ("le", 0.7, "max_oos_log_loss"),
+    "oos_balanced_acc": ("ge", 0.52, "min_oos_balanced_acc"),
+    "fine_tune_sortino": ("ge", 0.3, "min_fine_tune_sortino"),
+    "fine_tune_max_dd_bp": ("le", 1500.0, "max_fine_tune_dd_bp"),
+}
+
+
+def floor_rows(models: DataFrame, key: str, floors: dict[str, tuple] = GATE_FLOORS, given: str | None = None) -> DataFrame:
     """
     A row for each model and floor: name, actual, floor, direction (ge or le), passed, fraction_over (P17). floors: measure -> (direction,
-    value). given: a column of JSON that names values of its own; what it leaves out, or JSON that can't be read, means the default.
+    value) or (direction, value, name in JSON). given: a column of JSON with values of its own beside others that aren't numbers; what it
+    leaves out, or JSON that can't be read, means the default.
     """
-    own = F.from_json(given, "map<string,double>") if given else F.lit(None).cast("map<string,double>")
+    own = F.from_json(given, "map<string,string>") if given else F.lit(None).cast("map<string,string>")
 
     def view(name: str) -> Column:
-        direction, value = floors[name]
-        actual, floor = F.col(name).cast("double"), F.coalesce(F.try_element_at("_own", F.lit(name)), F.lit(float(value)))
+        direction, value, asked = (*floors[name], name)[:3]
+        actual, floor = F.col(name).cast("double"), F.coalesce(F.try_element_at("_own", F.lit(asked)).try_cast("double"), F.lit(float(value)))
         over = actual - floor if direction == "ge" else floor - actual
         return F.struct(F.lit(name).alias("name"), actual.alias("actual"), floor.alias("floor"), F.lit(direction).alias("direction"), (over >= 0).alias("passed"), F.when(floor > 0, over / floor).otherwise(0.0).alias("fraction_over"))
 
@@ -182,5 +204,3 @@ def streaks(ledger: DataFrame, tie: list[str], day_ms: int = 86_400_000) -> Data
     rows = rows.withColumn("_wins", F.sum((F.col(R) >= 0).cast("int")).over(upto))
     inner = Window.partitionBy("instrument", "day", "_wins").orderBy("ts_out_ms", *tie).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("loss_streak", F.sum((F.col(R) < 0).cast("int")).over(inner).cast("long")).drop("_wins")
-
-

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..storage import kept
 from .asof import asof_join
@@ -55,25 +57,67 @@ def unit_delta(action: Column, units: Column | float, position: Column) -> Colum
     return F.when(action == "open_long", u).when(action == "open_short", -u).when(action == "close", -position).otherwise(0)
 
 
-def spaced(events: DataFrame, gap_ms: int, tie: list[str], by: list[str] | None = None) -> DataFrame:
+#: Rows of a task's block of events, and blocks that make one of the next level.
+EVENTS, FAN = 1 << 16, 16
+
+
+def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's rows, each with where its chain of pointers leaves the block, found by doubling; -1 is the end."""
+    pdf = pdf.sort_values("_rn")
+    rn, to = pdf["_rn"].to_numpy(), pdf["_to"].to_numpy()
+    hop = np.where((to >= 0) & (to <= rn[-1]), np.searchsorted(rn, to), np.arange(len(rn)))
+    while not np.array_equal(further := hop[hop], hop):
+        hop = further
+    return pdf.assign(_to=to[hop])
+
+
+def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a block's rows those that the chain meets which enters at _entry."""
+    pdf = pdf.sort_values("_rn")
+    rn, to = pdf["_rn"].to_numpy(), pdf["_to"].to_numpy()
+    hop, i, met = np.where((to >= 0) & (to <= rn[-1]), np.searchsorted(rn, to), -1).tolist(), int(np.searchsorted(rn, pdf["_entry"].iloc[0])), []
+    while i >= 0:
+        met.append(i)
+        i = hop[i]
+    return pdf.iloc[met].drop(columns=["_to", "_block", "_entry"])
+
+
+def spaced(events: DataFrame, gap_ms: int, tie: list[str], by: list[str] | None = None, ts: str = "ts_ms", slice_ms: int = 86_400_000, block: int = EVENTS) -> DataFrame:
     """
     Of each key's events, the first, and then always the next that is at least gap_ms after the last one taken (W21, T23).
-    A choice depends on earlier ones only where events follow each other within the gap, so runs of such events are independent.
+
+    Each event points at the first that is late enough after it. Pointers are followed inside blocks of numbered events, to where they
+    leave the block; only events at which some pointer enters a block go on to the next level, whose blocks span FAN times as many. From
+    the top the one chain that starts at the first event is then marked downwards. No task holds more than a block; events without a key
+    or a time take no part.
     """
     by = by or BY
-    w = Window.partitionBy(*by).orderBy("ts_ms", *tie)
-    new = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) >= gap_ms).cast("int"), F.lit(0))
-    runs = events.withColumn("_run", F.sum(new).over(w))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, keep = pdf.sort_values(["_run", "ts_ms", *tie]), None, []
-        for t in pdf["ts_ms"].tolist():
-            keep.append(last is None or t - last >= gap_ms)
-            last = t if keep[-1] else last
-        return pdf[keep]
-
-    runs = runs.withColumn("_run", F.col("_run").cast("long")).withColumn("_part", F.floor(F.col("_run") / 256))
-    return runs.groupBy(*by, "_part").applyInPandas(take, runs.schema).drop("_run", "_part")
+    if gap_ms <= 0:
+        return events
+    rows = kept(number_rows(events.where(F.col(ts).isNotNull()), by, ts, tie, slice_ms, "_rn"))
+    later = rows.select(*by, "_rn", (F.col(ts) + gap_ms).alias(ts))
+    links = kept(asof_join(later, rows.select(*by, ts, F.col("_rn").alias("_to")), by, ["_to"], "forward", ts, ["_to"], slice_ms=slice_ms).select(*by, "_rn", F.coalesce("_to", F.lit(-1).cast("long")).alias("_to")))
+    most, levels = links.agg(F.max("_rn")).first()[0] or 0, []
+    at = lambda size: F.floor((F.col("_rn") - 1) / size).alias("_block")
+    while block < most:
+        levels.append((links, block))
+        cut = links.select("*", at(block))
+        exits = kept(cut.groupBy(*by, "_block").applyInPandas(_exits, cut.schema).drop("_block"))
+        entries = exits.where("_to >= 0").select(*by, F.col("_to").alias("_rn")).unionByName(exits.where("_rn = 1").select(*by, "_rn")).distinct()
+        links, block = kept(exits.join(entries, [*by, "_rn"], "left_semi").select(*links.columns)), block * FAN
+    taken = links.where("_rn = 1").select(*by, "_rn")
+    for links, size in [*reversed([*levels, (links, block)])]:
+        entered = taken.select(*by, at(size), "_rn").groupBy(*by, "_block").agg(F.min("_rn").alias("_entry"))
+        cut = links.select("*", at(size)).join(entered, [*by, "_block"]).select(*by, "_rn", "_to", "_block", "_entry")
+        taken = kept(cut.groupBy(*by, "_block").applyInPandas(_chain, links.select(*by, "_rn").schema))
+    return rows.join(taken, [*by, "_rn"], "left_semi").select(*events.columns)
+
+
+def merged_events(filters: list[DataFrame], gap: int, by: list[str] | None = None, at: str = "rn") -> DataFrame:
+    """The events (by, at) of several filters, each once, and of those the ones at least `gap` apart; a gap of 1 or less keeps all."""
+    by = by or BY
+    every = reduce(DataFrame.unionByName, [f.select(*by, F.col(at).cast("long").alias(at)) for f in filters]).distinct()
+    return every if gap <= 1 else spaced(every, gap, [], by, at, max(1, 1000 * gap))
 
 
 def order_intents(signals: DataFrame, tie: list[str], least: float = 0.55, cooldown_ms: int = 30_000, units: int = 1, most: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import books, positions as X
+from ..operators.rolling import number_rows
 from .base import Plans, r6
 
 P = Plans()
@@ -46,6 +47,17 @@ def t23_w21_order_intents(spark: SparkSession, d: str) -> DataFrame:
     return X.order_intents(signals, ["event_id"], cooldown_ms=7_200_000).select("event_id", "units_delta")
 
 
+MERGED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts_ms) AS rn FROM bars), found AS (SELECT instrument, rn FROM numbered WHERE close > open UNION SELECT instrument, rn FROM numbered WHERE n_ticks % 2 = 0),
+spread_ AS (SELECT instrument, min(rn) AS rn FROM found GROUP BY 1 UNION ALL SELECT * FROM (SELECT s.instrument, f.rn FROM spread_ s JOIN found f ON f.instrument = s.instrument AND f.rn >= s.rn + 5 QUALIFY row_number() OVER (PARTITION BY f.instrument ORDER BY f.rn) = 1))"""
+
+
+@P.add("SELECT instrument, rn FROM spread_", A.BARS, MERGED)
+def w21_merged_events(spark: SparkSession, d: str) -> DataFrame:
+    """Rising bars and bars with an even number of ticks, each bar once, five bars apart at least."""
+    rows = number_rows(A.bars(spark, d), ["instrument"])
+    return X.merged_events([rows.where("close > open"), rows.where("n_ticks % 2 = 0")], 5)
+
+
 @P.add("SELECT instrument, n AS bars, round(least(n / 400, 1.0), 6) AS fraction, n >= 400 AS due FROM (SELECT b.instrument, count(*) FILTER (f.fired_ms IS NULL OR b.ts_ms > f.fired_ms) AS n FROM bars b LEFT JOIN (SELECT instrument, max(ts_ms) AS fired_ms FROM ticks WHERE user_id % 97 = 0 GROUP BY 1) f ON b.instrument = f.instrument GROUP BY 1)", A.BARS)
 def t25_bars_since_retrain(spark: SparkSession, d: str) -> DataFrame:
     fired = A.ticks(spark, d).where("user_id % 97 = 0").select("instrument", F.col("ts_ms").alias("fired_ms"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,9 +110,9 @@ def a15_compact_skips(spark: SparkSession, d: str) -> DataFrame:
     return L.compact_skips(A.decisions(spark, d), ["event_id"]).select("instrument", "first_ms", "last_ms", "n")
 
 
-@P.add("SELECT instrument, ts_in_ms, ts_out_ms, side, round(side * (price / px - 1), 6) + 0.0 AS realized_r FROM (SELECT *, CASE lag(action) OVER w WHEN 'open_long' THEN 1 WHEN 'open_short' THEN -1 END AS side, lag(ts_ms) OVER w AS ts_in_ms, lag(price) OVER w AS px, ts_ms AS ts_out_ms FROM decisions WHERE action <> 'skip' WINDOW w AS (PARTITION BY instrument ORDER BY ts_ms, event_id)) WHERE action = 'close' AND side IS NOT NULL", A.DECISIONS)
+@P.add("""SELECT instrument, ts_in_ms, ts_out_ms, side, round(side * (price / px - 1), 6) + 0.0 AS realized_r, '["entry:' || why || '","exit:' || reason || '"]' AS decision_chain FROM (SELECT *, lag(reason) OVER w AS why, CASE lag(action) OVER w WHEN 'open_long' THEN 1 WHEN 'open_short' THEN -1 END AS side, lag(ts_ms) OVER w AS ts_in_ms, lag(price) OVER w AS px, ts_ms AS ts_out_ms FROM decisions WHERE action <> 'skip' WINDOW w AS (PARTITION BY instrument ORDER BY ts_ms, event_id)) WHERE action = 'close' AND side IS NOT NULL""", A.DECISIONS)
 def t18_round_trips(spark: SparkSession, d: str) -> DataFrame:
-    return L.round_trips(A.decisions(spark, d), ["event_id"]).select("instrument", "ts_in_ms", "ts_out_ms", "side", r6("realized_r"))
+    return L.round_trips(A.decisions(spark, d), ["event_id"]).select("instrument", "ts_in_ms", "ts_out_ms", "side", r6("realized_r"), "decision_chain")
 
 
 CURVE = "c AS (SELECT *, sum(realized_r) OVER (PARTITION BY instrument ORDER BY ts_out_ms, trade_id ROWS UNBOUNDED PRECEDING) AS cum_r FROM ledger), k AS (SELECT *, greatest(max(cum_r) OVER (PARTITION BY instrument ORDER BY ts_out_ms, trade_id ROWS UNBOUNDED PRECEDING), 0) AS peak FROM c)"
@@ -197,15 +199,20 @@ def p16_p18_gate(spark: SparkSession, d: str) -> DataFrame:
     return A.model_metrics(spark, d).select("model_id", F.array_join(reasons, ";").alias("blocked"), (F.size(reasons) == 0).alias("passed"))
 
 
+OWN_FLOORS = {"oos_auc": 0.4, "oos_log_loss": 0.5, "fine_tune_max_dd_bp": 300.0}
+GATED = "gated AS (SELECT model_id, oos_auc, oos_log_loss, round(0.4 + 0.3 * oos_auc, 6) AS oos_balanced_acc, sortino AS fine_tune_sortino, max_dd_bp AS fine_tune_max_dd_bp FROM model_metrics)"
+
+
 @P.add(
-    " UNION ALL ".join(f"SELECT model_id, '{n}' AS name, round(CAST({n} AS DOUBLE), 6) + 0.0 AS actual, f AS floor, '{'ge' if op == '>=' else 'le'}' AS direction, {n} {op} f AS passed, round({'' if op == '>=' else '-'}({n} - f) / f, 9) + 0.0 AS fraction_over FROM (SELECT *, CASE WHEN '{n}' = 'oos_auc' AND model_id % 3 = 0 THEN 0.4::DOUBLE ELSE {float(v)}::DOUBLE END AS f FROM model_metrics)" for n, (op, v) in FLOORS.items()),
-    A.METRICS,
-)
+    " UNION ALL ".join(f"SELECT model_id, '{n}' AS name, round(CAST({n} AS DOUBLE), 6) + 0.0 AS actual, f AS floor, '{way}' AS direction, {n} {'>=' if way == 'ge' else '<='} f AS passed, round({'' if way == 'ge' else '-'}({n} - f) / f, 9) + 0.0 AS fraction_over FROM (SELECT *, CASE WHEN model_id % 3 = 0 THEN {OWN_FLOORS.get(n, v)}::DOUBLE ELSE {v}::DOUBLE END AS f FROM gated)" for n, (way, v, _) in L.GATE_FLOORS.items()),
+    A.METRICS, GATED,
+)
 def p17_floor_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A third of the models has a floor of its own, and a third JSON that can't be read."""
-    turn = F.col("model_id") % 3
-    models = A.model_metrics(spark, d).withColumn("given", F.when(turn == 0, '{"oos_auc": 0.4}').when(turn == 1, "{no json"))
-    rows = L.floor_rows(models, "model_id", {n: ("ge" if op == ">=" else "le", v) for n, (op, v) in FLOORS.items()}, "given")
+    """A third of the models has floors of its own, beside a flag, and a third JSON that can't be read."""
+    turn, named = F.col("model_id") % 3, {L.GATE_FLOORS[n][2]: v for n, v in OWN_FLOORS.items()}
+    models = A.model_metrics(spark, d).withColumns({"oos_balanced_acc": F.round(0.4 + 0.3 * F.col("oos_auc"), 6), "fine_tune_sortino": F.col("sortino"), "fine_tune_max_dd_bp": F.col("max_dd_bp")})
+    models = models.withColumn("given", F.when(turn == 0, json.dumps(named | {"require_lockbox_pass": True})).when(turn == 1, "{no json"))
+    rows = L.floor_rows(models, "model_id", given="given")
     return rows.select("model_id", "name", r6("actual"), "floor", "direction", "passed", r6("fraction_over", digits=9))
 
 

@@ -62,7 +62,7 @@ def parse_transactions(frames: DataFrame, value: str = "value") -> DataFrame:
 
 def read_trade_logs(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
     """root/version/instrument/file as one table; version and instrument come from the path, an instrument in the record wins."""
-    path = F.col("_metadata.file_path")
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # blanks are escaped in it
     rows = spark.read.schema(schema).json(f"{root}/*/*/{file}").select("*", F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("version"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("_from_path"))
     own = [F.col("instrument")] if "instrument" in rows.columns else []
     return rows.withColumn("instrument", F.coalesce(*own, F.col("_from_path"))).drop("_from_path")

@@ -1,5 +1,6 @@
 """Hand cases and invariants."""
 
+import json
 import random
 from itertools import combinations
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barflow.functions import stats
-from barflow.operators import labels, ledger, quantiles, research, rolling, scan, skyline
+from barflow.operators import labels, ledger, positions, quantiles, research, rolling, scan, skyline
 from barflow.operators.bars import bucket_floor
 
 
@@ -250,6 +251,62 @@ def test_floor_rows_with_own_and_broken_json(spark):
     assert got == {1: (0.5, True, 0.2), 2: (0.8, False, -0.25), 3: (0.8, False, -0.25), 4: (0.0, None, 0.0)}
 
 
+def test_floor_rows_by_names_of_their_own(spark):
+    """Values under the JSON's own names count, beside a flag and a text; a measure's own name isn't one of them."""
+    df = spark.createDataFrame([(1, 0.6, 0.6, 0.6, 0.6, 600.0, '{"min_oos_auc": 0.5, "max_oos_log_loss": "none", "oos_log_loss": 9, "max_fine_tune_dd_bp": 500, "require_lockbox_pass": true}')], "model_id long, oos_auc double, oos_log_loss double, oos_balanced_acc double, fine_tune_sortino double, fine_tune_max_dd_bp double, given string")
+    got = {r.name: (r.floor, r.passed) for r in ledger.floor_rows(df, "model_id", given="given").collect()}
+    assert got == {"oos_auc": (0.5, True), "oos_log_loss": (0.7, True), "oos_balanced_acc": (0.52, True), "fine_tune_sortino": (0.3, True), "fine_tune_max_dd_bp": (500.0, False)}
+
+
+@pytest.mark.parametrize(("gap", "step", "block"), [(50, 1, 8), (7, 3, 4), (1000, 1, 16), (5, 20, 4), (0, 1, 4)])
+def test_spaced_equals_loop(spark, gap, step, block):
+    """Over several levels of blocks, with ties, dense runs, gaps longer than a block, and rows without a key or a time."""
+    rnd = random.Random(gap)
+    rows, at = [], {"a": 0, "b": 5}
+    for i in range(1500):
+        k = "a" if i % 3 else "b"
+        at[k] += rnd.choice((0, 0, 1, step, 2 * step))
+        rows.append((k, at[k], i))
+    df = spark.createDataFrame([*rows, (None, 3, -1), ("a", None, -2)], "instrument string, ts_ms long, event_id long")
+    got = sorted((r.instrument, r.ts_ms, r.event_id) for r in positions.spaced(df.where("instrument IS NOT NULL AND ts_ms IS NOT NULL") if gap == 0 else df, gap, ["event_id"], slice_ms=100, block=block).collect())
+    want = []
+    for k in "ab":
+        last = None
+        for r in sorted(x for x in rows if x[0] == k):
+            if last is None or r[1] - last >= gap:
+                want.append(r)
+                last = r[1]
+    assert got == sorted(want)
+
+
+def test_merged_events(spark):
+    one, two = (spark.createDataFrame([("a", x) for x in xs], "instrument string, rn long") for xs in ((1, 4, 9), (4, 5, 12)))
+    for gap, want in ((4, [1, 5, 9]), (1, [1, 4, 5, 9, 12]), (100, [1])):
+        assert sorted(r.rn for r in positions.merged_events([one, two], gap).collect()) == want
+    assert positions.merged_events([one.where("false")], 3).count() == 0
+
+
+def test_round_trips_and_skips_over_slices(spark):
+    """The same trips and runs whether a slice holds all or hardly anything."""
+    rnd = random.Random(4)
+    rows = [("ab"[rnd.randrange(2)], i // 2, i, rnd.choice(["skip"] * 6 + ["open_long", "open_short", "close"]), rnd.choice(["x", 'say "y"', None]), 100.0 + i) for i in range(400)]
+    df = spark.createDataFrame(rows, "instrument string, ts_ms long, event_id long, action string, reason string, price double")
+    trips, runs = [], []
+    for k in "ab":
+        before, run = None, []
+        for r in [r for r in rows if r[0] == k] + [(k, 0, 0, "end", None, 0.0)]:
+            if r[3] == "skip":
+                run.append(r)
+                continue
+            runs += [(k, run[i][1], run[min(i + 3, len(run)) - 1][1], len(run[i : i + 3])) for i in range(0, len(run), 3)]
+            if r[3] == "close" and before and before[3] != "close":
+                trips.append((k, before[1], r[1], r[2], json.dumps(["entry:" + (before[4] or ""), "exit:" + (r[4] or "")], separators=(",", ":"))))
+            before, run = r, []
+    for slice_ms in (3, 10_000):
+        assert sorted((r.instrument, r.ts_in_ms, r.ts_out_ms, r.event_id, r.decision_chain) for r in ledger.round_trips(df, ["event_id"], slice_ms).collect()) == sorted(trips)
+        assert sorted((r.instrument, r.first_ms, r.last_ms, r.n) for r in ledger.compact_skips(df, ["event_id"], 3, slice_ms).collect()) == sorted(runs)
+
+
 def test_sigmoid_and_softmax(spark):
     row = spark.range(1).select(stats.sigmoid(F.lit(0.0)).alias("s"), stats.softmax(F.lit(1000.0), F.lit(1000.0)).alias("two"), stats.softmax(F.lit(3.0)).alias("one")).first()
     assert (row.s, row.two, row.one) == (0.5, [0.5, 0.5], [1.0])
