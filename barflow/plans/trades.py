@@ -200,7 +200,7 @@ def p16_p18_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 OWN_FLOORS = {"oos_auc": 0.4, "oos_log_loss": 0.5, "fine_tune_max_dd_bp": 300.0}
-GATED = "gated AS (SELECT model_id, oos_auc, oos_log_loss, round(0.4 + 0.3 * oos_auc, 6) AS oos_balanced_acc, sortino AS fine_tune_sortino, max_dd_bp AS fine_tune_max_dd_bp FROM model_metrics)"
+GATED = "gated AS (SELECT model_id, oos_auc, oos_log_loss, round(least(1.0, 0.2 + oos_auc), 6) AS oos_balanced_acc, sortino AS fine_tune_sortino, max_dd_bp AS fine_tune_max_dd_bp FROM model_metrics)"
 
 
 @P.add(
@@ -210,7 +210,7 @@ GATED = "gated AS (SELECT model_id, oos_auc, oos_log_loss, round(0.4 + 0.3 * oos
 def p17_floor_rows(spark: SparkSession, d: str) -> DataFrame:
     """A third of the models has floors of its own, beside a flag, and a third JSON that can't be read."""
     turn, named = F.col("model_id") % 3, {L.GATE_FLOORS[n][2]: v for n, v in OWN_FLOORS.items()}
-    models = A.model_metrics(spark, d).withColumns({"oos_balanced_acc": F.round(0.4 + 0.3 * F.col("oos_auc"), 6), "fine_tune_sortino": F.col("sortino"), "fine_tune_max_dd_bp": F.col("max_dd_bp")})
+    models = A.model_metrics(spark, d).withColumns({"oos_balanced_acc": F.round(F.least(F.lit(1.0), 0.2 + F.col("oos_auc")), 6), "fine_tune_sortino": F.col("sortino"), "fine_tune_max_dd_bp": F.col("max_dd_bp")})
     models = models.withColumn("given", F.when(turn == 0, json.dumps(named | {"require_lockbox_pass": True})).when(turn == 1, "{no json"))
     rows = L.floor_rows(models, "model_id", given="given")
     return rows.select("model_id", "name", r6("actual"), "floor", "direction", "passed", r6("fraction_over", digits=9))
