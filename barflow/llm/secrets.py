@@ -1,7 +1,7 @@
 """
 Secret scans: patterns find candidates, a random forest removes the false ones.
 
-Candidates are values assigned to names like password or token, those of bearer and authorization headers and of URLs with a password,
+Candidates are values of 5 characters or more assigned to names like password or token (in quotes with all that they hold, blanks and commas too), those of bearer and authorization headers and of URLs with a password,
 signed web tokens, bodies of private keys in PEM form, and runs of 20 token characters or more. Their features are length,
 transitions between character classes, entropy, how much of them words of the corpus's own dictionary cover, the path (source) and the
 words beside them. The forest is trained here, from labelled findings: a table given by the caller, or planted ones in the usual forms
@@ -9,7 +9,8 @@ words beside them. The forest is trained here, from labelled findings: a table g
 `most_labels` findings of the corpus at most (a documented bound, chosen by hash) and `lines` planted ones; the dictionary is counted over all documents, and every candidate of every text is scored.
 
 Nulls: a null text has no candidates; a null doc_id is carried along; a null source is an empty path. Repeated rows give repeated
-findings. Without labels of both kinds candidates are judged by review() alone. Other columns are ignored.
+findings. Without labels of both kinds candidates are judged by review() alone. Other columns are ignored. labels of rows without doc_id
+meet candidates of rows without doc_id at the same place.
 """
 
 from __future__ import annotations
@@ -30,13 +31,17 @@ from .common import durable
 from .planted import planted
 
 #: Names to which secrets are assigned, and words that speak against one.
-NAMES = "password passwd pwd secret token apikey api_key access_key auth credential private_key bearer"
+NAMES = "password passwd pwd passphrase secret token apikey api_key access_key auth credential private_key bearer"
 AGAINST = "example sample test dummy placeholder fake checksum sha1 sha256 md5 commit uuid hash digest"
+SCHEMES = "bearer basic digest token".split()
 TELLING = re.compile("|".join(NAMES.split()) + r"|(?:^|[_.-])(?:key|pass)$")
 #: A name and an operator (the value is read apart, so that a value may be a name too), and forms without one: headers and URLs.
 ASSIGNED = re.compile(r"(?<![\w.-])(?P<name>[\w.-]++)[\"']?\s*+(?::=|=>|:|=|>)\s*+[\"']?")
-VALUE = re.compile(r"[^\s\"',;<>]{8,}")
-BARE = [re.compile(x) for x in (r"(?i)\bbearer[ \t]+(?P<value>[\w.~+/=-]{8,})", r"(?i)\bauthorization[\"']?\s*+[:=]\s*+[\"']?\w+[ \t]+(?P<value>[\w.~+/=-]{8,})", r"://[^\s/:@\"'<>]*+:(?P<value>[^\s/@\"'<>]+)@", r"(?P<value>\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*)", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*(?P<value>[A-Za-z0-9+/=\s]{40,}?)\s*-----END")]
+#: A value in quotes runs to the same quote; another to a blank, a quote or an angle bracket, or to a comma or semicolon that ends it.
+LEAST = 5
+QUOTED = {q: re.compile(rf"[^{q}\n]{{{LEAST},}}(?={q})") for q in "\"'"}
+VALUE = re.compile(rf"(?:[^\s\"',;<>]|[,;](?!\s|$|[\w.-]{{1,40}}[\"']?\s*[:=])){{{LEAST},}}")
+BARE = [re.compile(x) for x in (r"(?i)\bbearer[ \t]+(?P<value>[^\s\"',;<>]{8,})", r"(?i)\bauthorization[\"']?\s*+[:=]\s*+[\"']?\w+[ \t]+(?P<value>[^\s\"',;<>]{8,})", r"://[^\s/:@\"'<>]*+:(?P<value>[^\s/@\"'<>]+)@", r"(?P<value>\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*)", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*(?P<value>[A-Za-z0-9+/=\s]{40,}?)\s*-----END")]
 RUN = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 NAMED = re.compile(r"[A-Za-z_][\w-]*+=+(?=[^=])")
 PARTS = re.compile(r"[^\W\d_]{3,}")
@@ -68,7 +73,7 @@ def found_in(text: str) -> Iterator[tuple[int, str, bool]]:
     """Start, value and whether it is assigned to a telling name; overlapping candidates count once, assigned ones first."""
     spans: dict[int, tuple[int, str, bool]] = {}
     for m in ASSIGNED.finditer(text):
-        if TELLING.search(m["name"].lower()) and (v := VALUE.match(text, m.end())):
+        if TELLING.search(m["name"].lower()) and (v := QUOTED.get(m[0][-1], VALUE).match(text, m.end()) or VALUE.match(text, m.end())) and v[0].lower() not in SCHEMES:
             spans[v.start()] = (v.start(), v[0], True)
     for pattern in BARE:
         for m in pattern.finditer(text):
@@ -144,6 +149,11 @@ def review(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(sure, 1.0).when(never & ~open_, 0.0))
 
 
+def forest(train: DataFrame, trees: int = 30, depth: int = 6, seed: int = 7):
+    """A random forest of features and label."""
+    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(train.select(array_to_vector("features").alias("x"), "label"))
+
+
 def scan(docs: DataFrame, labels: DataFrame | None = None, most_labels: int = 20_000, lines: int = 4000, trees: int = 30, depth: int = 6, seed: int = 7) -> DataFrame:
     """
     doc_id, start, length, kind, secret_sha256, probability, is_secret for every candidate. labels: doc_id, start, is_secret of
@@ -152,18 +162,19 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, most_labels: int = 20
     words = dictionary(docs)
     found = durable(review(candidates(docs, words)))
     if labels is not None:
-        found = durable(found.drop("label").join(labels.select("doc_id", "start", F.col("is_secret").cast("double").alias("label")).groupBy("doc_id", "start").agg(F.max("label").alias("label")), ["doc_id", "start"], "left"))
+        known = labels.select("doc_id", "start", F.col("is_secret").cast("double").alias("label")).groupBy("doc_id", "start").agg(F.max("label").alias("label"))
+        same = F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.start") == F.col("k.start"))
+        found = durable(found.drop("label").alias("c").join(known.alias("k"), same, "left").select("c.*", "k.label"))
     known = found.where("label IS NOT NULL")
     half = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", "start", "secret_sha256")).limit(most_labels // 2) for k in (0.0, 1.0)]
     train = half[0].unionByName(half[1]).select("features", "label")
     if labels is None and lines:
         made = planted(docs.sparkSession, lines)
         train = train.unionByName(candidates(made, words).join(made.select("doc_id", "start", "label"), ["doc_id", "start"]).select("features", "label"))
-    train = durable(train.select(array_to_vector("features").alias("x"), "label"))
+    train = durable(train)
     plain = ["doc_id", "start", "length", "kind", "secret_sha256"]
     if train.select("label").distinct().count() < 2:
         return found.select(*plain, F.coalesce("label", F.lit(0.5)).alias("probability"), (F.coalesce("label", F.lit(1.0)) > 0.5).alias("is_secret"))
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(train)
-    scored = forest.transform(found.select(*plain, array_to_vector("features").alias("x")))
+    scored = forest(train, trees, depth, seed).transform(found.select(*plain, array_to_vector("features").alias("x")))
     p = vector_to_array("probability")[1]
     return scored.select(*plain, p.alias("probability")).withColumn("is_secret", F.col("probability") > 0.5)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -126,6 +127,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns. Rows that repeat a doc_id stay together."""
-    kept = near_duplicates(docs, shingle, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    """
+    One document of each component, the one with the smallest doc_id, with all its columns. Rows that repeat a doc_id stay together.
+    Rows without doc_id go where their component has a document with one; of a component without any, one row stays, that with the
+    smallest hash of its text.
+    """
+    found = durable(near_duplicates(docs, shingle, radius))
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    loose = found.where("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
+    if loose.isEmpty():
+        return named
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    # one row of each text, under a number of its own, so that components of these rows get names
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.where("doc_id IS NULL").select(row.alias("row"), F.col("text"), fp("text").alias("fp")).join(loose, "fp", "left_semi")
+    rows = durable(rows.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).agg(F.min_by("row", F.to_json("row")).alias("row")))
+    first = near_duplicates(rows.select("doc_id", "text"), shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return named.unionByName(rows.join(first, "doc_id", "left_semi").select("row.*"))
