@@ -88,8 +88,8 @@ def spaced(events: DataFrame, gap_ms: int, tie: list[str], by: list[str] | None
 
     Each event points at the first that is late enough after it. Pointers are followed inside blocks of numbered events, to where they
     leave the block; only events at which some pointer enters a block go on to the next level, whose blocks span FAN times as many. From
-    the top the one chain that starts at the first event is then marked downwards. No task holds more than a block; events without a key
-    or a time take no part.
+    the top the one chain that starts at the first event is then marked downwards. A task holds a block's rows, on further levels the
+    entries of FAN blocks, which are few unless the gap spans whole blocks. Events without a key or a time take no part; a gap of 0 keeps all.
     """
     by = by or BY
     if gap_ms <= 0:
