@@ -36,7 +36,7 @@ def archive_daily(df: DataFrame, root: str, table: str, keys: list[str], ts: str
 
 
 def trades_for_export(ledger: DataFrame, metrics: DataFrame, start_ms: int, end_ms: int, limit: int, instrument: str | None = None, tie: list[str] | None = None, most: int = 10_000) -> DataFrame:
-    """The newest trades of a time range, ends included, with the figures of their models (K3)."""
+    """The newest `limit` trades of a time range, ends included, with the figures of their models; `most` where limit is larger, as a request limit (K3)."""
     rows = ledger.where(F.col("ts_out_ms").between(start_ms, end_ms))
     if instrument is not None:
         rows = rows.where(F.col("instrument") == instrument)
@@ -76,8 +76,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_preview(df: DataFrame, path: str, by: list[str], order: list[str], n: int = 2000) -> None:
-    """Only the newest n rows of each key, as JSON lines (K6)."""
-    latest_n(df, n, by, order).write.mode("overwrite").partitionBy(*by).json(path)
+    """Only the newest n rows of each key, as JSON lines (K6); all n, as a preview is asked for by a caller that knows its size."""
+    latest_n(df, n, by, order, n).write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def chunked(numbered: DataFrame, counts: DataFrame, size: int = 1100, step: int = 100) -> DataFrame:
