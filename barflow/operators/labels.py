@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .asof import forward_range
 from .rolling import Series, number_rows, running, with_lookback, without_lookback
+from .schedule import BLOCK, best_schedule
 
 
 def triple_barrier(bars: DataFrame, events: DataFrame, pt: float, sl: float, horizon: int, min_edge: float = 0.0) -> DataFrame:
@@ -76,37 +77,15 @@ def forward_change(bars: DataFrame, rows: int, by: list[str]) -> DataFrame:
     return done.select(*by, F.col("_then.ts_ms").alias("ts_ms"), *(F.col(f"_then.{c}").alias(c) for c in bars.columns if c not in (*by, "ts_ms")), F.col("close").alias("later"))
 
 
-def best_schedule(t0: list[int], t1: list[int], score: list[float]) -> list[int]:
-    """The places of intervals that don't overlap (one may start where another ends) with the greatest total score."""
-    order = sorted(range(len(t0)), key=lambda i: (t1[i], t0[i]))
-    ends = [t1[i] for i in order]
-    best, take = [0.0], []
-    for k, i in enumerate(order):
-        p = int(np.searchsorted(ends[:k], t0[i], side="right"))
-        with_it = best[p] + score[i]
-        take.append((with_it >= best[k], p))
-        best.append(max(with_it, best[k]))
-    out, k = [], len(order)
-    while k:
-        yes, p = take[k - 1]
-        if yes:
-            out.append(order[k - 1])
-        k = p if yes else k - 1
-    return sorted(out)
-
-
-def select_labels(labels: DataFrame, cost: float = 0.0, min_hold_ms: int = 10_000, max_hold_ms: int = 1 << 60, min_edge: float = 0.0) -> DataFrame:
-    """Of labels inside the hold band and not below the edge, those that don't overlap and have the greatest sum of |r| - cost."""
-    hold = F.col("t1_ms") - F.col("ts_ms")
-    able = labels.where(hold.between(min_hold_ms, max_hold_ms) & (F.abs("realized_r") >= min_edge) & (F.abs("realized_r") > cost))
-    able = overlap_clusters(able, ["instrument"])
+#: Parts of one unit of return that sums of scores are counted in; whole numbers, so sums don't depend on the order of adding.
+UNITS = 1e9
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "t1_ms"]).reset_index(drop=True)
-        return pdf.iloc[best_schedule(pdf["ts_ms"].tolist(), pdf["t1_ms"].tolist(), (pdf["realized_r"].abs() - cost).tolist())]
 
-    able = able.withColumn("cluster", F.floor(F.col("cluster") / 256))  # neighbouring clusters share a call; the best of all is the best of each
-    return able.groupBy("instrument", "cluster").applyInPandas(run, able.schema).drop("cluster")
+def select_labels(labels: DataFrame, cost: float = 0.0, min_hold_ms: int = 10_000, max_hold_ms: int = 1 << 60, min_edge: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """Of labels inside the hold band and not below the edge, those that don't overlap and have the greatest sum of |r| - cost, rounded to 1e-9 each."""
+    hold, r = F.col("t1_ms") - F.col("ts_ms"), F.abs("realized_r")
+    able = labels.where(hold.between(min_hold_ms, max_hold_ms) & (r >= min_edge) & (r > cost))
+    return best_schedule(able.withColumn("_score", F.round((r - cost) * UNITS).cast("long")), "_score", ["instrument"], tie=["realized_r"], block=block).drop("_score")
 
 
 def balance_minority(labels: DataFrame, fraction: float = 0.30, by: list[str] | None = None) -> DataFrame:

@@ -82,24 +82,16 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[met].drop(columns=["_to", "_block", "_entry"])
 
 
-def spaced(events: DataFrame, gap_ms: int, tie: list[str], by: list[str] | None = None, ts: str = "ts_ms", slice_ms: int = 86_400_000, block: int = EVENTS) -> DataFrame:
+def chained(links: DataFrame, by: list[str], length: int, block: int = EVENTS) -> DataFrame:
     """
-    Of each key's events, the first, and then always the next that is at least gap_ms after the last one taken (W21, T23).
+    links: by, _rn, and _to, a later row or -1. The rows (by, _rn) that the chain of pointers from row 1 meets; `length` is the greatest _rn.
 
-    Each event points at the first that is late enough after it. Pointers are followed inside blocks of numbered events, to where they
-    leave the block; only events at which some pointer enters a block go on to the next level, whose blocks span FAN times as many. From
-    the top the one chain that starts at the first event is then marked downwards. A task holds a block's rows, on further levels the
-    entries of FAN blocks, which are few unless the gap spans whole blocks. Events without a key or a time take no part; a gap of 0 keeps all.
+    Pointers are followed inside blocks of rows, to where they leave the block; only rows at which some pointer enters a block go on to
+    the next level, whose blocks span FAN times as many. From the top the one chain is then marked downwards.
     """
-    by = by or BY
-    if gap_ms <= 0:
-        return events
-    rows = kept(number_rows(events.where(F.col(ts).isNotNull()), by, ts, tie, slice_ms, "_rn"))
-    later = rows.select(*by, "_rn", (F.col(ts) + gap_ms).alias(ts))
-    links = kept(asof_join(later, rows.select(*by, ts, F.col("_rn").alias("_to")), by, ["_to"], "forward", ts, ["_to"], slice_ms=slice_ms).select(*by, "_rn", F.coalesce("_to", F.lit(-1).cast("long")).alias("_to")))
-    most, levels = links.agg(F.max("_rn")).first()[0] or 0, []
+    levels = []
     at = lambda size: F.floor((F.col("_rn") - 1) / size).alias("_block")
-    while block < most:
+    while block < length:
         levels.append((links, block))
         cut = links.select("*", at(block))
         exits = kept(cut.groupBy(*by, "_block").applyInPandas(_exits, cut.schema).drop("_block"))
@@ -110,6 +102,23 @@ def spaced(events: DataFrame, gap_ms: int, tie: list[str], by: list[str] | None
         entered = taken.select(*by, at(size), "_rn").groupBy(*by, "_block").agg(F.min("_rn").alias("_entry"))
         cut = links.select("*", at(size)).join(entered, [*by, "_block"]).select(*by, "_rn", "_to", "_block", "_entry")
         taken = kept(cut.groupBy(*by, "_block").applyInPandas(_chain, links.select(*by, "_rn").schema))
+    return taken
+
+
+def spaced(events: DataFrame, gap_ms: int, tie: list[str], by: list[str] | None = None, ts: str = "ts_ms", slice_ms: int = 86_400_000, block: int = EVENTS) -> DataFrame:
+    """
+    Of each key's events, the first, and then always the next that is at least gap_ms after the last one taken (W21, T23).
+
+    Each event points at the first that is late enough after it; the chain of pointers from the first event is followed. A task holds a block's rows, on further levels the
+    entries of FAN blocks, which are few unless the gap spans whole blocks. Events without a key or a time take no part; a gap of 0 keeps all.
+    """
+    by = by or BY
+    if gap_ms <= 0:
+        return events
+    rows = kept(number_rows(events.where(F.col(ts).isNotNull()), by, ts, tie, slice_ms, "_rn"))
+    later = rows.select(*by, "_rn", (F.col(ts) + gap_ms).alias(ts))
+    links = kept(asof_join(later, rows.select(*by, ts, F.col("_rn").alias("_to")), by, ["_to"], "forward", ts, ["_to"], slice_ms=slice_ms).select(*by, "_rn", F.coalesce("_to", F.lit(-1).cast("long")).alias("_to")))
+    taken = chained(links, by, links.agg(F.max("_rn")).first()[0] or 0, block)
     return rows.join(taken, [*by, "_rn"], "left_semi").select(*events.columns)
 
 

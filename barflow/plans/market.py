@@ -9,6 +9,7 @@ from .. import adapters as A
 from ..operators import asof, bar_features, bars, labels, series_features, splits
 from ..operators.rolling import Series, number_rows, with_lookback, without_lookback
 from ..sinks import tables
+from ..storage import kept
 from .base import Plans, r6, s6
 
 P = Plans()
@@ -201,7 +202,16 @@ def t5_meta_label(spark: SparkSession, d: str) -> DataFrame:
     return _labels(spark, d).select("instrument", "ts_ms", labels.meta_label(F.col("side"), F.col("realized_r"), 0.005).alias("y"))
 
 
-@P.add(None)
+ABLE = """able AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts_ms, t1_ms, realized_r) AS rn, count(*) OVER (PARTITION BY instrument) AS n, CAST(round((abs(realized_r) - 0.001) * 1e9) AS BIGINT) AS score FROM labels_ WHERE t1_ms - ts_ms >= 10000 AND abs(realized_r) > 0.001),
+ways AS (SELECT *, greatest(n + 1 - (SELECT count(*) FROM able f WHERE f.instrument = a.instrument AND f.ts_ms >= a.t1_ms), rn + 1) AS nxt FROM able a),
+worth AS (SELECT instrument, n + 1 AS rn, n, [0::BIGINT] AS best FROM able GROUP BY instrument, n UNION ALL
+SELECT w.instrument, w.rn, w.n, list_append(best, greatest(best[-1], w.score + best[w.n + 2 - w.nxt])) FROM worth JOIN ways w ON w.instrument = worth.instrument AND w.rn = worth.rn - 1),
+found AS (SELECT instrument, best FROM worth WHERE rn = 1),
+path AS (SELECT instrument, 0::BIGINT AS rn, FALSE AS taken, 1::BIGINT AS nxt FROM found UNION ALL
+SELECT w.instrument, w.rn, w.score + best[w.n + 2 - w.nxt] >= best[w.n + 1 - w.rn], CASE WHEN w.score + best[w.n + 2 - w.nxt] >= best[w.n + 1 - w.rn] THEN w.nxt ELSE w.rn + 1 END FROM path JOIN ways w ON w.instrument = path.instrument AND w.rn = path.nxt JOIN found ON found.instrument = path.instrument)"""
+
+
+@P.add("SELECT instrument, ts_ms, t1_ms, round(realized_r, 6) + 0.0 AS realized_r FROM able JOIN path USING (instrument, rn) WHERE taken", NUM, BAR, ABLE)
 def t6_select_labels(spark: SparkSession, d: str) -> DataFrame:
     return labels.select_labels(_labels(spark, d), cost=0.001).select("instrument", "ts_ms", "t1_ms", r6("realized_r"))
 
@@ -221,7 +231,8 @@ def t8_label_pipeline(spark: SparkSession, d: str) -> DataFrame:
     rows = number_rows(A.bars(spark, d), ["instrument"])
     sigma = bar_features.recurrences(A.bars(spark, d)).select("instrument", "ts_ms", F.col("ewma_vol").alias("sigma"))
     ret = bar_features.price_windows(A.bars(spark, d)).select("instrument", "ts_ms", F.col("log_ret_1").alias("ret"))
-    found = labels.label_pipeline(rows.join(sigma, ["instrument", "ts_ms"]).join(ret, ["instrument", "ts_ms"]), max_hold_ms=36 * 3_600_000)
+    inputs = kept(rows.join(sigma, ["instrument", "ts_ms"]).join(ret, ["instrument", "ts_ms"]))
+    found = labels.label_pipeline(inputs, max_hold_ms=36 * 3_600_000)
     return found.select("instrument", "ts_ms", "t1_ms", "barrier_hit", r6("realized_r"), "side", "meta_y")
 
 

@@ -2,7 +2,6 @@
 
 import json
 import random
-from itertools import combinations
 
 import pytest
 from hypothesis import given
@@ -10,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barflow.functions import stats
-from barflow.operators import labels, ledger, positions, quantiles, research, rolling, scan, skyline
+from barflow.operators import labels, ledger, positions, quantiles, research, rolling, scan, schedule, skyline
 from barflow.operators.bars import bucket_floor
 
 
@@ -128,17 +127,57 @@ def test_exact_quantiles_equal_sorted_values(spark, monkeypatch):
             assert got[k][name] == pytest.approx(low + (p - np.floor(p)) * (high - low), rel=1e-12)
 
 
-def test_interval_choice():
-    assert labels.best_schedule([0, 50_000, 150_000], [100_000, 200_000, 250_000], [0.005, 0.012, 0.005]) == [1]
+def _schedules(spark, rows, block):
+    """The chosen intervals of rows (k, start, end, score), and what the best set of each key is worth, by a plain recursion."""
+    from functools import cache
 
+    df = spark.createDataFrame(rows, "k string, ts_ms long, t1_ms long, score long")
+    got = schedule.best_schedule(df, "score", ["k"], tie=["score"], block=block, slice_ms=50).collect()
+    worth = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == k)
 
-@given(st.lists(st.tuples(st.integers(0, 20), st.integers(1, 8), st.integers(1, 9)), min_size=1, max_size=9))
-def test_schedule_is_best(items):
-    t0, t1, score = [a for a, _, _ in items], [a + n for a, n, _ in items], [float(s) for _, _, s in items]
-    free = lambda c: all(t1[i] <= t0[j] or t1[j] <= t0[i] for i, j in combinations(c, 2))
-    best = max(sum(score[i] for i in c) for n in range(len(items) + 1) for c in combinations(range(len(items)), n) if free(c))
-    chosen = labels.best_schedule(t0, t1, score)
-    assert free(chosen) and sum(score[i] for i in chosen) == best
+        @cache
+        def best(i, mine=mine):
+            if i == len(mine):
+                return 0
+            after = next((j for j in range(i + 1, len(mine)) if mine[j][0] >= mine[i][1]), len(mine))
+            return max(mine[i][2] + best(after), best(i + 1))
+
+        for i in range(len(mine), -1, -1):
+            worth[k] = best(i)
+    return got, worth
+
+
+def _free(chosen):
+    mine = sorted((r.ts_ms, r.t1_ms) for r in chosen)
+    return all(a[1] <= b[0] for a, b in zip(mine, mine[1:]))
+
+
+def test_interval_choice(spark):
+    got, _ = _schedules(spark, [("a", 0, 100_000, 5), ("a", 50_000, 200_000, 12), ("a", 150_000, 250_000, 5)], 4)
+    assert [(r.ts_ms, r.t1_ms) for r in got] == [(50_000, 200_000)]
+
+
+@pytest.mark.parametrize("block,span", [(4096, 9), (4, 9), (8, 60), (2, 300)])
+def test_schedule_is_best(spark, block, span, monkeypatch):
+    """Intervals that chain over the whole series, of short and very long ones, ties, repeats and those of no length, over several levels of blocks."""
+    monkeypatch.setattr(schedule, "FAN", 3)
+    rng = random.Random(span)
+    rows = [(k, t := rng.randrange(120), t + rng.randrange(span), rng.randrange(9)) for k in "ab" for _ in range(90)]
+    rows += rows[:5] + [("c", 5, 9, 3)]
+    got, worth = _schedules(spark, rows, block)
+    for k, total in worth.items():
+        mine = [r for r in got if r.k == k]
+        assert _free(mine) and sum(r.score for r in mine) == total
+
+
+def test_schedule_leaves_out_what_has_no_place(spark):
+    """Nulls, ends before starts and negative scores take no part, further columns stay; an empty table has an empty answer."""
+    rows = [("a", 0, 5, 1, "x"), ("a", None, 5, 1, "x"), ("a", 0, None, 1, "x"), ("a", 6, 5, 9, "x"), ("a", 6, 7, -1, "x"), ("a", 6, 7, None, "x"), (None, 1, 2, 3, "x")]
+    df = spark.createDataFrame(rows, "k string, ts_ms long, t1_ms long, score long, rn string")
+    assert [tuple(r) for r in schedule.best_schedule(df, "score", ["k"]).collect()] == [("a", 0, 5, 1, "x")]
+    assert schedule.best_schedule(df.limit(0), "score", ["k"]).collect() == []
 
 
 def test_normal_distribution_and_deflated_sharpe(spark):
