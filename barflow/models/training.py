@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector, VectorAssembler
@@ -52,12 +55,17 @@ def search_space(name: str, estimator: Estimator) -> list[dict]:
     return grid.build()
 
 
-def pipeline(features: list[str], estimator: Estimator, select: bool = True) -> Pipeline:
-    """Features to one vector, without those that hardly vary, standardised, and the model."""
+def preparation(features: list[str], select: bool = True) -> list:
+    """Features to one vector, without those that hardly vary, standardised."""
     steps = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep")]
     if select:
         steps.append(VarianceThresholdSelector(featuresCol="_raw", outputCol="_varied", varianceThreshold=1e-8))
-    return Pipeline(stages=[*steps, StandardScaler(inputCol="_varied" if select else "_raw", outputCol="features", withMean=True), estimator])
+    return [*steps, StandardScaler(inputCol="_varied" if select else "_raw", outputCol="features", withMean=True)]
+
+
+def pipeline(features: list[str], estimator: Estimator, select: bool = True) -> Pipeline:
+    """The preparation of features and the model."""
+    return Pipeline(stages=[*preparation(features, select), estimator])
 
 
 def positive(c: str = "probability") -> Column:
@@ -90,6 +98,48 @@ def out_of_fold(splits: DataFrame, features: list[str], models: dict[str, Callab
     return reduce(DataFrame.unionByName, out)
 
 
+def searched(splits: DataFrame, features: list[str], models: dict[str, Callable[[], Estimator]], space: Callable[[str, Estimator], list[dict]] = search_space, at_once: int = 4) -> DataFrame:
+    """
+    Each model with each of its parameter sets on each split (role: train, test): model, params (JSON), split, n, log_loss of its test rows;
+    mean_loss over the test rows of all splits, and best, whether no parameter set of the model has a lower one (of equal ones the first in
+    the space) (T27, X3). A split with one class in training scores 0.5.
+
+    Features are prepared once a split and stored; `at_once` fits run at a time, each of them Spark jobs over the training rows. The driver
+    holds one line a fit, and there are as many fits as models, sets and splits, all of them parameters.
+    """
+    rows = kept(splits.fillna(0.0, features))
+    session = rows.sparkSession
+    classes = {r.split: r.n for r in rows.groupBy("split").agg(F.countDistinct(F.when(F.col("role") == "train", F.col("y"))).alias("n")).collect()}  # one row a split
+    stored = {}
+    for split in (s for s, n in classes.items() if n > 1):
+        of = rows.where(F.col("split") == split)
+        for select in {name != "perceptron" for name in models}:
+            ready = Pipeline(stages=preparation(features, select)).fit(of.where("role = 'train'")).transform(of)
+            stored[split, select] = kept(ready.select("role", "y", "features"))
+
+    def fit(task: tuple[str, int, dict, int]) -> tuple:
+        name, order, given, split = task
+        values = {p.name: v for p, v in given.items()}
+        if classes[split] > 1:
+            own = stored[split, name != "perceptron"]
+            estimator = models[name]()
+            fitted = estimator.copy({estimator.getParam(k): v for k, v in values.items()}).fit(own.where("role = 'train'"))
+            scored = score(fitted, own.where("role = 'test'"))
+        else:
+            scored = score(None, rows.where((F.col("split") == split) & (F.col("role") == "test")))
+        n, loss = scored.agg(F.count("*"), log_loss()).first()
+        return name, order, json.dumps(values, sort_keys=True), split, n, loss
+
+    tasks = [(name, k, given, split) for name, make in models.items() for k, given in enumerate(space(name, make()) or [{}]) for split in sorted(classes)]
+    with ThreadPool(at_once) as pool:
+        out = pool.map(inheritable_thread_target(session)(fit), tasks, chunksize=1)
+    found = session.createDataFrame(out, "model string, _order int, params string, split long, n long, log_loss double")
+    w = Window.partitionBy("model", "_order")
+    mean = F.sum(F.col("n") * F.coalesce("log_loss", F.lit(0.0))).over(w) / F.sum("n").over(w)
+    ranked = found.withColumn("mean_loss", mean).withColumn("_rank", F.dense_rank().over(Window.partitionBy("model").orderBy(F.asc_nulls_last("mean_loss"), "_order")))
+    return ranked.withColumn("best", F.col("_rank") == 1).drop("_order", "_rank")
+
+
 def log_loss(y: str = "y", p: str = "p", clip: float = 1e-6) -> Column:
     q = F.least(F.greatest(F.col(p), F.lit(clip)), F.lit(1 - clip))
     return F.avg(-(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q)))

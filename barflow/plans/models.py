@@ -31,6 +31,15 @@ def t26_t27_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
     return oof.groupBy("model", "split").agg(F.count("*").alias("n"), r6(M.log_loss(), "log_loss"))
 
 
+@P.add(None)
+def t27_x3_search(spark: SparkSession, d: str) -> DataFrame:
+    """All four candidates with all their parameter sets on purged folds, and the best set of each."""
+    rows = _rows(spark, d).withColumn("t0", F.col("ts_ms"))
+    folds = splits.purged_kfold(rows.select("instrument", "t0", "t1"), 3, 0.01, ["instrument"], []).select("instrument", "t0", "split", "role")
+    found = M.searched(folds.join(rows, ["instrument", "t0"]).select("split", "role", "y", *FEATURES), FEATURES, M.chosen("", len(FEATURES)))
+    return found.select("model", "params", "split", "n", r6("log_loss"), r6("mean_loss"), "best")
+
+
 @P.add(None)
 def t28_t31_calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = kept(_rows(spark, d))
