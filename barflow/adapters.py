@@ -105,6 +105,19 @@ def crowd_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 CROWD = """crowd AS (SELECT vec_id, vec_id * 60000 AS ts_ms, 95 + 0.15 * i AS price, greatest(CAST(embedding[i] AS DOUBLE), 0.0) AS long, greatest(-CAST(embedding[i] AS DOUBLE), 0.0) AS short FROM embeddings, range(1, 65) t(i))"""
 
 
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+def priced_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crowd's books as snapshots of the instruments over the time of the ticks: instrument, ts_ms (no two of an instrument equal), buckets."""
+    n = F.col("vec_id")
+    kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), (n % 5 + 1).cast("int"))
+    return crowd_books(spark, sf_dir).select(kind.alias("instrument"), (F.lit(1704067200000) + n * 7_919_000 % 2_592_000_000).alias("ts_ms"), "buckets")
+
+
+PRICED_BOOKS = CROWD + """, priced AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][vec_id % 5 + 1] AS instrument, 1704067200000 + vec_id * 7919000 % 2592000000 AS ts_ms, price, long, short FROM crowd)"""
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as decisions of a trader."""
     kind = F.col("event_type")

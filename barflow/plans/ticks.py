@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..operators import bars, series_features as S
+from ..operators import bars, crowd, series_features as S
+from ..storage import kept
 from .base import Plans, r6
 from .market import GRID
+from .trades import RATIOS, crowd_rounded, crowd_sql
 
 P = Plans()
 STEP = 600_000
@@ -51,6 +53,40 @@ def w13_w14_w15_w31_grid_features(spark: SparkSession, d: str) -> DataFrame:
     return S.grid_features(bars.resample_last(A.ticks(spark, d), STEP), FRAMES).select("instrument", "ts_ms", *(r6(c, digits=5) for c in ("macd", "macd_signal", "macd_hist", "force", "force_mean")))
 
 
+def _books(d: dict[str, str], name: str) -> str:
+    values = ", ".join(f"{e} AS {c}" for c, e in d.items())
+    return f"{name} AS (SELECT instrument, ts_ms, {values} FROM at_price GROUP BY 1, 2)"
+
+
+#: The first price from a book's time on, or else the last one there is.
+AT_PRICE = """ends AS (SELECT instrument, last(mid ORDER BY ts_ms) AS mid FROM quotes GROUP BY 1), stamps AS (SELECT DISTINCT instrument, ts_ms FROM priced),
+now AS (SELECT s.instrument, s.ts_ms, coalesce(q.mid, e.mid) AS mid FROM stamps s JOIN ends e USING (instrument) ASOF LEFT JOIN quotes q ON s.instrument = q.instrument AND s.ts_ms <= q.ts_ms),
+at_price AS (SELECT p.*, n.mid FROM priced p JOIN now n USING (instrument, ts_ms))"""
+BOOK_SQL = ", ".join(f"round({f'ln(1 + coalesce({k}.{c}, 0))' if c in RATIOS else f'coalesce({k}.{c}, 0)'}, 6) + 0.0 AS {k}_{c}" for k in crowd.RANGES for c in crowd.CROWD)
+
+
+@P.add(
+    f"SELECT g.instrument, g.ts_ms, {BOOK_SQL} FROM quotes g ASOF LEFT JOIN ob ON g.instrument = ob.instrument AND g.ts_ms >= ob.ts_ms ASOF LEFT JOIN pb ON g.instrument = pb.instrument AND g.ts_ms >= pb.ts_ms",
+    A.TICKS, GRID, QUOTES, A.PRICED_BOOKS, AT_PRICE, *(_books(crowd_sql("mid", *r), k) for k, r in crowd.RANGES.items()),
+)
+def a16_w31_grid_books(spark: SparkSession, d: str) -> DataFrame:
+    """The grid vector's columns of the newest book of orders and of positions before each step."""
+    grid, books = kept(bars.resample_last(A.ticks(spark, d), STEP)), A.priced_books(spark, d)
+    priced = grid.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+    rows = S.grid_features(grid, FRAMES, books={k: crowd.crowd_series(books, priced, *r) for k, r in crowd.RANGES.items()})
+    return rows.select("instrument", "ts_ms", *crowd_rounded(*(f"{k}_" for k in crowd.RANGES)))
+
+
+@P.add(
+    "SELECT instrument, ts_ms, CAST(least(ceil((price - mid * (1 - 0.05)) / (mid * 0.05 / 20)) - 1, 39) AS INTEGER) AS bin, round(sum(long - short), 6) + 0.0 AS net FROM (SELECT g.instrument, g.ts_ms, g.mid, b.ts_ms AS book_ms FROM quotes g ASOF JOIN (SELECT DISTINCT instrument, ts_ms FROM priced) b ON g.instrument = b.instrument AND g.ts_ms >= b.ts_ms) n JOIN (SELECT instrument, ts_ms AS book_ms, price, long, short FROM priced) USING (instrument, book_ms) WHERE price > mid * (1 - 0.05) AND price < mid * (1 + 0.05) GROUP BY 1, 2, 3",
+    A.TICKS, GRID, QUOTES, A.PRICED_BOOKS,
+)
+def a18_liquidity_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Forty bins around the price of each step."""
+    grid = bars.resample_last(A.ticks(spark, d), STEP).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+    return crowd.liquidity_matrix(A.priced_books(spark, d), grid, 20, 0.05).select("instrument", "ts_ms", "bin", r6("net"))
+
+
 TN = "tn AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts_ms, event_id) AS rn FROM ticks), tr AS (SELECT *, CASE WHEN rn > 1 THEN ln(mid / lag(mid) OVER w) ELSE 0 END AS r1, ask - bid AS spread FROM tn WINDOW w AS (PARTITION BY instrument ORDER BY rn)), tv AS (SELECT *, CASE WHEN rn > 60 THEN var_pop(r1) OVER w60 ELSE 0 END AS v60, avg(mid) OVER w60 AS m60, avg(mid) OVER w300 AS m300, min(ts_ms) OVER w60 AS t60, max(mid) OVER w60 AS hi, min(mid) OVER w60 AS lo, ln(mid / lag(mid, 10) OVER w) AS r10, ln(mid / lag(mid, 60) OVER w) AS r60 FROM tr WINDOW w AS (PARTITION BY instrument ORDER BY rn), w60 AS (PARTITION BY instrument ORDER BY rn ROWS 59 PRECEDING), w300 AS (PARTITION BY instrument ORDER BY rn ROWS 299 PRECEDING))"
 TICK = {
     "log_ret_1": "r1", "log_ret_10": "coalesce(r10, 0)", "log_ret_60": "coalesce(r60, 0)", "realized_vol_60": "sqrt(v60)", "realized_vol_300": "sqrt(5 * v60)", "spread_bp": "spread / mid * 1e4", "sma60_dev": "(mid - m60) / mid", "sma300_dev": "(mid - m300) / mid",

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from .. import adapters as A
 from ..functions import stats
-from ..operators import ledger as L
+from ..operators import crowd, ledger as L
+from ..operators.series_features import BOOK, depth_features
 from .base import Plans, r6
 
 P = Plans()
@@ -266,39 +267,43 @@ def j2_a30_mean_oof(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select("doc_id").join(oof, "doc_id", "left").select("doc_id", r6(F.coalesce("p", F.lit(0.5)), "p"))
 
 
+DEPTH_MID = 100.003  # no level is just 10 basis points from it
+
+
 @P.add(
-    "SELECT vec_id, round((b1 - a1) / (b1 + a1), 6) + 0.0 AS imbalance, round((bw + aw) / (bs + asz), 6) AS weighted_mid, round(bmax / bavg, 6) AS bid_wall, round(amax / aavg, 6) AS ask_wall, round(near, 6) AS size_10bp FROM (SELECT vec_id, sum(size) FILTER (side = 'bid' AND lvl = 1) AS b1, sum(size) FILTER (side = 'ask' AND lvl = 1) AS a1, sum(price * size) FILTER (side = 'bid' AND lvl <= 10) AS bw, sum(price * size) FILTER (side = 'ask' AND lvl <= 10) AS aw, sum(size) FILTER (side = 'bid' AND lvl <= 10) AS bs, sum(size) FILTER (side = 'ask' AND lvl <= 10) AS asz, max(size) FILTER (side = 'bid' AND lvl <= 20) AS bmax, avg(size) FILTER (side = 'bid' AND lvl <= 20) AS bavg, max(size) FILTER (side = 'ask' AND lvl <= 20) AS amax, avg(size) FILTER (side = 'ask' AND lvl <= 20) AS aavg, sum(size) FILTER (lvl <= 9) AS near FROM levels GROUP BY 1)",
+    f"SELECT vec_id, round((b1 - a1) / (b1 + a1), 6) + 0.0 AS ob_imbalance, round(((bw + aw) / (bs + asz) - {DEPTH_MID}::DOUBLE) / {DEPTH_MID}::DOUBLE * 1e4, 6) + 0.0 AS ob_weighted_mid_bp, round(bmax / bavg, 6) AS ob_bid_wall, round(amax / aavg, 6) AS ob_ask_wall, round(near, 6) AS ob_size_10bp, round(wide, 6) AS ob_size_50bp FROM (SELECT vec_id, sum(size) FILTER (side = 'bid' AND lvl = 1) AS b1, sum(size) FILTER (side = 'ask' AND lvl = 1) AS a1, sum(price * size) FILTER (side = 'bid' AND lvl <= 10) AS bw, sum(price * size) FILTER (side = 'ask' AND lvl <= 10) AS aw, sum(size) FILTER (side = 'bid' AND lvl <= 10) AS bs, sum(size) FILTER (side = 'ask' AND lvl <= 10) AS asz, max(size) FILTER (side = 'bid' AND lvl <= 20) AS bmax, avg(size) FILTER (side = 'bid' AND lvl <= 20) AS bavg, max(size) FILTER (side = 'ask' AND lvl <= 20) AS amax, avg(size) FILTER (side = 'ask' AND lvl <= 20) AS aavg, sum(size) FILTER (abs(price / {DEPTH_MID}::DOUBLE - 1) * 1e4 <= 10) AS near, sum(size) FILTER (abs(price / {DEPTH_MID}::DOUBLE - 1) * 1e4 <= 50) AS wide FROM levels GROUP BY 1)",
     A.LEVELS,
 )
 def a17_depth_features(spark: SparkSession, d: str) -> DataFrame:
-    total = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda a, x: a + f(x))
-    size, worth = (lambda x: x["size"]), (lambda x: x["price"] * x["size"])
-    b, a = F.col("bids"), F.col("asks")
-    ten = lambda f: total(F.slice(b, 1, 10), f) + total(F.slice(a, 1, 10), f)
-    wall = lambda arr: F.array_max(F.transform(F.slice(arr, 1, 20), size)) / (total(F.slice(arr, 1, 20), size) / 20)
-    near = lambda arr: total(F.filter(arr, lambda x: F.abs(x["price"] - 100) <= 0.095), size)
-    top = b[0]["size"], a[0]["size"]
-    return A.depth_books(spark, d).select("vec_id", r6((top[0] - top[1]) / (top[0] + top[1]), "imbalance"), r6(ten(worth) / ten(size), "weighted_mid"), r6(wall(b), "bid_wall"), r6(wall(a), "ask_wall"), r6(near(b) + near(a), "size_10bp"))
+    return depth_features(A.depth_books(spark, d), F.lit(DEPTH_MID)).select("vec_id", *(r6(c) for c in BOOK))
 
 
-@P.add(
-    "SELECT vec_id, round(sum(long), 6) AS long_total, round(sum(short), 6) AS short_total, round(sum(long - short), 6) + 0.0 AS net, round(max(CASE WHEN price < 100 THEN long ELSE 0 END), 6) AS bid_wall, round(max(CASE WHEN price > 100 THEN short ELSE 0 END), 6) AS ask_wall, round(sum(CASE WHEN abs(price - 100) <= 1 THEN long - short ELSE 0 END), 6) + 0.0 AS near_net FROM crowd GROUP BY 1",
-    A.CROWD,
-)
+def crowd_sql(price: str, near: float, mid: float) -> dict[str, str]:
+    """The crowd's values as SQL aggregates over buckets."""
+    at = lambda f: f"price BETWEEN {price} * (1 - {f}) AND {price} * (1 + {f})"
+    side = lambda f, x: f"coalesce({f}({x[0]}) FILTER ({at(mid)} AND price {x[1]} {price}), 0)"
+    bid, ask = ("long", "<"), ("short", ">=")
+    return {
+        "imbalance_near": f"coalesce(sum(long - short) FILTER ({at(near)}), 0)", "imbalance_mid": f"coalesce(sum(long - short) FILTER ({at(mid)}), 0)",
+        "bid_wall": side("max", bid), "ask_wall": side("max", ask), "bid_depth": side("sum", bid), "ask_depth": side("sum", ask), "depth_ratio": f"{side('sum', bid)} / greatest({side('sum', ask)}, 1e-10)",
+        "long_total": "sum(long)", "short_total": "sum(short)", "net_total": "sum(long - short)", "ratio_total": "sum(long) / greatest(sum(short), 1e-10)",
+    }
+
+
+RATIOS = ("depth_ratio", "ratio_total")
+AT_100 = ", ".join(f"round({f'ln(1 + {e})' if c in RATIOS else e}, 6) + 0.0 AS {c}" for c, e in crowd_sql("100.0", *crowd.RANGES["pb"]).items())
+
+
+def crowd_rounded(*prefixes: str) -> list:
+    """Ratios are given by their logarithm, since those to nothing are very large."""
+    names = [(f"{p}{c}", c in RATIOS) for p in prefixes for c in crowd.CROWD]
+    return [r6(F.log1p(n) if ratio else F.col(n), n) for n, ratio in names]
+
+
+@P.add(f"SELECT vec_id, {AT_100} FROM crowd GROUP BY 1", A.CROWD)
 def a16_crowd_features(spark: SparkSession, d: str) -> DataFrame:
-    s = lambda f: F.aggregate("buckets", F.lit(0.0), lambda a, x: a + f(x))
-    peak = lambda f: F.array_max(F.transform("buckets", f))
-    net = lambda x: x["long"] - x["short"]
-    return A.crowd_books(spark, d).select(
-        "vec_id", r6(s(lambda x: x["long"]), "long_total"), r6(s(lambda x: x["short"]), "short_total"), r6(s(net), "net"), r6(peak(lambda x: F.when(x["price"] < 100, x["long"]).otherwise(0.0)), "bid_wall"),
-        r6(peak(lambda x: F.when(x["price"] > 100, x["short"]).otherwise(0.0)), "ask_wall"), r6(s(lambda x: F.when(F.abs(x["price"] - 100) <= 1, net(x)).otherwise(0.0)), "near_net"),
-    )
-
-
-@P.add("SELECT ts_ms // 3600000 AS hour, CAST(floor((price - 100) / 0.25) AS BIGINT) AS bin, round(sum(long - short), 6) + 0.0 AS net FROM crowd WHERE abs(price - 100) < 4.999 GROUP BY 1, 2", A.CROWD)
-def a18_liquidity_matrix(spark: SparkSession, d: str) -> DataFrame:
-    cells = A.crowd_books(spark, d).select("ts_ms", F.explode("buckets").alias("x")).select("ts_ms", "x.*").where(F.abs(F.col("price") - 100) < 4.999)
-    return cells.groupBy(F.floor(F.col("ts_ms") / 3_600_000).alias("hour"), F.floor((F.col("price") - 100) / 0.25).alias("bin")).agg(r6(F.sum(F.col("long") - F.col("short")), "net"))
+    """The eleven values of each book, at a price of 100."""
+    return crowd.crowd_features(A.crowd_books(spark, d), F.lit(100.0), *crowd.RANGES["pb"]).select("vec_id", *crowd_rounded(""))
 
 
 @P.add("SELECT event_id, user_id, changed FROM (SELECT event_id, user_id, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS changed FROM events) WHERE changed")
