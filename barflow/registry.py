@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import files, market, models, positions, research, scalars, ticks, trades
+from .plans import files, market, models, positions, records, research, scalars, ticks, trades
 
-MODULES = (market, ticks, trades, positions, scalars, models, research, files)
+MODULES = (market, ticks, trades, positions, scalars, models, records, research, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
