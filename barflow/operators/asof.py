@@ -23,13 +23,14 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], values: list[str
     both = left.select("*", cut, F.lit(None).cast(right.select(row.alias("v")).schema["v"].dataType).alias("_v"), F.lit(1 if back else 0).alias("_side"))
     marks = right.select(*by, ts, *(tie or []), cut, row.alias("_v"), F.lit(0 if back else 1).alias("_side"), F.lit(True).alias("_right"))
     union = both.withColumn("_right", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    inner = Window.partitionBy(*by, "_slice").orderBy(ts, "_side", *(tie or []))
-    near = F.last("_v", True).over(inner.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first("_v", True).over(inner.rowsBetween(0, Window.unboundedFollowing))
+    way = F.asc if back else F.desc  # forward reads backwards: a frame that ends at the last row is read anew for every row
+    inner = Window.partitionBy(*by, "_slice").orderBy(*(way(c) for c in (ts, "_side", *(tie or []))))
+    near = F.last("_v", True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
     found = union.withColumn("_near", near).where(~F.col("_right"))
     ends = right.groupBy(*by, cut).agg((F.max_by if back else F.min_by)(row, order).alias("_end"))
     slices = left.select(*by, cut).distinct().join(ends, [*by, "_slice"], "full")
-    outer = Window.partitionBy(*by).orderBy("_slice")
-    handed = F.last("_end", True).over(outer.rowsBetween(Window.unboundedPreceding, -1)) if back else F.first("_end", True).over(outer.rowsBetween(1, Window.unboundedFollowing))
+    outer = Window.partitionBy(*by).orderBy(way("_slice"))
+    handed = F.last("_end", True).over(outer.rowsBetween(Window.unboundedPreceding, -1))
     out = found.join(slices.select(*by, "_slice", handed.alias("_handed")), [*by, "_slice"])
     value = F.coalesce("_near", "_handed")
     if clamp and not back:

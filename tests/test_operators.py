@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barflow.functions import stats
-from barflow.operators import labels, ledger, positions, quantiles, research, rolling, scan, schedule, skyline
+from barflow.operators import asof, labels, ledger, positions, quantiles, research, rolling, scan, schedule, skyline
 from barflow.operators.bars import bucket_floor
 
 
@@ -256,6 +256,22 @@ def test_bootstrap_is_the_same_for_any_partitioning(spark):
     assert all(abs(x - y) < 1e-9 for x, y in zip(a, b))
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_reads_no_frame_anew_for_each_row(spark, direction):
+    """Frames that end at a partition's last row cost its rows squared; ties, gaps of several slices and rows beyond the ends."""
+    rng = random.Random(5)
+    left, right = ([("ab"[i % 2], rng.randrange(900), i) for i in range(n)] for n in (300, 40))
+    a = spark.createDataFrame(left, "instrument string, ts_ms long, event_id long")
+    b = spark.createDataFrame([(*r, 10 * r[2]) for r in right], "instrument string, ts_ms long, event_id long, x long")
+    out = asof.asof_join(a, b, ["instrument"], ["x"], direction, tie=["event_id"], slice_ms=50)
+    plan = out._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    got = {r.event_id: r.x for r in out.collect()}
+    for key, ts, event in left:
+        near = [(t, e) for k, t, e in right if k == key and (t <= ts if direction == "backward" else t >= ts)]
+        assert got[event] == (10 * (max if direction == "backward" else min)(near)[1] if near else None)
+
+
 def test_trade_summary_by_hand(spark):
     """One gain, one loss, one scratch; a group without losses; a group of one."""
     day = 86_400_000
