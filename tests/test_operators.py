@@ -272,6 +272,23 @@ def test_asof_reads_no_frame_anew_for_each_row(spark, direction):
         assert got[event] == (10 * (max if direction == "backward" else min)(near)[1] if near else None)
 
 
+def test_order_intents_of_copied_events(spark, monkeypatch):
+    """Many signals of one time, as copies of a table have; no step on the way reads a frame anew for each row."""
+    plans, keep = [], positions.kept
+    monkeypatch.setattr(positions, "kept", lambda df: (plans.append(df._jdf.queryExecution().toString().lower()), keep(df))[1])
+    rows = [("a", 10 * (i // 6), i, ("long", "short", "flat")[i % 3], 0.5 + (i % 5) / 10, i % 7 - 3) for i in range(240)]
+    df = spark.createDataFrame(rows, "instrument string, ts_ms long, event_id long, direction string, confidence double, net_units long")
+    got = sorted((r.ts_ms, r.event_id, r.units_delta) for r in positions.order_intents(df, ["event_id"], cooldown_ms=25).collect())
+    want, free = [], -1
+    for _, ts, event, way, sure, net in rows:
+        delta = {"long": 0 if net >= 3 else 1 - net if net < 0 else 1, "short": 0 if net <= -3 else -net - 1 if net > 0 else -1, "flat": -net}[way]
+        if sure >= 0.55 and delta and ts >= free:
+            want.append((ts, event, delta))
+            free = ts + 25
+    assert got == want and len(want) > 5
+    assert plans and not any("unboundedfollowing" in p for p in plans)
+
+
 def test_trade_summary_by_hand(spark):
     """One gain, one loss, one scratch; a group without losses; a group of one."""
     day = 86_400_000
