@@ -54,3 +54,14 @@ def entry_side(p_long: Column, p_short: Column, take: float, margin: float, long
     """1, -1, or 0 where the larger probability, its lead or its side's own threshold is too small."""
     able = (F.greatest(p_long, p_short) >= take) & (F.abs(p_long - p_short) >= margin)
     return F.when(able & (p_long > p_short) & (p_long >= long), 1).when(able & (p_short > p_long) & (p_short >= short), -1).otherwise(0)
+
+
+def json_number(value: Column, digits: int) -> Column:
+    """
+    A double of at most `digits` decimal places as JSON text without an exponent up to 1e21; to_json turns to exponents below 0.001 and
+    from 10 million on. Null is null; NaN and infinities, which JSON has no numbers for, stay words.
+    """
+    plain = F.regexp_replace(value.cast(f"decimal(38,{digits})").cast("string"), r"(\.\d+?)0+$", "$1")
+    exponent = F.replace(F.replace(value.cast("string"), F.lit(".0E"), F.lit("e")), F.lit("E"), F.lit("e"))
+    small = (F.abs(value) >= 0.001) & (F.abs(value) < 10_000_000) | (value == 0)
+    return F.when(value.isNull(), "null").when(small | F.isnan(value), value.cast("string")).when(F.abs(value) < 1e21, plain).otherwise(exponent)

@@ -25,7 +25,9 @@ def p6_p9_p12_p15_projections(spark: SparkSession, d: str) -> DataFrame:
     c, x = A.table(spark, d, "customer"), F.col("c_acctbal")
     legacy = F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(1)
     model = F.concat(F.lit("side_m"), (F.col("c_custkey") % 4).cast("string"), F.lit("_v1"))
-    return c.select("c_custkey", F.when(x > 0, F.round(F.log(x), 6)).otherwise(0.0).alias("safe_log"), F.when(legacy == 0, -1).otherwise(legacy).alias("side"), F.to_json(F.struct(F.round(x / 7, 5).alias("bal"))).alias("feature"), N.model_kind(F.col("c_mktsegment")).alias("no_kind"), N.model_kind(F.col("c_mktsegment"), "unknown").alias("other_kind"), N.model_kind(model).alias("kind"))
+    bal = F.round(x / 7, 5)
+    feature = F.concat(F.lit('{"bal":'), N.json_number(F.when((bal == 0) & (x < 0), F.lit(-0.0)).otherwise(bal), 5), F.lit("}"))  # a loss that rounds to nothing keeps its sign
+    return c.select("c_custkey", F.when(x > 0, F.round(F.log(x), 6)).otherwise(0.0).alias("safe_log"), F.when(legacy == 0, -1).otherwise(legacy).alias("side"), feature.alias("feature"), N.model_kind(F.col("c_mktsegment")).alias("no_kind"), N.model_kind(F.col("c_mktsegment"), "unknown").alias("other_kind"), N.model_kind(model).alias("kind"))
 
 
 @P.add("SELECT event_id, CAST(CASE action WHEN 'open_long' THEN 5 WHEN 'open_short' THEN -5 WHEN 'close' THEN -(event_id % 3) ELSE 0 END AS BIGINT) AS delta, CASE reason WHEN 'purchase' THEN 'Bought' WHEN 'signup' THEN 'Joined' ELSE reason END AS label, CASE WHEN event_id % 2 = 0 THEN price / 128 ELSE -price / 128 END AS signed_confidence FROM decisions", A.DECISIONS)
