@@ -109,11 +109,8 @@ def s6_transactions(spark: SparkSession, d: str) -> DataFrame:
 @P.add("SELECT trade_id, CASE WHEN trade_id % 50 = 0 THEN 'own' ELSE instrument END AS instrument, CASE WHEN side = 1 THEN 'v1.0.1' ELSE 'v1.0.0' END AS version, round(realized_r, 9) + 0.0 AS realized_r FROM ledger", A.LEDGER)
 def s7_trade_logs(spark: SparkSession, d: str) -> DataFrame:
     """The ledger as a tree of versions and instruments; each fiftieth record names an instrument itself."""
-    root, rows = shared_path(spark, "logs"), kept(A.ledger(spark, d))
-    for (name,) in rows.select("instrument").distinct().collect():  # one row an instrument
-        for version, side in (("v1.0.1", 1), ("v1.0.0", -1)):
-            of = rows.where((F.col("instrument") == name) & (F.col("side") == side))
-            of.select("trade_id", F.when(F.col("trade_id") % 50 == 0, "own").alias("instrument"), "realized_r").write.json(f"{root}/{version}/{name}")
+    root, rows = shared_path(spark, "logs"), A.ledger(spark, d).withColumn("version", F.when(F.col("side") == 1, "v1.0.1").otherwise("v1.0.0"))
+    K.write_trade_logs(rows.select("trade_id", F.when(F.col("trade_id") % 50 == 0, "own").alias("instrument"), "realized_r", "version", F.col("instrument").alias("log")), root)
     return F_.read_trade_logs(spark, root, "*.json", "trade_id long, instrument string, realized_r double").select("trade_id", "instrument", "version", r6("realized_r", digits=9))
 
 

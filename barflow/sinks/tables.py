@@ -100,6 +100,11 @@ def write_oof(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "model_version").parquet(path)
 
 
+def write_trade_logs(trades: DataFrame, root: str, version: str = "version", log: str = "log") -> None:
+    """JSON lines by version and log, the instrument whose log it is, all in one pass."""
+    trades.withColumnsRenamed({version: "version", log: "log"}).write.partitionBy("version", "log").json(root)
+
+
 def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -61,9 +61,16 @@ def parse_transactions(frames: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_trade_logs(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
-    """root/version/instrument/file as one table; version and instrument come from the path, an instrument in the record wins."""
-    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # blanks are escaped in it
-    rows = spark.read.schema(schema).json(f"{root}/*/*/{file}").select("*", F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("version"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("_from_path"))
+    """
+    root/version/instrument/file as one table; version and instrument come from the path, an instrument in the record wins (S7). Trees
+    that sinks.tables.write_trade_logs wrote, whose folders are named version=... and log=..., are read alike.
+    """
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))  # blanks and more are escaped in paths
+    tail = F.substring_index("_metadata.file_path", "/", -3)
+    rows = spark.read.schema(schema).json(f"{root}/*/*/{file}").select("*", *(decoded(F.split_part(tail, F.lit("/"), F.lit(i))).alias(c) for i, c in ((1, "version"), (2, "_from_path"))))
+    written = F.col("version").startswith("version=") & F.col("_from_path").startswith("log=")
+    value = lambda c, name: F.nullif(decoded(F.substring(c, len(name) + 2, 1 << 30)), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = rows.withColumns({c: F.when(written, value(c, name)).otherwise(F.col(c)) for c, name in (("version", "version"), ("_from_path", "log"))})
     own = [F.col("instrument")] if "instrument" in rows.columns else []
     return rows.withColumn("instrument", F.coalesce(*own, F.col("_from_path"))).drop("_from_path")
 

@@ -144,3 +144,25 @@ def test_models(spark):
     assert a > 0 > b
     with pytest.raises(ValueError):
         training.chosen("logreg, oracle", 2)
+
+
+def test_trade_logs_in_one_pass(spark, tmp_path, monkeypatch):
+    """One write whatever the number of instruments; names with blanks, slashes, signs and none come back; plain trees are read as before."""
+    from pyspark.sql import DataFrameWriter
+
+    from barflow.plans.files import P
+
+    names = ["EUR/USD", "4-NOT SPECIFIED", "a+b=c%2F", None]
+    rows = [(i, "own" if i % 5 == 0 else None, 0.5 * i, f"v1.0.{i % 2}", names[i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "trade_id long, instrument string, realized_r double, version string, of string")
+    tables.write_trade_logs(df, str(tmp_path / "logs"), log="of")
+    got = frames.read_trade_logs(spark, str(tmp_path / "logs"), "*.json", "trade_id long, instrument string, realized_r double").select("trade_id", "instrument", "realized_r", "version")
+    assert sorted(map(tuple, got.collect())) == [(i, own or of, r, v) for i, own, r, v, of in rows]
+    plain = tmp_path / "plain" / "version=1" / "EUR USD"
+    plain.mkdir(parents=True)
+    (plain / "trades.jsonl").write_text('{"realized_r": 0.5}\n')
+    assert [(r.version, r.instrument) for r in frames.read_trade_logs(spark, str(tmp_path / "plain"), "trades.jsonl", "realized_r double").collect()] == [("version=1", "EUR USD")]
+    writes, write = [], DataFrameWriter.json
+    monkeypatch.setattr(DataFrameWriter, "json", lambda self, *a, **k: (writes.append(a), write(self, *a, **k))[1])
+    P.queries["s7_trade_logs"](spark, "/root/testdata/sf0.001").count()
+    assert len(writes) == 1
