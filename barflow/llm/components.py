@@ -20,14 +20,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges: a, b (long). Returns node, root for every node that has an edge; root is the least node of its component.
 
     Large-star and small-star rounds alternate; each halves paths at least, so rounds grow with the logarithm of the longest path.
-    Rounds are kept as tables, not checkpoints, whose plans would carry every round's constraints along. Links never leave the executors; a node with very many neighbours is joined by broadcast of its single row.
+    Rounds are kept as tables, not checkpoints, whose plans would carry every round's constraints along. Links never leave the executors; a node with very many neighbours is joined by broadcast of its single row;
+    where no node has more than LINKS, a round's joins are plain.
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     stars = stored(edges.where("a <> b").select(u, v).distinct(), "links")
     state = _state(stars)
     while state[0]:
         few = lambda df, n=8 + state[0] // LINKS: durable(df.coalesce(n))
-        hang = lambda df, least, n=state[0]: skew_join(df, least, ["u"], "degree", how="inner", total=2 * n)
+        hang = lambda df, least, n=state[0]: skew_join(df, least, ["u"], "degree", how="inner", total=2 * n, least=LINKS)
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree")))
         large = few(hang(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())

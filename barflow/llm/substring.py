@@ -36,6 +36,8 @@ from .passages import PASSAGE, SEGMENT, SHINGLE, Cutter, hashed, runs, windows,
 SIMILARITY, BANDS, ROWS = 0.8, 12, 3
 #: Nodes of a band that one task compares with each other, and words that are cut at once.
 TILE, WORDS = 2000, 200_000
+#: A key with more rows than this may be joined by broadcast; plans of few joins keep the driver small.
+HEAVY = 10_000
 NOBODY = -(1 << 63)
 CUT = "doc long, row_key long, n_words int, stream long, at array<int>, seg array<bigint>, starts array<int>, ends array<int>, names array<bigint>, sizes array<int>, bands array<bigint>"
 
@@ -86,7 +88,7 @@ def cut(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 def distinct_texts(found: DataFrame, several: DataFrame) -> DataFrame:
     """found: cut(). several: stream, first, copies of the streams of several rows. The rows of `found`, of equal texts the first only."""
     rows = sifted(found, "stream", several, "maybe")
-    maybe = skew_join(rows.where("maybe"), several, ["stream"], "copies").where(F.col("first").isNull() | (F.col("first") == F.struct("doc", "row_key")))
+    maybe = skew_join(rows.where("maybe"), several, ["stream"], "copies", least=HEAVY).where(F.col("first").isNull() | (F.col("first") == F.struct("doc", "row_key")))
     return rows.where("NOT maybe").select(*found.columns).unionByName(maybe.select(*found.columns).dropDuplicates(["stream"]))
 
 
@@ -133,13 +135,13 @@ def band_members(paras: DataFrame) -> DataFrame:
     several = durable(by_band.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"))
     kept = sifted(by_band, "band", several, "maybe").where("maybe")
     reps = durable(kept.groupBy("band").agg(F.count("*").alias("m"), F.max(F.struct("n", "p", "size")).alias("rep")).where("m > 1"))
-    return skew_join(kept.select("p", "size", "band"), reps, ["band"], "m", how="inner").select("band", "p", "size", F.col("rep.p").alias("rep"), F.col("rep.size").alias("rep_size"), "m")
+    return skew_join(kept.select("p", "size", "band"), reps, ["band"], "m", how="inner", least=HEAVY).select("band", "p", "size", F.col("rep.p").alias("rep"), F.col("rep.size").alias("rep_size"), "m")
 
 
 def with_frequent(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """pairs: p, rep of a band's node and its most frequent one. Those that have `similarity` or more."""
     reps = durable(pairs.groupBy("rep").agg(F.count("*").alias("n")).join(sets.select(F.col("p").alias("rep"), F.col("sh").alias("rep_sh")), "rep"))
-    met = skew_join(pairs.join(sets, "p"), reps, ["rep"], "n", how="inner")
+    met = skew_join(pairs.join(sets, "p"), reps, ["rep"], "n", how="inner", least=HEAVY)
     both = F.size(F.array_intersect("sh", "rep_sh"))
     return met.where(both >= similarity * (F.size("sh") + F.size("rep_sh") - both)).select("p", "rep")
 
@@ -171,7 +173,7 @@ def with_others(members: DataFrame, sets: DataFrame, links: DataFrame, similarit
     open_ = flagged.groupBy("band", "m").agg(F.count_if(~F.col("ok")).alias("over"), F.bit_xor("p").alias("x"), F.sum(F.shiftright("p", 20)).alias("s")).where("over > 0")
     open_ = durable(open_.groupBy("m", "x", "s").agg(F.min("band").alias("band")).select("band", "m"))
     total = open_.agg(F.sum("m")).first()[0] or 0
-    chosen = skew_join(flagged.drop("m"), open_, ["band"], "m", how="inner", total=total)
+    chosen = skew_join(flagged.drop("m"), open_, ["band"], "m", how="inner", total=total, least=HEAVY)
     cuts = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
     chosen = chosen.withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("p"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     cell = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("band"), F.lit(max(1, total // 500)))).otherwise(F.col("band"))
@@ -208,7 +210,7 @@ def window_runs(found: DataFrame) -> DataFrame:
     """found: stream, doc, at, win. Returns stream, kept_in, start, end of the words in windows that an earlier document has."""
     keepers = found.groupBy("win").agg(F.min("doc").alias("kept_in"), F.max("doc").alias("high"), F.count("*").alias("n"))
     keepers = durable(keepers.where("kept_in < high").select("win", "kept_in", "n"))
-    gone = skew_join(found, keepers, ["win"], "n", how="inner").where("doc <> kept_in").select("stream", "at", "kept_in").distinct()
+    gone = skew_join(found, keepers, ["win"], "n", how="inner", least=HEAVY).where("doc <> kept_in").select("stream", "at", "kept_in").distinct()
     run = F.col("at") - F.row_number().over(Window.partitionBy("stream", "kept_in").orderBy("at"))
     return gone.withColumn("run", run).groupBy("stream", "kept_in", "run").agg(F.min("at").alias("start"), (F.max("at") + PASSAGE).alias("end")).drop("run")
 
@@ -232,10 +234,10 @@ def passages(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
     placed = sifted(placed, "seg", twice, "maybe").where("maybe").drop("maybe")
     shared = placed.groupBy("seg").agg(F.min(F.struct("doc", "at")).alias("keep"), F.max("doc").alias("high"), F.count("*").alias("n"))
     shared = durable(shared.where(F.col("keep.doc") < F.col("high")).select("seg", "keep", "n"))
-    met = durable(skew_join(placed, shared, ["seg"], "n", how="inner").select("stream", "doc", "at", "seg", "n", F.col("keep.doc").alias("kept_in"), F.col("keep.at").alias("kept_at")))
+    met = durable(skew_join(placed, shared, ["seg"], "n", how="inner", least=HEAVY).select("stream", "doc", "at", "seg", "n", F.col("keep.doc").alias("kept_in"), F.col("keep.at").alias("kept_at")))
     straight = durable(segment_runs(met))
     short = straight.where(F.col("end") - F.col("start") < PASSAGE).select(F.explode("segs").alias("x")).select("x.*").groupBy("seg").agg(F.max("n").alias("n"))
-    around = skew_join(met.select("stream", "seg", "at"), durable(short), ["seg"], "n", how="inner").groupBy("stream").agg(F.collect_set("at").alias("at"))
+    around = skew_join(met.select("stream", "seg", "at"), durable(short), ["seg"], "n", how="inner", least=HEAVY).groupBy("stream").agg(F.collect_set("at").alias("at"))
 
     paras = _paragraphs(nodes, bands)
     kinds = durable(paras.groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row_key", "stream", "start", "end")).alias("place"), F.max("size").alias("size"), F.max("bands").alias("bands")))
@@ -255,14 +257,15 @@ def passages(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
     near = kinds.select("p", "n", "place.doc").join(connected_components(links.withColumnsRenamed({"p": "a", "rep": "b"})).withColumnRenamed("node", "p"), "p")
     near = durable(near.select("p", "n", "doc", "root"))
     keeper = durable(near.groupBy("root").agg(F.min("doc").alias("kept_in"), F.count("*").alias("nodes")))
-    near = durable(skew_join(near, keeper, ["root"], "nodes", how="inner").select("p", "n", "kept_in"))
-    changed = skew_join(sifted(paras.drop("bands"), "p", near, "maybe").where("maybe"), near, ["p"], "n", how="inner").where("doc <> kept_in").select("stream", "kept_in", "start", "end")
+    near = durable(skew_join(near, keeper, ["root"], "nodes", how="inner", least=HEAVY).select("p", "n", "kept_in"))
+    changed = durable(skew_join(sifted(paras.drop("bands"), "p", near, "maybe").where("maybe"), near, ["p"], "n", how="inner", least=HEAVY).where("doc <> kept_in").select("stream", "kept_in", "start", "end"))
 
     exact = straight.where(F.col("end") - F.col("start") >= PASSAGE).select("stream", "kept_in", "start", "end")
-    around = window_runs(again.where("win IS NOT NULL").select("stream", "doc", "at", "win"))
-    parts = exact.unionByName(around).unionByName(changed).groupBy("stream").agg(_ranges()).join(where, "stream").select("doc", "row_key", "passages")
+    around = durable(window_runs(again.where("win IS NOT NULL").select("stream", "doc", "at", "win")))
+    parts = durable(exact.unionByName(around).unionByName(changed).groupBy("stream").agg(_ranges()))
+    parts = parts.join(where, "stream").select("doc", "row_key", "passages")
     twice = sifted(long.select("doc", "row_key", "stream", "n_words"), "stream", several, "maybe").where("maybe")
-    copies = skew_join(twice, several, ["stream"], "copies", how="inner").where(F.col("doc") != F.col("first.doc"))
+    copies = skew_join(twice, several, ["stream"], "copies", how="inner", least=HEAVY).where(F.col("doc") != F.col("first.doc"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"), F.col("first.doc").alias("kept_in")))
     return parts.unionByName(copies.select("doc", "row_key", whole.alias("passages")).distinct())
 

@@ -461,3 +461,33 @@ def test_near_dedup_of_rows_without_id(spark):
     got = simhash.keep_one(df)
     assert got.schema == df.schema
     assert sort(map(tuple, got.collect())) == sort([(None, a, 1), (None, b, 3), (5, c, 4), (5, c, 5), (8, d, 8), (None, "", 10)]) or sort(map(tuple, got.collect())) == sort([(None, a, 1), (None, b, 3), (5, c, 4), (5, c, 5), (8, d, 8), (None, None, 9)])
+
+
+def test_joins_of_keys_without_heavy_ones_are_plain(spark):
+    """With `least`, one join where no key has more rows, and broadcasts for those that do; the same rows either way."""
+    from barflow.llm.common import durable, skew_join
+
+    left = durable(spark.createDataFrame([(k, i) for k in range(8) for i in range(90 if k == 3 else 4)], "k long, i long"))
+    right = durable(left.where("k < 6").groupBy("k").agg(F.count("*").alias("n")))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    for how in ("inner", "left"):
+        want = skew_join(left, right, ["k"], "n", how)
+        for least, total, n in ((100, None, 1), (100, 60, 1), (100, 5000, 1), (20, None, 3), (20, 110, 3), (0, None, 3)):
+            got = skew_join(left, right, ["k"], "n", how, total=total, least=least)
+            assert joins(got) == n and got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (how, least, total)
+
+
+def test_substring_dedup_plans_few_joins_at_once(spark, docs, monkeypatch):
+    """A plan of very many joins has all its broadcasts and shuffles in the driver at once."""
+    from barflow.llm import components
+
+    seen = []
+
+    def counted(df, f=substring.durable):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return f(df)
+
+    for module in (substring, components):
+        monkeypatch.setattr(module, "durable", counted)
+    assert substring.classified(docs).count() == docs.count()
+    assert max(seen) <= 12 and sum(seen) <= 60, seen
